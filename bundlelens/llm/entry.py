@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from bundlelens.llm import packing, tokens
+from bundlelens.llm import packing, simhash, tokens
 
 QUERIES = {
     "op5_token_records": tokens.op5_token_records,
     "op8_best_fit": packing.op8_best_fit,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 SQL: dict[str, str] = {}

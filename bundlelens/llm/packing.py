@@ -109,18 +109,19 @@ def pack(found: DataFrame, capacity: int, spare: int | None = None, per_task: in
     kind = "array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>>"
     items = found.select(F.col("length").alias("size"), item.cast(kind).alias("items"))
     folder, number, tasks = shared_dir(spark, "packing"), 0, max(1, -(-found.count() // per_task))
+    schema = f"size long, sequence_id long, items {kind}, round int, open boolean"
     while True:
         last = tasks == 1
         first = F.col("items")[0]
         dealt = items.repartition(tasks, F.xxhash64(first)) if tasks > 1 else items.coalesce(1) if number else items.repartition(1)
         dealt = dealt.sortWithinPartitions(F.desc("size"), first["doc_id"], first["piece"], first["ids_crc32"])
         packed = dealt.mapInArrow(_round(capacity, capacity if last else spare, number), f"size long, sequence_id long, items {kind}")
-        packed.withColumn("open", F.col("sequence_id").isNull()).write.partitionBy("open").parquet(f"{folder}/{number}")
+        packed.withColumn("open", F.col("sequence_id").isNull()).write.partitionBy("open").parquet(f"{folder}/round={number}")
         if last:
             break
-        items = spark.read.schema(f"size long, sequence_id long, items {kind}, open boolean").parquet(f"{folder}/{number}").where("open").select("size", "items")
+        items = spark.read.schema(schema).parquet(folder).where(f"round = {number} and open").select("size", "items")
         tasks, number = -(-tasks // fan_in), number + 1
-    full = spark.read.schema(f"size long, sequence_id long, items {kind}, open boolean").parquet(*[f"{folder}/{k}" for k in range(number + 1)]).where("not open")
+    full = spark.read.schema(schema).parquet(folder).where("not open")
     ends = F.expr("transform(sequence(1, size(items)), i -> struct(items[i - 1] as piece, aggregate(slice(items, 1, i - 1), 0L, (s, x) -> s + x.length) as offset))")
     placed = full.select("sequence_id", F.explode(ends).alias("e"))
     return placed.select(*[F.col("e.piece")[f.name].alias(f.name) for f in PIECE], "sequence_id", F.col("e.offset").alias("offset"))

@@ -96,7 +96,7 @@ def test_packing_places_every_piece_once(spark, per_task):
 def test_packing_is_tight_over_rounds(spark):
     rows = [(i, 0, 0, 1 + (i * 7919) % 2047, i) for i in range(3000)]
     found = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    got = packing.pack(found, 2048, per_task=200, fan_in=4).collect()
+    got = packing.pack(found, 2048, per_task=800, fan_in=4).collect()
     assert len(got) == 3000
     n = check_packing(got, 2048)
     assert n <= 1.03 * -(-sum(r[3] for r in rows) // 2048)
