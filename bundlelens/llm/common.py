@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
+#: Shuffle files of a step that has been written are of no more use; Spark then deletes them.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which every executor sees.
 
@@ -28,9 +32,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage ends there,
     and a lost executor costs no more than the tasks it was running."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def join_path(base: str, *more: str) -> str:

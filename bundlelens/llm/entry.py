@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from bundlelens.llm import packing, simhash, tokens
+from bundlelens.llm import packing, simhash, substrings, tokens
 
 QUERIES = {
     "op5_token_records": tokens.op5_token_records,
+    "op6_substrings": substrings.op6_substrings,
     "op8_best_fit": packing.op8_best_fit,
     "op10_simhash": simhash.op10_simhash,
 }

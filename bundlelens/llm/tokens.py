@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -61,69 +62,79 @@ def unframe(data: bytes, at: int) -> tuple[bytes, int]:
     return bytes(payload), at + 16 + n
 
 
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level models write a byte: itself if it is printable in Latin-1,
+    else one of the letters from 256 on, in the order of the bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordTokenizer:
-    """A `tokenizers` model whose ids never span ASCII white space, with a bounded memo by word.
+    """A lower-casing byte-level BPE model of `tokenizers` whose ids never span ASCII white space,
+    with a bounded memo by word.
 
     Of such a model (its pre-tokenizer drops white space) the ids of a text are those of its
-    words, one after the other. Words that the memo lacks are encoded together, parted by a
-    word of one known id; the memo keeps at most two generations of `cap` words.
+    words, one after the other. A word of letters only is one piece to the pre-tokenizer and
+    goes to the library's BPE model as it is, a comma or full stop behind it is a piece of its
+    own; all other words go through the whole of the library's tokenizer. The memo keeps two
+    generations of `cap` words at most.
     """
 
-    SEPARATOR = "§"
-
     def __init__(self, path: str, cap: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2") if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        self.full = Tokenizer.from_file(path)
+        self.model, self.letters = self.full.model, _byte_letters()
+        self.dtype = np.dtype("<u2") if self.full.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.cap, self.new, self.old = cap, {}, {}
-        ids = self.model.encode(self.SEPARATOR, add_special_tokens=False).ids
-        self.mark = ids[0] if len(ids) == 1 else None
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode() for w in words]
-        if self.mark is not None:
-            [e] = self.model.encode_batch_fast([f" {self.SEPARATOR} ".join(texts)], add_special_tokens=False)
-            ids = np.array(e.ids, np.int64)
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) == len(texts) - 1:
-                data, k = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-                starts = [0, *((cuts + 1) * k).tolist()]
-                ends = [*(cuts * k).tolist(), len(data)]
-                return [data[a:b] for a, b in zip(starts, ends, strict=True)]
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.tails = {c: self._whole(c) for c in (b",", b".")}
+
+    def _whole(self, word: bytes) -> bytes:
+        return np.array(self.full.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        tail = word[-1:] if word[-1:] in self.tails else b""
+        base = word[: len(word) - len(tail)]
+        if base.isalpha():
+            piece = base.translate(LOWER).decode()
+        else:
+            piece = base.decode()
+            if not piece.isalpha() or not unicodedata.is_normalized("NFC", piece) or any(c.lower() != c for c in piece):
+                return self._whole(word)
+            piece = base.decode("latin-1").translate(self.letters)
+        if tail and (known := self.new.get(base) or self.old.get(base)) is not None:
+            return known + self.tails[tail]
+        ids = np.array([t.id for t in self.model.tokenize(piece)], self.dtype).tobytes()
+        if tail:
+            self.new[base] = ids
+            return ids + self.tails[tail]
+        return ids
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text (UTF-8; null: none) as bytes of `dtype`."""
-        split = [(x or b"").split() for x in texts]
-        found, missing = [], {}
-        get_new, get_old = self.new.get, self.old.get
-        for words in split:
-            vals = list(map(get_new, words))
-            if None in vals:
-                for i, v in enumerate(vals):
-                    if v is None:
-                        w = words[i]
-                        if (v := get_old(w)) is None:
-                            missing[w] = None
-                        else:
-                            self.new[w] = vals[i] = v
-            found.append(vals)
-        if missing:
-            keys = list(missing)
-            plain = [w for w in keys if self.SEPARATOR.encode() not in w]
-            for k in range(0, len(plain), 2000):
-                part = plain[k : k + 2000]
-                missing.update(zip(part, self._encode(part), strict=True))
-            for w in keys:
-                if missing[w] is None:
-                    missing[w] = np.array(self.model.encode(w.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
-            self.new.update(missing)
-        lookup = self.new
-        out = [b"".join([lookup[w] if v is None else v for w, v in zip(words, vals, strict=True)] if None in vals else vals) for words, vals in zip(split, found, strict=True)]
-        if len(self.new) > self.cap:
-            self.old, self.new = self.new, {}
+        out = []
+        for text in texts:
+            # a special token is written in lower case: a text that may hold one is left as it is
+            words = ((text if b"<|" in text else text.translate(LOWER)) if text else b"").split()
+            new = self.new
+            ids = list(map(new.get, words))
+            if None in ids:
+                old = self.old.get
+                for i in [i for i, x in enumerate(ids) if x is None]:
+                    w = words[i]
+                    if (x := new.get(w)) is None:
+                        if (x := old(w)) is None:
+                            x = self._word(w)
+                        new[w] = x
+                    ids[i] = x
+                if len(new) > self.cap:
+                    self.old, self.new = new, {}
+            out.append(b"".join(ids))
         return out
 
 
