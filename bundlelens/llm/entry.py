@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from bundlelens.llm import packing, simhash, substrings, tokens
+from bundlelens.llm import languages, packing, simhash, substrings, tokens
 
 QUERIES = {
+    "op1_language_id": languages.op1_language_id,
     "op5_token_records": tokens.op5_token_records,
     "op6_substrings": substrings.op6_substrings,
     "op8_best_fit": packing.op8_best_fit,
