@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from bundlelens.llm import languages, packing, simhash, substrings, tokens
+from bundlelens.llm import decontaminate, languages, packing, simhash, substrings, tokens
 
 QUERIES = {
     "op1_language_id": languages.op1_language_id,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op5_token_records": tokens.op5_token_records,
     "op6_substrings": substrings.op6_substrings,
     "op8_best_fit": packing.op8_best_fit,
