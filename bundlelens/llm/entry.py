@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from bundlelens.llm import decontaminate, languages, packing, simhash, substrings, tokens
+from bundlelens.llm import decontaminate, languages, packing, simhash, substrings, tokens, warc
 
 QUERIES = {
     "op1_language_id": languages.op1_language_id,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_warc": warc.op3_warc,
     "op5_token_records": tokens.op5_token_records,
     "op6_substrings": substrings.op6_substrings,
     "op8_best_fit": packing.op8_best_fit,
     "op10_simhash": simhash.op10_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_warc": warc.SQL,
+}
