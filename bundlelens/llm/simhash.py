@@ -124,6 +124,21 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int, paired: in
     return found.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_duplicate_groups(docs: DataFrame, key: str, text: str, widths: tuple[int, ...]) -> DataFrame:
+    """doc_id, component_id of documents linked to a smaller one, where a link is one by the
+    fingerprints of any of the shingle widths. Null keys are left out."""
+    links = None
+    for width in widths:
+        found = cut(fingerprints(docs.where(docs[key].isNotNull()), key, text, width), "fingerprints")
+        nodes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+        near = fingerprint_links(nodes.select("fp"))
+        a, b = (nodes.select(F.col("fp").alias(f), F.col("node").alias(n)) for f, n in (("fa", "a"), ("fb", "b")))
+        own = found.join(nodes, "fp").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+        more = cut(near.join(a, "fa").join(b, "fb").select("a", "b").unionByName(own), "links")
+        links = more if links is None else links.unionByName(more)
+    return components(links).where("component <> node").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, "doc_id", "text", 3).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
