@@ -52,7 +52,7 @@ SQL = {
       SELECT source, id, any_value(severity) AS severity, any_value(category) AS category, any_value(title) AS title, count(*) AS count, min(doc_id) AS first_doc,
         string_agg(CASE WHEN k <= 4 THEN CASE WHEN length(trim(line, ' ')) > 220 THEN substr(trim(line, ' '), 1, 219) || '...' ELSE trim(line, ' ') END END, ' | ' ORDER BY k) AS evidence
       FROM k JOIN r ON r.id = k.rule_id GROUP BY source, id""",
-    "line_search": "SELECT conv_id, min(turn) AS turn FROM conversations WHERE contains(lower(text), 'the thion') GROUP BY conv_id",
+    "line_search": "SELECT conv_id, min(turn) AS turn FROM conversations WHERE contains(lower(text), 'onth') GROUP BY conv_id",
     "line_window": f"WITH l AS {_FULL}, h AS (SELECT doc_id, min(line_no) AS hit FROM l WHERE regexp_matches(line, '[0-9]{{16}}') GROUP BY doc_id) SELECT doc_id, line_no, length(line) AS chars FROM (SELECT l.*, row_number() OVER (PARTITION BY l.doc_id ORDER BY l.line_no) AS k FROM l JOIN h ON l.doc_id = h.doc_id AND l.line_no BETWEEN hit - 2 AND hit + 2) WHERE k <= 5",
     "condition_findings": f"""SELECT o_orderkey, 'order-' || k || CASE r WHEN 1 THEN '-urgent' WHEN 2 THEN '-late' ELSE '-any' END AS id,
       CASE WHEN r = 1 THEN CASE WHEN st = 'P' THEN 'critical' ELSE 'warning' END ELSE 'info' END AS severity,
@@ -65,7 +65,7 @@ SQL = {
     "restart_rollup": "SELECT CASE WHEN m >= 5 THEN 'warning' ELSE 'info' END AS severity, count(*) AS pods, CAST(sum(m) AS BIGINT) AS restarts FROM (SELECT l_orderkey, max(l_linenumber) AS m FROM lineitem GROUP BY l_orderkey) WHERE m > 0 GROUP BY 1",
     "event_warnings": "SELECT user_id, count(*) AS warnings, string_agg(CASE WHEN k <= 3 THEN CAST(event_id AS VARCHAR) END, ',' ORDER BY k) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'error') GROUP BY user_id",
     "node_health_rollup": "SELECT n_name, count(DISTINCT s_suppkey) AS total, count(DISTINCT CASE WHEN s_acctbal < 0 THEN s_suppkey END) AS problematic FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name",
-    "version_pick": "SELECT p_mfgr, first(p_name ORDER BY p_type, p_partkey) AS component, first(p_brand ORDER BY p_type, p_partkey) AS version, count(DISTINCT p_brand || '|' || p_type) AS components FROM part GROUP BY p_mfgr",
+    "version_pick": "SELECT p_brand, first(p_name ORDER BY p_size, p_partkey) AS component, first(p_type ORDER BY p_size, p_partkey) AS version, count(DISTINCT p_name || '|' || p_type) AS components FROM part GROUP BY p_brand",
     "chart_version_extract": "SELECT p_partkey, 'v' || regexp_extract(lower(p_brand) || '-' || p_size || '.' || (p_partkey % 7) || '.3-rc1', '-v?([0-9]+\\.[0-9]+\\.[0-9]+(-rc1)?)$', 1) AS version FROM part",
     "slug_truncate": "SELECT doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS slug, CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '...' ELSE text END AS short FROM documents",
     "workload_full_outer": "SELECT coalesce(c_custkey, o_custkey) AS custkey, c_name, coalesce(n, 0) AS migrations, evidence FROM customer FULL OUTER JOIN (SELECT o_custkey, count(*) AS n, string_agg(CASE WHEN k <= 3 THEN CAST(o_orderkey AS VARCHAR) END, ',' ORDER BY k) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY o_custkey) o ON c_custkey = o_custkey",

@@ -89,7 +89,7 @@ def log_rule_findings(spark, sf):
 
 def line_search(spark, sf):
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("bundle"), F.lit("log").alias("path"), "turn", F.col("text").alias("line"))
-    return search.first_hits(c, ["bundle"], "turn", "line", " the thion", ignore_case=True).select(F.col("bundle").alias("conv_id"), "turn")
+    return search.first_hits(c, ["bundle"], "turn", "line", " Onth...", ignore_case=True).select(F.col("bundle").alias("conv_id"), "turn")
 
 
 def line_window(spark, sf):
@@ -147,8 +147,8 @@ def node_health_rollup(spark, sf):
 
 def version_pick(spark, sf):
     p = table(spark, sf, "part")
-    pick = F.min_by(F.struct("p_name", "p_brand"), F.struct("p_type", "p_partkey"))
-    return p.groupBy("p_mfgr").agg(pick.alias("v"), F.countDistinct("p_brand", "p_type").alias("components")).select("p_mfgr", F.col("v.p_name").alias("component"), F.col("v.p_brand").alias("version"), "components")
+    pick = F.min_by(F.struct("p_name", "p_type"), F.struct("p_size", "p_partkey"))
+    return p.groupBy("p_brand").agg(pick.alias("v"), F.countDistinct("p_name", "p_type").alias("components")).select("p_brand", F.col("v.p_name").alias("component"), F.col("v.p_type").alias("version"), "components")
 
 
 def chart_version_extract(spark, sf):
