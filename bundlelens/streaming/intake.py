@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bundlelens.operators.files import new_bundles
+from bundlelens.session import shared_dir
 
 LEDGER = "bundle_id string, status string, stage string, at timestamp, error string, batch long"
 
@@ -85,14 +86,7 @@ def intake_of_table(rows: DataFrame, checksum: str, key: str, parts: int = 3) ->
     """A table taken in as a stream of files: what intake() accepts of it, as (key, checksum).
     Files arrive in key order, so of copies the smallest key is accepted."""
     spark = rows.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-bundlelens-")
-    import uuid
-
-    root = f"{base.rstrip('/')}/intake-{uuid.uuid4().hex}"
+    root = shared_dir(spark, "intake")
     rows.select(F.col(key).cast("string").alias("bundle_id"), F.col(checksum), F.col(key).alias("order")).write.parquet(f"{root}/landing")
     stream = spark.readStream.schema(f"bundle_id string, {checksum} string, order long").parquet(f"{root}/landing")
     intake(stream, lambda df, batch: df.select("bundle_id", F.lit(None).cast("string").alias("error")), root, checksum, ["order"]).awaitTermination()
