@@ -96,11 +96,20 @@ def _anchor_rows(rows: DataFrame, width: int, period: int, placed: bool) -> Data
     return rows.where("doc_id is not null and text is not null").mapInArrow(run, "h long, doc_id long" + (", row long, at int" if placed else ""))
 
 
+def copies(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, row of documents whose whole text a smaller document has. All their windows are
+    repeats, and no other document needs them as evidence."""
+    d = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text].cast("string")).alias("row"), F.unhex(F.md5(docs[text].cast("binary"))).alias("digest"))
+    first = d.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least")
+    return cut(d.join(cut(first, "texts"), "digest").where("doc_id > least").select("doc_id", "row").distinct(), "copies")
+
+
 def repeated_windows(docs: DataFrame, key: str, text: str, width: int = 50, period: int = 31) -> DataFrame:
-    """doc_id, row, starts: per document, the positions of windows that a smaller one has too."""
+    """doc_id, row, starts, whole: per document, the positions of windows that a smaller one has
+    too; whole (and no starts) if a smaller one has all of its text."""
     rows = _keyed(docs, key, text)
     anchors = _anchor_rows(rows, width, period, False)
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    shared = cut(anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"), "shared")
     placed = _anchor_rows(rows, width, period, True).join(shared, "h", "left_semi")
     found = cut(placed.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("at")).alias("ats")), "anchors")
 
@@ -116,26 +125,30 @@ def repeated_windows(docs: DataFrame, key: str, text: str, width: int = 50, peri
                 a0, b0, at = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a0), pa.array(b0), pa.array(np.repeat(part.column(0).to_numpy(), ns)), pa.array(np.repeat(part.column(1).to_numpy(), ns)), pa.array(at)], names=["h", "g", "doc_id", "row", "at"])
 
-    joined = found.join(rows, ["doc_id", "row"]).select("doc_id", "row", "text", "ats")
+    copied = copies(docs, key, text)
+    joined = found.join(copied, ["doc_id", "row"], "left_anti").join(rows, ["doc_id", "row"]).select("doc_id", "row", "text", "ats")
     windows = cut(joined.mapInArrow(extend, "h long, g long, doc_id long, row long, at int"), "windows")
-    first = windows.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "g", "least")
+    first = cut(windows.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "g", "least"), "first")
     later = windows.join(first, ["h", "g"]).where("doc_id > least")
-    return cut(later.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("at")).alias("starts")), "repeats")
+    starts = later.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("at")).alias("starts"), F.lit(False).alias("whole"))
+    return cut(starts.unionByName(copied.withColumns({"starts": F.lit(None).cast("array<int>"), "whole": F.lit(True)})), "repeats")
 
 
 def without_repeats(docs: DataFrame, key: str, text: str, width: int = 50, period: int = 31) -> DataFrame:
     """doc_id, n_words, n_removed, kept: the words that no repeated window covers, joined by one space."""
     rows = _keyed(docs, key, text)
-    joined = rows.join(repeated_windows(docs, key, text, width, period), ["doc_id", "row"], "left").select("doc_id", "text", "starts")
+    joined = rows.join(repeated_windows(docs, key, text, width, period), ["doc_id", "row"], "left").select("doc_id", "text", "starts", "whole")
 
     def run(batches):
         for batch in batches:
             for part in rows_of(batch):
                 out = []
-                for doc, text, starts in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for doc, text, starts, whole in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     words = text.split() if text else []
                     n, kept = len(words), words
-                    if starts:
+                    if whole:
+                        kept = words if n < width else []
+                    elif starts:
                         delta = np.zeros(n + 1, np.int32)
                         delta[starts] += 1
                         np.add.at(delta, np.array(starts) + width, -1)
