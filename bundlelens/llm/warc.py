@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringContains, StringEndsWith, StringStartsWith
 from pyspark.sql.types import StructType
 
-from bundlelens.llm.common import open_fs, shared_dir
+from bundlelens.llm.common import cut, open_fs, shared_dir
 
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -54,8 +54,9 @@ def records(pages: DataFrame, key: str, url: str, payload: str, min_bytes: int =
     body = F.coalesce(pages[payload].cast("binary"), F.lit(b""))
     p = pages.select(pages[key].cast("long").alias("key"), pages[url].cast("string").alias("url"), body.alias("body"))
     p = p.withColumns({"digest": base32_sha1(F.col("body")), "bytes": F.octet_length("body")})
-    copies = p.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    p = p.join(copies.select("digest", "first"), "digest", "left")
+    # written first: with its size known, the pages are shuffled only if the table of copies is large
+    copies = cut(p.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "copies")
+    p = p.join(copies, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")) & (F.col("bytes") >= min_bytes)
     block = F.when(revisit, F.lit("")).otherwise(F.concat(F.lit(HTTP), F.col("body").cast("string")))
     uri = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), " ", "%20")
