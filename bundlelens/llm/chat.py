@@ -65,25 +65,22 @@ def branches(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     there = n.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     # jump: a node's ancestor 2^k levels up (null beyond the root); depth: levels walked; total: their scores
     state = cut(n.join(there, ["tree", "parent"], "left").select(*own, F.when(F.col("there"), F.col("parent")).alias("jump"), F.when(F.col("there"), 1).otherwise(0).alias("depth"), F.col("score").alias("total")), "jumps")
-    jumps, last = [state.select(*own, "jump")], -1
-    while True:
-        left = state.where("jump is not null").count()
-        if left in (0, last):  # a round that ends no walk: those left go around in cycles
-            break
+    reached, walking, jumps, last = state.where("jump is null"), state.where("jump is not null"), [], -1
+    while (left := walking.count()) not in (0, last):  # a round that ends no walk: those left go around in cycles
+        jumps.append(walking.select(*own, "jump"))
         last = left
-        up = state.select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("depth").alias("more"), F.col("total").alias("plus"))
-        state = cut(state.join(up, ["tree", "jump"], "left").select(*own, F.col("next").alias("jump"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total")), "jumps")
-        jumps.append(state.select(*own, "jump"))
-    reached = state.where("jump is null")
-    parents = jumps[0].where("jump is not null").select("tree", F.col("jump").alias("node")).distinct()
+        to = reached.unionByName(walking).select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("depth").alias("more"), F.col("total").alias("plus"))
+        state = cut(walking.join(to, ["tree", "jump"]).select(*own, F.col("next").alias("jump"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("plus")).alias("total")), "jumps")
+        reached, walking = reached.unionByName(state.where("jump is null")), state.where("jump is not null")
+    parents = n.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
     leaves = reached.join(parents, own, "left_anti")
     place = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node"))
     chosen = leaves.select("tree", F.col("node").alias("branch"), F.col("depth").alias("length"), place.alias("rank"))
     if best is not None:
         chosen = chosen.where(F.col("rank") <= best)
     path = chosen.withColumn("node", F.col("branch"))
-    for jump in reversed(jumps[:-1]):  # of each node found, the one 2^k levels up is found too
-        above = path.join(jump.where("jump is not null"), own).select("tree", "branch", "length", "rank", F.col("jump").alias("node"))
+    for jump in reversed(jumps):  # of each node found, the one 2^k levels up is found too
+        above = path.join(jump, own).select("tree", "branch", "length", "rank", F.col("jump").alias("node"))
         path = cut(path.unionByName(above), "paths")
     text = n.select(*own, "role", "text")
     return path.join(reached.select(*own, "depth"), own).join(text, own).select("tree", "branch", "rank", "depth", "role", "text")
