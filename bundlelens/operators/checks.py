@@ -150,12 +150,18 @@ def alert_findings(alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, counters(a, "alerts", total=F.count("*")).unionByName(counters(firing, "alerts", firing=F.count("*")))
 
 
-def longhorn(spark: SparkSession, resources: DataFrame, lines: DataFrame, alerts: DataFrame, rule_set: dict = defaults.LONGHORN_RULES) -> tuple[DataFrame, DataFrame]:
-    """Findings and inventory of all storage checks."""
-    cond = rule_set["conditions"]["rules"]
+def volume_findings(resources: DataFrame, cond: list[dict]) -> tuple[DataFrame, DataFrame]:
     v = of_first_file(resources, f"{LH}/longhorn.io/v1beta2/volumes.yaml").withColumns({"state_of": field("status", "robustness"), "name": F.coalesce("name", F.lit("unknown volume"))})
     bad_v = (F.col("state_of") != "healthy") & F.col("state_of").isNotNull()
     volumes = one(v.where(bad_v), F.concat(F.lit("longhorn-volume-"), T.slug(F.col("name")), F.lit("-"), T.slug(F.col("state_of"))), F.when(F.col("state_of") == "faulted", "critical").otherwise("warning"), "Longhorn Volume", F.concat(F.lit("Volume "), "name", F.lit(" is "), "state_of"), [labelled("Robustness: ", F.col("state_of")), labelled("State: ", field("status", "state")), labelled("Current node: ", field("status", "currentNodeID"))])
+    found = volumes.unionByName(condition_findings(v, cond, "longhornVolumeCondition"), allowMissingColumns=True)
+    return found, counters(v, "volumes", total=F.count("*"), unhealthy=F.count_if(bad_v))
+
+
+def longhorn(spark: SparkSession, resources: DataFrame, lines: DataFrame, alerts: DataFrame, rule_set: dict = defaults.LONGHORN_RULES) -> tuple[DataFrame, DataFrame]:
+    """Findings and inventory of all storage checks."""
+    cond = rule_set["conditions"]["rules"]
+    volumes, on_volumes = volume_findings(resources, cond)
     r = of_first_file(resources, f"{LH}/longhorn.io/v1beta2/replicas.yaml").withColumns({"state_of": field("status", "currentState"), "name": F.coalesce("name", F.lit("unknown replica"))})
     bad_r = (F.col("state_of") != "running") & F.col("state_of").isNotNull()
     replicas = one(r.where(bad_r), F.concat(F.lit("longhorn-replica-"), T.slug(F.col("name")), F.lit("-"), T.slug(F.col("state_of"))), F.lit("warning"), "Longhorn Replica", F.concat(F.lit("Replica "), "name", F.lit(" is "), "state_of"), [labelled("State: ", F.col("state_of"))])
@@ -163,9 +169,9 @@ def longhorn(spark: SparkSession, resources: DataFrame, lines: DataFrame, alerts
     d = disks(n)
     disk = {"disk.name": F.col("disk_name"), "disk.nameSlug": T.slug(F.col("disk_name")), "disk.path": F.col("disk_path"), "disk.storageAvailable": F.col("available").cast("decimal(38,0)").cast("string"), "disk.storageMaximum": F.col("maximum").cast("decimal(38,0)").cast("string")}
     on_node, on_disk = condition_findings(n, cond, "longhornNodeCondition"), condition_findings(d, cond, "longhornNodeDiskCondition", disk)
-    parts = [volumes, condition_findings(v, cond, "longhornVolumeCondition"), replicas, condition_findings(r, cond, "longhornReplicaCondition"), on_node, on_disk]
+    parts = [volumes, replicas, condition_findings(r, cond, "longhornReplicaCondition"), on_node, on_disk]
     inv = [
-        counters(v, "volumes", total=F.count("*"), unhealthy=F.count_if(bad_v)), counters(r, "replicas", total=F.count("*"), notRunning=F.count_if(bad_r)),
+        on_volumes, counters(r, "replicas", total=F.count("*"), notRunning=F.count_if(bad_r)),
         counters(n, "nodes", total=F.count("*")), counters(d, "nodes", disks=F.count("*")), counters(on_node.unionByName(on_disk), "nodes", problematic=F.countDistinct("path", "item_no")),
         counters(on_disk, "nodes", diskIssues=F.count("*"), nodesWithDiskIssues=F.countDistinct("path", "item_no")),
     ]
@@ -211,15 +217,21 @@ def images(resources: DataFrame) -> DataFrame:
     return i.withColumns({"issue": (F.col("failed") > 0) | ~F.coalesce(F.col("imported") == "True", F.lit(False)) | F.coalesce(F.col("limit") == "True", F.lit(False)), "line": dotted(F.concat("display", F.lit(": Imported="), F.coalesce("imported", F.lit("unknown"))), labelled("failed=", F.col("failed")), labelled("progress=", field("status", "progress")), labelled("sourceType=", field("spec", "sourceType")), F.when(F.col("limit") == "True", "RetryLimitExceeded=True"))})
 
 
+def node_findings(resources: DataFrame, cond: list[dict]) -> tuple[DataFrame, DataFrame]:
+    n = of_first_file(resources, "yamls/cluster/v1/nodes.yaml").withColumn("name", F.coalesce("name", F.lit("unknown node")))
+    on_node = condition_findings(n, cond, "harvesterNodeCondition")
+    ntp = n.withColumn("ntp", T.ntp_status(F.coalesce(F.get_json_object("metadata", "$.annotations['node.harvesterhci.io/ntp-service']"), F.get_json_object("metadata", "$.annotations['node.harvesterhci.io/ntp-sync-status']")))).where("ntp <> 'synced'")
+    found = on_node.unionByName(one(ntp, F.concat(F.lit("harvester-node-"), T.slug(F.col("name")), F.lit("-ntp-"), T.slug(F.col("ntp"))), F.lit("warning"), "Harvester Node", F.concat(F.lit("Node "), "name", F.lit(" NTP is "), "ntp"), [labelled("NTP sync status: ", F.col("ntp"))]), allowMissingColumns=True)
+    return found, union_all(counters(n, "nodes", total=F.count("*")), counters(on_node, "nodes", notReady=F.count_if(F.col("cond_type") == "Ready"), pressure=F.count_if(F.col("cond_type").isin(*PRESSURES))), counters(ntp, "nodes", ntpUnsynced=F.count("*")), counters(on_node.select("bundle_id", "path", "item_no").unionByName(ntp.select("bundle_id", "path", "item_no")), "nodes", withIssues=F.countDistinct("path", "item_no")))
+
+
 def harvester(spark: SparkSession, resources: DataFrame, lines: DataFrame, alerts: DataFrame, rule_set: dict = defaults.HARVESTER_RULES, storage_rules: dict = defaults.LONGHORN_RULES) -> tuple[DataFrame, DataFrame]:
     """Findings and inventory of all checks of this product, the storage rollup included."""
     warning = F.lit("warning")
     parts, inv = [], []
-    n = of_first_file(resources, "yamls/cluster/v1/nodes.yaml").withColumn("name", F.coalesce("name", F.lit("unknown node")))
-    on_node = condition_findings(n, rule_set["conditions"]["rules"], "harvesterNodeCondition")
-    ntp = n.withColumn("ntp", T.ntp_status(F.coalesce(F.get_json_object("metadata", "$.annotations['node.harvesterhci.io/ntp-service']"), F.get_json_object("metadata", "$.annotations['node.harvesterhci.io/ntp-sync-status']")))).where("ntp <> 'synced'")
-    parts += [on_node, one(ntp, F.concat(F.lit("harvester-node-"), T.slug(F.col("name")), F.lit("-ntp-"), T.slug(F.col("ntp"))), warning, "Harvester Node", F.concat(F.lit("Node "), "name", F.lit(" NTP is "), "ntp"), [labelled("NTP sync status: ", F.col("ntp"))])]
-    inv += [counters(n, "nodes", total=F.count("*")), counters(on_node, "nodes", notReady=F.count_if(F.col("cond_type") == "Ready"), pressure=F.count_if(F.col("cond_type").isin(*PRESSURES))), counters(ntp, "nodes", ntpUnsynced=F.count("*")), counters(on_node.select("bundle_id", "path", "item_no").unionByName(ntp.select("bundle_id", "path", "item_no")), "nodes", withIssues=F.countDistinct("path", "item_no"))]
+    on_nodes, node_counters = node_findings(resources, rule_set["conditions"]["rules"])
+    parts.append(on_nodes)
+    inv.append(node_counters)
     a = of_first_file(resources, f"{HV}/catalog.cattle.io/v1/apps.yaml").withColumn("state", F.coalesce(field("status", "summary.state"), T.blank_to_null(F.regexp_extract("status", r'"state":\s*"([^"]+)"', 1))))
     bad = a.where(F.col("state") != "deployed").withColumn("line", F.concat(F.coalesce("name", F.lit("unknown app")), F.lit(": "), "state"))
     parts.append(rollup(bad, "harvester-apps-not-deployed", warning, "Harvester App", "Apps are not deployed"))

@@ -4,8 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from bundlelens.plans.oracles import SQL
-from bundlelens.plans.queries import QUERIES
+from bundlelens.plans import fleet, oracles, queries
+
+SQL, QUERIES = oracles.SQL | fleet.SQL, queries.QUERIES | fleet.QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,7 +46,7 @@ def test_hybrid_search_equals_brute_force(spark):
 
     from bundlelens.functions.text import STOP_WORDS
     from bundlelens.operators.kb import packed_chunks
-    from bundlelens.plans import queries as q
+    q = queries
 
     import re
 
