@@ -15,7 +15,6 @@ An empty table gives an empty result. Columns other than key and text are not re
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa

@@ -1,4 +1,3 @@
-import random
 
 from bundlelens.llm import decontaminate as D
 from tests.conftest import SF
