@@ -1,4 +1,4 @@
-"""Every query of the reference's operators against its SQL in DuckDB, on the smallest tables."""
+"""Every bundle query against its SQL in DuckDB, on the smallest tables."""
 
 import duckdb
 import pytest
