@@ -9,7 +9,8 @@ is its own template. Lines whose template comes in min_docs documents or more ar
 for the template's first line (smallest key, then line number), so that no content is lost.
 
 Kinds of lines are counted before anything is compared, so what is shuffled of a line that a
-third of all documents hold is a row a task; occurrences carry a 128-bit digest, not the text.
+third of all documents hold is a row a task; kinds and occurrences carry 128-bit digests, and the
+text is shuffled only of lines whose leaf recurs.
 
 Semantics. Lines of fewer than min_tokens tokens have too little structure and are kept. Null
 text stays null. Rows equal in key and text are one document; a row with a null key is kept
@@ -28,47 +29,57 @@ ANY = "<*>"
 DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT = 3, 4, 10, 0.6
 
 
-def masked(line: Column) -> Column:
-    """Single blanks between tokens, tokens with a digit as variable fields."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, "[ \t\r\f\x0b]+", " ")), "[^ ]*[0-9][^ ]*", ANY)
+def masked_lines(text: Column) -> Column:
+    """The lines of a text with single blanks between tokens, tokens with a digit as variable fields.
 
+    Most lines need neither, and a look for a character costs much less than a replacement; two
+    passes over the lines, so that the second one's uses of a line don't repeat the first.
+    """
+    odd = lambda x: x.contains("  ") | x.contains("\t") | x.contains("\r") | x.contains("\f") | x.contains("\x0b")
+    even = F.transform(F.split(text, "\n"), lambda x: F.trim(F.when(odd(x), F.regexp_replace(x, "[ \t\r\f\x0b]+", " ")).otherwise(x)))
+    return F.transform(even, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, "[^ ]*[0-9][^ ]*", ANY)).otherwise(x))
 
-def _lines(rows: DataFrame, min_tokens: int) -> DataFrame:
-    """doc_id, row, no, line (masked) of every line with enough tokens."""
-    each = rows.where("doc_id is not null and text is not null").select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return each.select("doc_id", "row", "no", masked(F.col("line")).alias("line")).where(F.length(F.translate("line", " ", "")) <= F.length("line") - (min_tokens - 1))
 
+def _enough(min_tokens: int) -> Column:
+    return F.substring_index("line", " ", min_tokens - 1) != F.col("line")
 
-def leaf_templates(kinds: DataFrame, depth: int, min_docs: int, constant: float) -> DataFrame:
-    """line, template of the kinds of lines (line, docs) that take their leaf's template."""
-    tokens = F.split("line", " ")
-    k = kinds.select("line", "docs", tokens.alias("tokens"), F.size(tokens).alias("n"), F.array_join(F.slice(tokens, 1, depth), " ").alias("lead"))
-    leaf = ["n", "lead"]
-    leaves = k.groupBy(*leaf).agg(F.sum("docs").alias("total"), F.count("*").alias("kinds")).where((F.col("total") >= min_docs) & (F.col("kinds") > 1)).drop("kinds")
-    k = cut(k.join(leaves, leaf), "leaves")
-    at = k.select(*leaf, "total", "docs", F.posexplode("tokens").alias("pos", "token"))
-    same = at.groupBy(*leaf, "total", "pos", "token").agg(F.sum("docs").alias("docs")).where(2 * F.col("docs") > F.col("total"))
-    fixed = same.groupBy(*leaf).agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("fixed"))  # a token a position
-    k = k.join(fixed, leaf).where(F.size("fixed") >= constant * F.col("n"))
+
+def _leaf(depth: int) -> Column:
+    """128 bits of a line's way through the tree: its number of tokens and its first tokens."""
+    blanks = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
+    return F.unhex(F.md5(F.concat_ws(" ", (blanks + 1).cast("string"), F.substring_index("line", " ", depth)).cast("binary")))
+
+
+def leaf_templates(kinds: DataFrame, constant: float) -> DataFrame:
+    """line, template (digests) of the kinds of lines (leaf, total, line, docs) of recurring
+    leaves that take their leaf's template."""
+    at = kinds.select("leaf", "total", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
+    same = at.groupBy("leaf", "total", "pos", "token").agg(F.sum("docs").alias("docs")).where(2 * F.col("docs") > F.col("total"))
+    fixed = cut(same.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("fixed")), "fixed")  # a token a position
+    k = kinds.join(fixed, "leaf").select("line", "fixed", F.split("line", " ").alias("tokens")).where(F.size("fixed") >= constant * F.size("tokens"))
     fits = F.forall(F.map_entries("fixed"), lambda e: F.get(F.col("tokens"), e["key"]) == e["value"])
-    template = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at(F.col("fixed"), i), F.lit(ANY))), " ")
-    return k.where(fits).select("line", template.alias("template"))
+    template = F.array_join(F.transform("tokens", lambda t, i: F.coalesce(F.try_element_at(F.col("fixed"), i), F.lit(ANY))), " ")
+    return k.where(fits).select(F.unhex(F.md5("line")).alias("line"), F.unhex(F.md5(template)).alias("template"))
 
 
 def recurring_lines(docs: DataFrame, key: str, text: str, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """doc_id, row, dropped (numbers of the lines to drop, from 0)."""
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text].cast("string")).alias("row"), docs[text].cast("string").alias("text"))
-    lines = _lines(rows, min_tokens)
-    per_doc = rows.where("doc_id is not null and text is not null").select(F.explode(F.array_distinct(F.transform(F.split("text", "\n"), masked))).alias("line"))
-    per_doc = per_doc.where(F.length(F.translate("line", " ", "")) <= F.length("line") - (min_tokens - 1))
-    kinds = cut(per_doc.groupBy("line").agg(F.count("*").alias("docs")), "kinds")
-    general = cut(leaf_templates(kinds, depth, min_docs, constant), "templates")
-    own = kinds.where(F.col("docs") >= min_docs).join(general, "line", "left_anti").select("line", F.col("line").alias("template"))
+    rows = rows.where("doc_id is not null and text is not null")
     digest = F.unhex(F.md5("line"))
-    known = own.unionByName(general).select(digest.alias("line"), F.unhex(F.md5("template")).alias("template"))
+    # the distinct kinds of lines of each row
+    per_doc = rows.select(F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line")).where(_enough(min_tokens))
+    kinds = cut(per_doc.groupBy(_leaf(depth).alias("leaf"), digest.alias("line")).agg(F.count("*").alias("docs")), "kinds")
+    leaves = cut(kinds.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count("*").alias("kinds")).where((F.col("total") >= min_docs) & (F.col("kinds") > 1)).drop("kinds"), "leaves")
+    # only lines of recurring leaves are looked at by their tokens
+    told = per_doc.select("line", _leaf(depth).alias("leaf")).join(leaves, "leaf").groupBy("leaf", "total", "line").agg(F.count("*").alias("docs"))
+    general = cut(leaf_templates(cut(told, "told"), constant), "templates")
+    own = kinds.where(F.col("docs") >= min_docs).join(general, "line", "left_anti").select("line", F.col("line").alias("template"))
+    known = cut(own.unionByName(general), "known")
+    lines = rows.select("doc_id", "row", F.posexplode(masked_lines(F.col("text"))).alias("no", "line")).where(_enough(min_tokens))
     seen = cut(lines.select("doc_id", "row", "no", digest.alias("line")).join(known, "line").drop("line"), "occurrences")
     per = seen.select("template", "doc_id", "row").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    first = seen.groupBy("template").agg(F.min(F.struct("doc_id", "row", "no")).alias("first")).join(per, "template").select("template", "first")
+    first = cut(seen.groupBy("template").agg(F.min(F.struct("doc_id", "row", "no")).alias("first")).join(per, "template").select("template", "first"), "first")
     gone = seen.join(first, "template").where(F.struct("doc_id", "row", "no") != F.col("first"))
     return cut(gone.groupBy("doc_id", "row").agg(F.collect_set("no").alias("dropped")), "dropped")
 
@@ -76,8 +87,9 @@ def recurring_lines(docs: DataFrame, key: str, text: str, depth: int = DEPTH, mi
 def without_recurring_lines(docs: DataFrame, key: str, text: str, **limits) -> DataFrame:
     """n_lines, n_dropped, doc (the row as it was, as a struct) and kept (the text that is left)."""
     gone = recurring_lines(docs, key, text, **limits)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text].cast("string")).alias("row"), F.split(docs[text].cast("string"), "\n").alias("lines"))
-    joined = rows.join(gone, ["doc_id", "row"], "left")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text].cast("string")).alias("row"))
+    # as a corpus grows the dropped lines do too: joined by sorting at every size
+    joined = rows.join(gone.hint("merge"), ["doc_id", "row"], "left").withColumn("lines", F.split(F.col("doc")[text].cast("string"), "\n"))
     left = F.filter("lines", lambda x, i: ~F.array_contains(F.col("dropped"), i))
     kept = F.when(F.col("dropped").isNull(), F.col("doc")[text].cast("string")).otherwise(F.array_join(left, "\n"))
     sizes = [F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(n) for c, n in (("lines", "n_lines"), ("dropped", "n_dropped"))]
