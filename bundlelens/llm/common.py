@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from bundlelens.session import shared_dir
 
@@ -29,6 +29,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python `rows` at a time where the session has Spark's default of 10,000:
+    a batch is held several times over, by the JVM outside its heap and by the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def join_path(base: str, *more: str) -> str:
     return "/".join([base.rstrip("/"), *more])
 

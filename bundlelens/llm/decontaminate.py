@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlelens.llm.common import BASES, Windows, cut, rows_of
+from bundlelens.llm.common import BASES, Windows, cut, rows_of, text_batches
 
 #: Words that count as a unit behind a number.
 UNITS = frozenset(
@@ -175,6 +175,7 @@ def template_windows(rows: DataFrame, widths: list[int], literals: int, known=No
                 for k in range(0, max(1, len(out)), 20_000):
                     yield pa.RecordBatch.from_pylist(out[k : k + 20_000], SCHEMA)
 
+    text_batches(rows.sparkSession)
     return rows.mapInArrow(run, ROWS)
 
 

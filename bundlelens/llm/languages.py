@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bundlelens.llm.common import rows_of
+from bundlelens.llm.common import rows_of, text_batches
 
 MARK = 1
 _TABLE: list[np.ndarray] = []
@@ -115,6 +115,7 @@ def learn(docs: DataFrame, text: str, lang: str, top: int = 300, most_languages:
             values, n = folded(kept)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(values)), pa.array(values), pa.array(n)], names=["lang", "gram", "n"])
 
+    text_batches(docs.sparkSession)
     rows = docs.select(docs[text].cast("string").alias("t"), docs[lang].cast("string").alias("l")).where("t is not null and l is not null")
     total = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))

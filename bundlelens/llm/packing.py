@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlelens.llm.common import cut, shared_dir
+from bundlelens.llm.common import cut, shared_dir, text_batches
 from bundlelens.llm.tokens import encoded
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -46,6 +46,7 @@ def pieces(docs: DataFrame, key: str, text: str, tokenizer_path: str, end_id: in
                 rows.clear()
         yield batch()
 
+    text_batches(docs.sparkSession)
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlelens.llm.common import cut, rows_of
+from bundlelens.llm.common import cut, rows_of, text_batches
 from bundlelens.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 fps = np.array([fingerprint(shingle_hashes(t or b"", width)) for t in part.column(1).cast(pa.binary()).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
+    text_batches(docs.sparkSession)
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
