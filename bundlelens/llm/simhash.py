@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlelens.llm.common import cut, rows_of, text_batches
+from bundlelens.llm.common import cut, mix, rows_of, text_batches
 from bundlelens.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -125,18 +125,117 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int, paired: in
     return found.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicate_groups(docs: DataFrame, key: str, text: str, widths: tuple[int, ...]) -> DataFrame:
+#: MinHash bands of a sketch and values a band: two sets of Jaccard similarity 0.8 agree in one with probability 0.9998.
+BANDS, ROWS = 16, 4
+MULTIPLIERS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+SKETCH = "doc_id long, row long, fp long, digest binary, bands array<long>"
+
+
+def band_hashes(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each band's smallest values over a set of shingle hashes (not empty)."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(hashes), 4096):
+            low = np.minimum(low, mix(MULTIPLIERS[:, None] * hashes[None, k : k + 4096]).min(axis=1))
+        return mix((low * MULTIPLIERS[::-1]).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)).view(np.int64)
+
+
+def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """doc_id, row (hash of the text), fp, digest of the set of shingles and its bands (both null
+    without words)."""
+
+    def run(batches):
+        for batch in batches:
+            for part in rows_of(batch):
+                fps, digests, bands = [], [], []
+                for t in part.column(2).cast(pa.binary()).to_pylist():
+                    h = shingle_hashes(t or b"", width)
+                    fps.append(fingerprint(h))
+                    own = np.unique(np.array(h, np.uint64))
+                    digests.append(xxhash.xxh3_128_digest(own.tobytes()) if h else None)
+                    bands.append(band_hashes(own) if h else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "row", "fp", "digest", "bands"])
+
+    text_batches(docs.sparkSession)
+    return _keyed(docs, key, text).mapInArrow(run, SKETCH)
+
+
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text].cast("string")).alias("row"), docs[text].cast("string").alias("text"))
+
+
+def _shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """digest, hashes (distinct) of rows(digest, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for part in rows_of(batch, 1_000_000):
+                sets = [np.unique(np.array(shingle_hashes(t, width), np.uint64)).view(np.int64) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "hashes"])
+
+    return rows.select("digest", "text").mapInArrow(run, "digest binary, hashes array<long>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs(a, b, da, db) whose sets of shingles (of digests da, db) have that Jaccard similarity."""
+    pairs = cut(pairs, "candidates")
+    asked = pairs.select(F.col("da").alias("digest")).union(pairs.select("db")).distinct()
+    sets = cut(_shingle_sets(texts.join(asked, "digest"), width), "sets")
+    sa, sb = (sets.select(F.col("digest").alias(d), F.col("hashes").alias(h)) for d, h in (("da", "ha"), ("db", "hb")))
+    both = pairs.join(sa, "da").join(sb, "db").withColumn("common", F.size(F.array_intersect("ha", "hb")))
+    return cut(both.where(F.col("common") >= least * (F.size("ha") + F.size("hb") - F.col("common"))).select("a", "b"), "similar")
+
+
+def similar_links(docs: DataFrame, key: str, text: str, found: DataFrame, width: int, least: float, paired: int = PAIRED) -> DataFrame:
+    """Links (a, b) between documents whose sets of shingles have a Jaccard similarity of `least`
+    or more; found: their sketches. Candidates agree in a band, all links are verified.
+
+    Each set is first compared to the first one of each of its bands; after that only sets of
+    a band that are not yet connected are paired. Of a band in which more than `paired` groups are
+    left only those are paired that agree in the next band too (in one that is crowded still,
+    each with the first).
+    """
+    found = found.where("digest is not null")
+    nodes = cut(found.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "bands")).alias("n")).select("digest", F.col("n.doc_id").alias("node"), F.col("n.row").alias("row"), "n.bands"), "sets_of_shingles")
+    same = found.join(nodes.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    texts = _keyed(docs, key, text).dropDuplicates(["doc_id", "row"]).join(nodes.select(F.col("node").alias("doc_id"), "row", "digest"), ["doc_id", "row"])
+    banded = nodes.select("digest", "node", F.posexplode("bands").alias("band", "e"), F.expr("transform(bands, (x, i) -> bands[(i + 1) % size(bands)])").alias("after")).select("digest", "node", "band", "e", F.expr("after[band]").alias("f"))
+    shared = banded.groupBy("band", "e").agg(F.count("*").alias("n"), F.min(F.struct("node", "digest")).alias("first")).where("n > 1")
+    banded = cut(banded.join(shared, ["band", "e"]), "banded")
+    star = banded.where(F.col("digest") != F.col("first.digest")).select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.digest").alias("da"), F.col("digest").alias("db"))
+    stars = _verified(star.distinct(), texts, width, least)
+
+    linked = components(stars.unionByName(same)).withColumnRenamed("component", "c")
+    left = cut(banded.join(linked, "node", "left").select("band", "e", "f", "digest", "node", F.coalesce("c", "node").alias("c")), "unconnected")
+    open_ = left.groupBy("band", "e").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+    left = left.join(open_.select("band", "e", "n"), ["band", "e"])
+    few, many = left.where(F.col("n") <= paired), left.where(F.col("n") > paired)
+    again = many.groupBy("band", "e", "f").agg(F.count("*").alias("m"), F.min(F.struct("node", "digest", "c")).alias("first"))
+    many = many.join(again, ["band", "e", "f"])
+
+    def across(rows: DataFrame, by: list[str]) -> DataFrame:
+        a, b = (rows.select(*by, F.col("node").alias(n), F.col("digest").alias(d), F.col("c").alias(c)) for n, d, c in (("a", "da", "ca"), ("b", "db", "cb")))
+        return a.join(b, by).where("ca <> cb and da < db").select("a", "b", "da", "db")
+
+    crowded = many.where((F.col("m") > paired) & (F.col("c") != F.col("first.c"))).select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.digest").alias("da"), F.col("digest").alias("db"))
+    pairs = across(few, ["band", "e"]).unionByName(across(many.where(F.col("m") <= paired), ["band", "e", "f"])).unionByName(crowded)
+    return stars.unionByName(same).unionByName(_verified(pairs.distinct(), texts, width, least))
+
+
+def near_duplicate_groups(docs: DataFrame, key: str, text: str, widths: tuple[int, ...], similar: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id, component_id of documents linked to a smaller one, where a link is one by the
-    fingerprints of any of the shingle widths. Null keys are left out."""
-    links = None
+    fingerprints of any of the shingle widths, or a Jaccard similarity of `least` between the sets
+    of shingles of `similar` words. Null keys are left out."""
+    keyed = docs.where(docs[key].isNotNull())
+    drawn = cut(sketches(keyed, key, text, similar), "sketches")
+    links = similar_links(keyed, key, text, drawn, similar, least)
     for width in widths:
-        found = cut(fingerprints(docs.where(docs[key].isNotNull()), key, text, width), "fingerprints")
+        found = drawn.select("doc_id", "fp") if width == similar else cut(fingerprints(keyed, key, text, width), "fingerprints")
         nodes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
         near = fingerprint_links(nodes.select("fp"))
         a, b = (nodes.select(F.col("fp").alias(f), F.col("node").alias(n)) for f, n in (("fa", "a"), ("fb", "b")))
         own = found.join(nodes, "fp").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-        more = cut(near.join(a, "fa").join(b, "fb").select("a", "b").unionByName(own), "links")
-        links = more if links is None else links.unionByName(more)
+        links = links.unionByName(cut(near.join(a, "fa").join(b, "fb").select("a", "b").unionByName(own), "links"))
     return components(links).where("component <> node").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 

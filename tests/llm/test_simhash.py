@@ -82,3 +82,41 @@ def test_repeated_null_and_no_rows(spark):
     got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(docs, "doc_id", "text", 3).collect())
     assert got == [("3", "3"), ("3", "3"), ("None", "3"), ("None", "None")]
     assert simhash.near_duplicates(docs.limit(0), "doc_id", "text", 3).count() == 0
+
+
+def shingles(text, width=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+
+def test_near_copies_beyond_two_bits_are_grouped(spark):
+    rng = random.Random(9)
+    said = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(40):
+        words = said(200)
+        for copy in range(3):
+            w = list(words)
+            for at in rng.sample(range(10, 190), copy):
+                w[at] = f"new{k}x{at}"
+            rows.append((10 * k + copy, " ".join(w)))
+            if copy:
+                assert len(shingles(rows[-1][1]) & shingles(" ".join(words))) >= 0.8 * len(shingles(rows[-1][1]) | shingles(" ".join(words)))
+                want[10 * k + copy] = 10 * k
+    rows += [(1000 + k, " ".join(said(40))) for k in range(20)] + [(2000, None), (2001, "")]
+    half = said(100)
+    rows += [(3000, " ".join(half + said(100))), (3001, " ".join(half + said(100)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(docs, "doc_id", "text", (3, 5)).collect()}
+    assert got == want | {2001: 2000}
+
+
+def test_bands_of_many_sets_lose_no_link(spark):
+    rng = random.Random(1)
+    chain = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(chain[k : k + 50])) for k in range(10)] + [(100 + k, " ".join(f"v{rng.randrange(900)}" for _ in range(30))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = simhash.sketches(docs, "doc_id", "text", 5)
+    for paired in (2, 96):
+        links = simhash.similar_links(docs, "doc_id", "text", found, 5, 0.8, paired)
+        assert {r.node: r.component for r in components(links).collect()} == {k: 0 for k in range(10)}
