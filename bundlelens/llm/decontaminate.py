@@ -4,13 +4,15 @@ A text becomes a sequence of template tokens: words without surrounding punctuat
 case, but <num> for a number, <qty> for a number with a unit behind it, <name> for a run of
 capitalised words within a sentence. Windows of `width` template tokens of documents and
 benchmark items are hash-joined, and the templates compared. Where a document shares enough of
-an item's windows at one shift, the values in the placeholders are compared: a consistent
+an item's windows at one shift, or at shifts `drift` or less apart (a few words put in or left out
+between them), the values in the placeholders are compared: a consistent
 one-to-one replacement of the item's values is a copy of the question, re-parameterised or not;
 values that contradict each other are another text of the same form.
 
-Semantics. An item with fewer tokens than `width` is one window as a whole; items under
-`least` tokens, and windows with fewer than `literals` words beside placeholders, say too little
-and match nothing. Null texts, null items and empty tables match nothing. Rows of one key count
+Semantics. An item with fewer tokens than `width` is one window as a whole; windows with fewer
+than `literals` words beside placeholders say too little and don't count, neither as shared nor
+as the item's. An item of such windows only is one window as a whole; if that has too few words
+still, only the same values match. Items under `least` tokens match nothing. Null texts, null items and empty tables match nothing. Rows of one key count
 as one document; a null key is reported as null. Columns other than key and text are not read.
 """
 
@@ -126,11 +128,12 @@ ROWS = "key long, width int, h long, at int, n int, template string, slots array
 SCHEMA = pa.schema([("key", pa.int64()), ("width", pa.int32()), ("h", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
 
 
-def template_windows(rows: DataFrame, widths: list[int], literals: int, known=None, whole: tuple[int, int] | None = None) -> DataFrame:
+def template_windows(rows: DataFrame, widths: dict[int, int], known=None, whole: tuple[int, int, int] | None = None) -> DataFrame:
     """Windows of rows(key, text): key, width, h, at, n (tokens of the text), template, slots.
 
-    known: {width: sorted hashes}, broadcast; other windows are not made rows. whole = (width, least):
-    texts with fewer tokens than width, but least, are one window.
+    widths: {width: least number of words beside placeholders}. known: {width: sorted hashes},
+    broadcast; other windows are not made rows. whole = (width, least, literals): texts with fewer
+    tokens than width, but least, are one window, as are those without a window of `literals` words.
     """
     shared = rows.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
@@ -151,13 +154,17 @@ def template_windows(rows: DataFrame, widths: list[int], literals: int, known=No
                 prefix = w.prefix(p["hash"])
                 words = np.concatenate([[0], np.cumsum(p["mark"] < 0)])
                 out = []
-                sets = [(width, None) for width in widths]
+                sets = [(width, None, floor) for width, floor in widths.items()]
                 if whole:
-                    sets = [(whole[0], None)] + [(k, size == k) for k in range(whole[1], whole[0])]
-                for width, only in sets:
+                    at = np.arange(max(0, len(p["hash"]) - whole[0] + 1))
+                    d = p["doc"][: len(at)]
+                    full = np.zeros(len(keys), bool)
+                    full[d[(at + whole[0] <= ends[d]) & (words[at + whole[0]] - words[at] >= whole[2])]] = True
+                    sets = [(whole[0], full, whole[2])] + [(int(k), ~full & (size == k), 0) for k in np.unique(size[~full]) if k >= whole[1]]
+                for width, only, floor in sets:
                     at = np.arange(max(0, len(p["hash"]) - width + 1))
                     d = p["doc"][: len(at)]
-                    ok = (at + width <= ends[d]) & (words[at + width] - words[at] >= min(literals, width))
+                    ok = (at + width <= ends[d]) & (words[at + width] - words[at] >= floor)
                     if only is not None:
                         ok &= only[d]
                     at = at[ok]
@@ -179,9 +186,9 @@ def template_windows(rows: DataFrame, widths: list[int], literals: int, known=No
     return rows.mapInArrow(run, ROWS)
 
 
-def contamination(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, width: int = 8, least: int = 5, literals: int = 3, share: float = 0.5, broadcast_windows: int = 1_000_000) -> DataFrame:
+def contamination(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, width: int = 8, least: int = 5, literals: int = 3, share: float = 0.5, broadcast_windows: int = 1_000_000, drift: int = 4) -> DataFrame:
     """doc_id, item_id, n_shared, n_windows, share, exact of each document that holds at least
-    `share` of an item's windows at one shift with consistent values.
+    `share` of an item's windows, at one shift or at shifts `drift` or less apart, with consistent values.
 
     The hashes of the items' windows are broadcast to filter the documents' windows at their
     source if there are broadcast_windows of them or fewer (8 MB at most); with more, all windows
@@ -189,16 +196,21 @@ def contamination(docs: DataFrame, key: str, text: str, items: DataFrame, item_k
     """
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text")).where("text is not null")
     bench = items.select(items[item_key].cast("long").alias("key"), items[item_text].cast("string").alias("text")).where("key is not null and text is not null")
-    of_items = cut(template_windows(bench, [], literals, whole=(width, least)), "items")
+    of_items = cut(template_windows(bench, {}, whole=(width, least, literals)), "items")
+    words = F.col("width") - F.size("slots")
+    floors = {r.width: r.words for r in of_items.groupBy("width").agg(F.min(words).alias("words")).collect()}
     hashes = of_items.select("width", "h").distinct()
     some = hashes.limit(broadcast_windows + 1).collect()
-    widths = sorted({r.width for r in some}) if len(some) <= broadcast_windows else list(range(least, width + 1))
-    known = {k: np.unique(np.array([r.h for r in some if r.width == k], np.int64).view(np.uint64)) for k in widths} if len(some) <= broadcast_windows else None
-    of_docs = template_windows(rows, widths, literals, known)
+    known = {k: np.unique(np.array([r.h for r in some if r.width == k], np.int64).view(np.uint64)) for k in floors} if len(some) <= broadcast_windows else None
+    of_docs = template_windows(rows, floors, known)
+    sizes = of_items.groupBy("key", "n").agg(F.countDistinct("at").alias("n_windows"))
     a = of_docs.select("width", "h", "template", F.col("key").alias("doc_id"), F.col("at").alias("da"), F.col("slots").alias("ds"))
-    b = of_items.select("width", "h", "template", F.col("key").alias("item_id"), F.col("at").alias("ia"), F.col("slots").alias("bs"), F.greatest(F.col("n") - F.col("width") + 1, F.lit(1)).alias("n_windows"))
+    b = of_items.join(sizes, ["key", "n"]).select("width", "h", "template", F.col("key").alias("item_id"), F.col("at").alias("ia"), F.col("slots").alias("bs"), "n", "n_windows", (words < literals).alias("weak"))
     pairs = a.join(b, ["width", "h", "template"]).withColumn("shift", F.col("da") - F.col("ia"))
-    by = ["doc_id", "item_id", "shift", "n_windows"]
+    # each run of one shift, and of drift + 1 neighbouring ones from each on that some window lies in
+    near = F.transform(F.sequence(F.lit(0), F.lit(drift)), lambda k: F.struct((F.col("shift") - k).alias("base"), F.lit(drift).alias("span")))
+    pairs = pairs.withColumn("run", F.explode(F.concat(F.array(F.struct(F.col("shift").alias("base"), F.lit(0).alias("span"))), near)))
+    by = ["doc_id", "item_id", "run", "n", "n_windows", "weak"]
     runs = pairs.groupBy(*by).agg(
         F.countDistinct("ia").alias("n_shared"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("bs").alias("b"), F.col("ds").alias("d"))))).alias("values"),
@@ -206,7 +218,7 @@ def contamination(docs: DataFrame, key: str, text: str, items: DataFrame, item_k
     values = F.col("values")
     one_to_one = (F.size(F.array_distinct(values["b"])) == F.size(values)) & (F.size(F.array_distinct(values["d"])) == F.size(values))
     runs = runs.withColumn("consistent", one_to_one).withColumn("exact", F.forall(values, lambda v: v["b"] == v["d"]))
-    runs = runs.withColumn("share", F.col("n_shared") / F.col("n_windows")).where(F.col("consistent") & (F.col("share") >= share))
+    runs = runs.withColumn("share", F.col("n_shared") / F.col("n_windows")).where(F.col("consistent") & (F.col("exact") | ~F.col("weak")) & (F.col("share") >= share))
     best = runs.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", "n_windows", "share", "exact")).alias("r"))
     r = F.col("r")
     return best.select("doc_id", "item_id", r["n_shared"].alias("n_shared"), r["n_windows"].cast("long").alias("n_windows"), r["share"].alias("share"), r["exact"].alias("exact"))

@@ -73,3 +73,14 @@ def test_equals_brute_force_on_the_documents(spark):
                 want.add((doc, item))
     assert {(r.doc_id, r.item_id) for r in D.op2_decontamination(spark, SF).collect()} == want
     assert len(want) > 20
+
+
+def test_items_of_few_words_and_items_with_a_word_put_in(spark):
+    numbers = "Compute the sum of 3 5 7 9 11 13 15 17 19 21"
+    only = "1 2 3 4 5 6 7 8 9 10 Alpha"
+    words = ITEM.split()
+    more = " ".join([*words[:13], "exactly", *words[13:]])
+    for bound in (1_000_000, 0):
+        got = found(spark, ["Well. " + numbers + " now", "see " + only, "see " + only.replace("7", "70"), "Intro. " + more], [numbers, only, ITEM], broadcast_windows=bound)
+        assert set(got) == {(0, 0), (1, 1), (3, 2)}
+        assert got[0, 0].share == 1 and got[1, 1].exact and got[3, 2].share < 1
