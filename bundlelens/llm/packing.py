@@ -1,9 +1,12 @@
 """Operator 8: hierarchical residual best-fit packing.
 
 Pieces of at most `capacity` tokens are dealt to tasks and packed there, longest first, each
-into the open sequence with the least room that still takes it. Sequences that are nearly full
-are emitted; the others go up as items of their whole length to a round of fewer tasks, and so
-on to one task, which gets only the few underfull sequences that are left.
+into the open sequence with the least room that still takes it. A task leaves at most one sequence
+that is half full or less, as two would have been one. Those go up as items of their whole length
+to a round of fewer tasks, and so on to one task, with as many of the fuller sequences, those
+with the most room: no two of these fit together, and each needs one of the others. All the rest
+is emitted, so that a round gets at most two sequences of each task of the round before, whatever
+the lengths are.
 
 Semantics. Null text is the empty text (its end id alone). A repeated row is packed as often
 as it is there. Null keys are packed like others and come back null. An empty table gives an
@@ -73,11 +76,11 @@ class BestFit:
 
 
 ITEMS = pa.list_(pa.struct(list(PIECE)))
-OPEN = pa.schema([("size", pa.int64()), ("sequence_id", pa.int64()), ("items", ITEMS)])
+OPEN = pa.schema([("size", pa.int64()), ("sequence_id", pa.int64()), ("open", pa.bool_()), ("items", ITEMS)])
 
 
 def _round(capacity: int, spare: int, number: int):
-    """Pack a task's items (sorted, longest first); sequences with more than `spare` room stay open."""
+    """Pack a task's items (sorted, longest first); sequences with more than `spare` room are open."""
 
     def run(batches):
         fit = BestFit(capacity)
@@ -87,7 +90,7 @@ def _round(capacity: int, spare: int, number: int):
         base, k, rows = (number << 56) | (TaskContext.get().partitionId() << 32), 0, []
         for room, stack in enumerate(fit.stacks):
             for seq in stack:
-                rows.append({"size": capacity - room, "sequence_id": base + k if room <= spare else None, "items": seq})
+                rows.append({"size": capacity - room, "sequence_id": base + k, "open": room > spare, "items": seq})
                 k += 1
                 if len(rows) >= 5000:
                     yield pa.RecordBatch.from_pylist(rows, OPEN)
@@ -101,7 +104,7 @@ def pack(found: DataFrame, capacity: int, spare: int | None = None, per_task: in
     """Place pieces (doc_id, piece, start, length, ids_crc32) in sequences of up to `capacity`.
 
     A task of the first round gets about per_task pieces, one of each later round about the
-    open sequences of fan_in tasks before. A sequence is nearly full if `spare` tokens or fewer
+    open sequences of fan_in tasks before (2 * fan_in), or per_task of them. A sequence is nearly full if `spare` tokens or fewer
     are free (default: a 64th of the capacity).
     """
     spare = capacity // 64 if spare is None else spare
@@ -110,19 +113,28 @@ def pack(found: DataFrame, capacity: int, spare: int | None = None, per_task: in
     kind = "array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>>"
     items = found.select(F.col("length").alias("size"), item.cast(kind).alias("items"))
     folder, number, tasks = shared_dir(spark, "packing"), 0, max(1, -(-found.count() // per_task))
-    schema = f"size long, sequence_id long, items {kind}, round int, open boolean"
+    schema, up = f"size long, sequence_id long, items {kind}, round int, open boolean", None
     while True:
         last = tasks == 1
         first = F.col("items")[0]
         dealt = items.repartition(tasks, F.xxhash64(first)) if tasks > 1 else items.coalesce(1) if number else items.repartition(1)
         dealt = dealt.sortWithinPartitions(F.desc("size"), first["doc_id"], first["piece"], first["ids_crc32"])
-        packed = dealt.mapInArrow(_round(capacity, capacity if last else spare, number), f"size long, sequence_id long, items {kind}")
-        packed.withColumn("open", F.col("sequence_id").isNull()).write.partitionBy("open").parquet(f"{folder}/round={number}")
+        packed = dealt.mapInArrow(_round(capacity, capacity if last else spare, number), f"size long, sequence_id long, open boolean, items {kind}")
+        packed.write.partitionBy("open").parquet(f"{folder}/round={number}")
         if last:
             break
-        items = spark.read.schema(schema).parquet(folder).where(f"round = {number} and open").select("size", "items")
-        tasks, number = -(-tasks // fan_in), number + 1
-    full = spark.read.schema(schema).parquet(folder).where("not open")
+        left = spark.read.schema(schema).parquet(folder).where(f"round = {number} and open").select("size", "sequence_id", "items")
+        half = left.where(2 * F.col("size") <= capacity)
+        n = half.count()  # one a task at most
+        if not n:
+            break
+        items = cut(half.unionByName(left.where(2 * F.col("size") > capacity).orderBy("size", "sequence_id").limit(n)), "open")
+        gone = items.select("sequence_id")
+        up = gone if up is None else up.unionByName(gone)
+        items = items.select("size", "items")
+        tasks, number = max(1, min(-(-tasks // fan_in), -(-2 * n // per_task))), number + 1
+    full = spark.read.schema(schema).parquet(folder)
+    full = full if up is None else full.join(F.broadcast(up), "sequence_id", "left_anti")
     ends = F.expr("transform(sequence(1, size(items)), i -> struct(items[i - 1] as piece, aggregate(slice(items, 1, i - 1), 0L, (s, x) -> s + x.length) as offset))")
     placed = full.select("sequence_id", F.explode(ends).alias("e"))
     return placed.select(*[F.col("e.piece")[f.name].alias(f.name) for f in PIECE], "sequence_id", F.col("e.offset").alias("offset"))

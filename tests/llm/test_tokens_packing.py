@@ -109,3 +109,14 @@ def test_sequences_hold_the_ids(spark):
     out = packing.sequences(docs, placed, "doc_id", "text", PATH, 0, 64).collect()
     assert sum(len(r.ids) for r in out) == sum(len(ids_of(t, 0)) for _, t in rows)
     assert all(len(r.ids) == sum(r.lengths) <= 64 for r in out)
+
+
+def test_pieces_that_fit_nowhere_are_not_sent_up(spark, tmp_path, monkeypatch):
+    rows = [(i, 0, 0, 1100 + i % 900, i) for i in range(2000)] + [(5000 + i, 0, 0, 10, i) for i in range(3)]
+    found = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    monkeypatch.setattr(packing, "shared_dir", lambda *_: str(tmp_path / "packing"))
+    got = packing.pack(found, 2048, per_task=200, fan_in=4).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == sorted((r[0], r[3]) for r in rows)
+    assert check_packing(got, 2048) == 2000
+    late = [p for p in (tmp_path / "packing").glob("round=*") if p.name != "round=0"]
+    assert sum(spark.read.parquet(str(p)).count() for p in late) <= 2 * 11
