@@ -5,9 +5,11 @@ case, but <num> for a number, <qty> for a number with a unit behind it, <name> f
 capitalised words within a sentence. Windows of `width` template tokens of documents and
 benchmark items are hash-joined, and the templates compared. Where a document shares enough of
 an item's windows at one shift, or at shifts `drift` or less apart (a few words put in or left out
-between them), the values in the placeholders are compared: a consistent
-one-to-one replacement of the item's values is a copy of the question, re-parameterised or not;
-values that contradict each other are another text of the same form.
+between them), the values in the placeholders are compared by
+type and place: a copy of the question, re-parameterised or not, replaces its names one to one,
+and its numbers freely if all windows are there; with fewer windows at least half of the number
+slots must hold the value that most slots of the same number of the item hold. Names that
+contradict each other are another text of the same form.
 
 Semantics. An item with fewer tokens than `width` is one window as a whole; windows with fewer
 than `literals` words beside placeholders say too little and don't count, neither as shared nor
@@ -129,7 +131,8 @@ SCHEMA = pa.schema([("key", pa.int64()), ("width", pa.int32()), ("h", pa.int64()
 
 
 def template_windows(rows: DataFrame, widths: dict[int, int], known=None, whole: tuple[int, int, int] | None = None) -> DataFrame:
-    """Windows of rows(key, text): key, width, h, at, n (tokens of the text), template, slots.
+    """Windows of rows(key, text): key, width, h, at, n (tokens of the text), template, slots
+    (n for a name or v for a number, place in the window, blank, value).
 
     widths: {width: least number of words beside placeholders}. known: {width: sorted hashes},
     broadcast; other windows are not made rows. whole = (width, least, literals): texts with fewer
@@ -178,7 +181,7 @@ def template_windows(rows: DataFrame, widths: dict[int, int], known=None, whole:
                     for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
                         d = int(p["doc"][i])
                         span = range(i, i + width)
-                        out.append({"key": keys[d], "width": width, "h": x, "at": i - int(ends[d] - size[d]), "n": int(size[d]), "template": " ".join(t.token(p, j) for j in span), "slots": [t.value(p, j) for j in span if p["mark"][j] >= 0]})
+                        out.append({"key": keys[d], "width": width, "h": x, "at": i - int(ends[d] - size[d]), "n": int(size[d]), "template": " ".join(t.token(p, j) for j in span), "slots": [f"{'n' if p['mark'][j] == 2 else 'v'}{j - i} {t.value(p, j)}" for j in span if p["mark"][j] >= 0]})
                 for k in range(0, max(1, len(out)), 20_000):
                     yield pa.RecordBatch.from_pylist(out[k : k + 20_000], SCHEMA)
 
@@ -211,13 +214,18 @@ def contamination(docs: DataFrame, key: str, text: str, items: DataFrame, item_k
     near = F.transform(F.sequence(F.lit(0), F.lit(drift)), lambda k: F.struct((F.col("shift") - k).alias("base"), F.lit(drift).alias("span")))
     pairs = pairs.withColumn("run", F.explode(F.concat(F.array(F.struct(F.col("shift").alias("base"), F.lit(0).alias("span"))), near)))
     by = ["doc_id", "item_id", "run", "n", "n_windows", "weak"]
-    runs = pairs.groupBy(*by).agg(
-        F.countDistinct("ia").alias("n_shared"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("bs").alias("b"), F.col("ds").alias("d"))))).alias("values"),
-    )
+    slot = lambda x: F.struct(F.substring(x["b"], 1, 1).alias("kind"), (F.col("ia") + F.regexp_extract(x["b"], "^.([0-9]+) ", 1).cast("int")).alias("place"), *[F.regexp_replace(x[c], "^.[0-9]+ ", "").alias(c) for c in ("b", "d")])
+    pairs = pairs.withColumn("values", F.transform(F.arrays_zip(F.col("bs").alias("b"), F.col("ds").alias("d")), slot))
+    runs = pairs.groupBy(*by).agg(F.countDistinct("ia").alias("n_shared"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"))
     values = F.col("values")
-    one_to_one = (F.size(F.array_distinct(values["b"])) == F.size(values)) & (F.size(F.array_distinct(values["d"])) == F.size(values))
-    runs = runs.withColumn("consistent", one_to_one).withColumn("exact", F.forall(values, lambda v: v["b"] == v["d"]))
+    names = F.array_distinct(F.transform(F.filter(values, lambda v: v["kind"] == "n"), lambda v: F.struct(v["b"].alias("b"), v["d"].alias("d"))))
+    one_to_one = (F.size(F.array_distinct(names["b"])) == F.size(names)) & (F.size(F.array_distinct(names["d"])) == F.size(names))
+    numbers = F.filter(values, lambda v: v["kind"] == "v")
+    # slots of each number of the item that hold its most frequent replacement
+    most = lambda b: F.array_max(F.transform(F.filter(numbers, lambda v: v["b"] == b), lambda v: F.size(F.filter(numbers, lambda w: (w["b"] == b) & (w["d"] == v["d"])))))
+    agree = F.aggregate(F.transform(F.array_distinct(numbers["b"]), most), F.lit(0), lambda s, x: s + x)
+    runs = runs.withColumn("consistent", one_to_one & ((F.col("n_shared") == F.col("n_windows")) | (2 * agree >= F.size(numbers))))
+    runs = runs.withColumn("exact", F.forall(values, lambda v: v["b"] == v["d"]))
     runs = runs.withColumn("share", F.col("n_shared") / F.col("n_windows")).where(F.col("consistent") & (F.col("exact") | ~F.col("weak")) & (F.col("share") >= share))
     best = runs.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_shared", "n_windows", "share", "exact")).alias("r"))
     r = F.col("r")

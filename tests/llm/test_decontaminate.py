@@ -84,3 +84,11 @@ def test_items_of_few_words_and_items_with_a_word_put_in(spark):
         got = found(spark, ["Well. " + numbers + " now", "see " + only, "see " + only.replace("7", "70"), "Intro. " + more], [numbers, only, ITEM], broadcast_windows=bound)
         assert set(got) == {(0, 0), (1, 1), (3, 2)}
         assert got[0, 0].share == 1 and got[1, 1].exact and got[3, 2].share < 1
+
+
+def test_numbers_may_meet_and_part_but_names_may_not(spark):
+    items = ["Tom has 3 apples and 5 pears in a basket, how much fruit does he hold in all", "Take 2 apples out of 2 baskets and count what is left of the fruit for Jane Roe"]
+    texts = [items[0].replace("3", "4").replace("5", "4"), items[1].replace("2", "3", 1).replace("2", "7"), items[1].replace("Jane Roe", "Bo Li")]
+    got = found(spark, texts, items)
+    assert set(got) == {(0, 0), (1, 1), (2, 1)}
+    assert not any(r.exact for r in got.values())
