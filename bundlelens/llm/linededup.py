@@ -40,8 +40,9 @@ def masked_lines(text: Column) -> Column:
     return F.transform(even, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, "[^ ]*[0-9][^ ]*", ANY)).otherwise(x))
 
 
-def _enough(min_tokens: int) -> Column:
-    return F.substring_index("line", " ", min_tokens - 1) != F.col("line")
+def _enough(min_tokens: int, literal: bool) -> Column:
+    enough = F.substring_index("line", " ", min_tokens - 1) != F.col("line")
+    return enough & (F.trim(F.replace(F.col("line"), F.lit(ANY), F.lit(""))) != "") if literal else enough
 
 
 def _leaf(depth: int) -> Column:
@@ -50,33 +51,40 @@ def _leaf(depth: int) -> Column:
     return F.unhex(F.md5(F.concat_ws(" ", (blanks + 1).cast("string"), F.substring_index("line", " ", depth)).cast("binary")))
 
 
-def leaf_templates(kinds: DataFrame, constant: float) -> DataFrame:
+def leaf_templates(kinds: DataFrame, constant: float, behind: int = 0) -> DataFrame:
     """line, template (digests) of the kinds of lines (leaf, total, line, docs) of recurring
-    leaves that take their leaf's template."""
+    leaves that take their leaf's template. With `behind` the share of constants is that of literal
+    tokens among the positions behind so many leading ones, which are the same in all of a leaf."""
     at = kinds.select("leaf", "total", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     same = at.groupBy("leaf", "total", "pos", "token").agg(F.sum("docs").alias("docs")).where(2 * F.col("docs") > F.col("total"))
+    if behind:
+        same = same.where(F.col("token") != ANY)
     fixed = cut(same.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("fixed")), "fixed")  # a token a position
-    k = kinds.join(fixed, "leaf").select("line", "fixed", F.split("line", " ").alias("tokens")).where(F.size("fixed") >= constant * F.size("tokens"))
+    k = kinds.join(fixed, "leaf").select("line", "fixed", F.split("line", " ").alias("tokens"))
+    k = k.where(F.size(F.filter(F.map_keys("fixed"), lambda pos: pos >= behind)) >= constant * (F.size("tokens") - behind))
     fits = F.forall(F.map_entries("fixed"), lambda e: F.get(F.col("tokens"), e["key"]) == e["value"])
     template = F.array_join(F.transform("tokens", lambda t, i: F.coalesce(F.try_element_at(F.col("fixed"), i), F.lit(ANY))), " ")
     return k.where(fits).select(F.unhex(F.md5("line")).alias("line"), F.unhex(F.md5(template)).alias("template"))
 
 
-def recurring_lines(docs: DataFrame, key: str, text: str, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
-    """doc_id, row, dropped (numbers of the lines to drop, from 0)."""
+def recurring_lines(docs: DataFrame, key: str, text: str, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, constant: float = CONSTANT, literal: bool = False) -> DataFrame:
+    """doc_id, row, dropped (numbers of the lines to drop, from 0).
+
+    literal: only literal tokens behind the leading ones count as constants of a leaf of several
+    kinds, and lines without a literal token are kept."""
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text].cast("string")).alias("row"), docs[text].cast("string").alias("text"))
     rows = rows.where("doc_id is not null and text is not null")
     digest = F.unhex(F.md5("line"))
     # the distinct kinds of lines of each row
-    per_doc = rows.select(F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line")).where(_enough(min_tokens))
+    per_doc = rows.select(F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line")).where(_enough(min_tokens, literal))
     kinds = cut(per_doc.groupBy(_leaf(depth).alias("leaf"), digest.alias("line")).agg(F.count("*").alias("docs")), "kinds")
     leaves = cut(kinds.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count("*").alias("kinds")).where((F.col("total") >= min_docs) & (F.col("kinds") > 1)).drop("kinds"), "leaves")
     # only lines of recurring leaves are looked at by their tokens
     told = per_doc.select("line", _leaf(depth).alias("leaf")).join(leaves, "leaf").groupBy("leaf", "total", "line").agg(F.count("*").alias("docs"))
-    general = cut(leaf_templates(cut(told, "told"), constant), "templates")
+    general = cut(leaf_templates(cut(told, "told"), constant, depth if literal else 0), "templates")
     own = kinds.where(F.col("docs") >= min_docs).join(general, "line", "left_anti").select("line", F.col("line").alias("template"))
     known = cut(own.unionByName(general), "known")
-    lines = rows.select("doc_id", "row", F.posexplode(masked_lines(F.col("text"))).alias("no", "line")).where(_enough(min_tokens))
+    lines = rows.select("doc_id", "row", F.posexplode(masked_lines(F.col("text"))).alias("no", "line")).where(_enough(min_tokens, literal))
     seen = cut(lines.select("doc_id", "row", "no", digest.alias("line")).join(known, "line").drop("line"), "occurrences")
     per = seen.select("template", "doc_id", "row").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     first = cut(seen.groupBy("template").agg(F.min(F.struct("doc_id", "row", "no")).alias("first")).join(per, "template").select("template", "first"), "first")

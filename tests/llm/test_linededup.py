@@ -44,3 +44,11 @@ def test_long_text_and_no_rows(spark):
 
 def test_limits_are_those_of_the_sql():
     assert (linededup.DEPTH, linededup.MIN_TOKENS, linededup.MIN_DOCS, linededup.CONSTANT) == (3, 4, 10, 0.6)
+
+
+def test_lines_that_only_begin_alike_and_rows_of_numbers_are_kept(spark):
+    word = "alder birch cedar dogwood elm fir ginkgo hazel ivy juniper kapok larch".split()
+    rows = [(k, f"this is the {w}\nthis is the {w} tree\n{k} {k} {k} {k}\nsigned by the one author today") for k, w in enumerate(word)]
+    got = run(spark, rows, literal=True)
+    assert [r[2] for r in sorted(got)] == [0] + [1] * 11
+    assert all(r[3].startswith(rows[r[0]][1].rsplit("\n", 1)[0]) for r in got)
