@@ -14,7 +14,7 @@ of the roles that are learned.
 
 Semantics. Null role or text is empty. A parent that isn't there, or null, makes a root; nodes on
 a cycle belong to no root and are left out. Rows of one (tree, node) keep the smallest (role, text).
-Equal scores rank the smaller leaf first; a null score is 0. Null tree or node is left out. An empty
+Equal scores rank the smaller leaf first; a null score is 0. Role and text may be of any length. Null tree or node is left out. An empty
 table gives an empty result. Columns other than those named are not read.
 """
 
@@ -103,9 +103,13 @@ def conversations(paths: DataFrame, learned: tuple[str, ...] = ("assistant",)) -
 
 
 def parsed(formatted: Column) -> Column:
-    """The turns of a formatted conversation: array of (role, text), unescaped."""
+    """The turns of a formatted conversation: array of (role, text), unescaped.
+
+    The repetitions of the pattern are possessive, as Java's engine walks those in a loop; a plain
+    repeated group calls itself for each character of a role.
+    """
     parts = F.filter(F.split(formatted, END), lambda t: t != "")
-    pattern = r"(?s)^### ((?:\\.|[^\\:])*): (.*)$"
+    pattern = r"(?s)^### ((?:[^\\:]++|\\.)*+): (.*)$"
     return F.transform(parts, lambda t: F.struct(unescape(F.regexp_extract(t, pattern, 1)).alias("role"), unescape(F.regexp_extract(t, pattern, 2)).alias("text")))
 
 

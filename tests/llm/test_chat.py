@@ -61,3 +61,11 @@ def test_format_and_mask_round_trip(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.conversations(chat.branches(chat.chains(df, "conv_id", "turn", "role", "text"))).count() == 0
+
+
+def test_long_roles_and_texts(spark):
+    role, text = "a: \\role</turn>\n#" * 20_000 + "x" * 200_000, "b: \\" * 100_000
+    df = spark.createDataFrame([(1, 1, role, text), (1, 2, "assistant", text)], "conv_id long, turn long, role string, text string")
+    out = chat.conversations(chat.branches(chat.chains(df, "conv_id", "turn", "role", "text")))
+    r = out.select(chat.parsed(out.formatted).alias("p"), chat.under_mask(out.formatted, out["mask"]).alias("loss")).first()
+    assert [tuple(x) for x in r.p] == [(role, text), ("assistant", text)] and r.loss == text
