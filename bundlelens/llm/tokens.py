@@ -20,7 +20,9 @@ are not read, whatever their names.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import unicodedata
 import uuid
@@ -63,6 +65,12 @@ def unframe(data: bytes, at: int) -> tuple[bytes, int]:
 
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: A capital that a mark behind it may compose with, before it is lower-cased.
+MAY_COMPOSE = re.compile(rb"[A-Z][\x80-\xff]")
+#: The normaliser and pre-tokenizer of a model whose texts can be encoded word by word.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -81,7 +89,12 @@ class WordTokenizer:
     words, one after the other. A word of letters only is one piece to the pre-tokenizer and
     goes to the library's BPE model as it is, a comma or full stop behind it is a piece of its
     own; all other words go through the whole of the library's tokenizer. The memo keeps two
-    generations of `cap` words at most.
+    generations of `cap` words at most. Texts are lower-cased before the memo is asked, but for
+    words in which a capital has another than an ASCII character behind it: the library composes
+    first, and some capitals compose with marks that their small letters don't, or the other way.
+
+    A file with another normaliser, pre-tokenizer or kind of added token is not taken apart: its
+    texts go to the library whole.
     """
 
     def __init__(self, path: str, cap: int = 250_000):
@@ -93,6 +106,9 @@ class WordTokenizer:
         self.dtype = np.dtype("<u2") if self.full.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.cap, self.new, self.old = cap, {}, {}
         self.tails = {c: self._whole(c) for c in (b",", b".")}
+        spec = json.loads(self.full.to_str())
+        marked = all("<|" in t["content"] and t["content"] == t["content"].lower() for t in spec["added_tokens"])
+        self.by_word = marked and spec["model"]["type"] == "BPE" and spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
 
     def _whole(self, word: bytes) -> bytes:
         return np.array(self.full.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
@@ -115,12 +131,21 @@ class WordTokenizer:
             return ids + self.tails[tail]
         return ids
 
+    @staticmethod
+    def _words(text: bytes) -> list[bytes]:
+        if b"<|" in text:  # a special token is written in lower case: a text that may hold one is left as it is
+            return text.split()
+        if MAY_COMPOSE.search(text):
+            return [w if MAY_COMPOSE.search(w) else w.translate(LOWER) for w in text.split()]
+        return text.translate(LOWER).split()
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text (UTF-8; null: none) as bytes of `dtype`."""
+        if not self.by_word:
+            return [self._whole(t) if t else b"" for t in texts]
         out = []
         for text in texts:
-            # a special token is written in lower case: a text that may hold one is left as it is
-            words = ((text if b"<|" in text else text.translate(LOWER)) if text else b"").split()
+            words = self._words(text) if text else []
             new = self.new
             ids = list(map(new.get, words))
             if None in ids:

@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 
@@ -30,6 +31,21 @@ def test_word_tokenizer_equals_library_on_whole_texts(spark):
             assert np.frombuffer(ids, t.dtype).tolist() == ids_of(text, 0)[:-1]
 
 
+def test_word_tokenizer_equals_library_on_odd_words():
+    t, rng = tokens.WordTokenizer(PATH), random.Random(5)
+    assert t.by_word
+    letters = "abTWHJtehKZ'.,-1 \tÉéßİıſΣσςǅﬁ\u00a0\u2028" + "".join(map(chr, range(0x300, 0x345))) + "\u0327\u0328\u0331\u030c"
+    for text in ["T\u0308 H\u0331 W\u030a J\u030c", *("".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(20_000))]:
+        assert np.frombuffer(t.encode([text.encode()])[0], t.dtype).tolist() == t.full.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_other_models_get_whole_texts():
+    t = tokens.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "Two  words\n and T\u0308"
+    assert not t.by_word
+    assert np.frombuffer(t.encode([text.encode(), None])[0], t.dtype).tolist() == t.full.encode(text, add_special_tokens=False).ids
+
+
 def test_records_round_trip_in_key_order(spark, tmp_path):
     docs = spark.createDataFrame(ROWS, DOCS).repartition(3)
     files = tokens.write_token_records(docs, "doc_id", "text", str(tmp_path / "out"), PATH, 2, roll_bytes=2000)
