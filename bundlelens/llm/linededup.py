@@ -1,16 +1,23 @@
 """Operator 9: line dedup by a log-template tree, with DataFrame functions.
 
 The tree has a fixed depth: a line goes by its number of tokens, then by its first `depth`
-tokens, to a leaf. Tokens that hold a digit are variable fields (<*>) from the start. In a leaf of
-several kinds of lines a position is constant if over half of the leaf's lines (each kind weighted
-by its documents) have the same token there, else a variable field. A line that has all of the constants
-takes the leaf's template if at least `constant` of its positions are constant; any other line
-is its own template. Lines whose template comes in min_docs documents or more are dropped, but
+tokens, to a leaf. Tokens that hold a digit are variable fields (<*>) from the start. A leaf may
+hold several templates. Of each position behind the leading tokens the documents are counted that
+have a token there. A line's own template is the coarsest one that keeps enough of it: its
+tokens are ordered by those counts, and with them the share (a half, a quarter, ... of the leaf's
+lines, or all) that at least `constant` of the positions reach; tokens which that share has are
+constants, all others variable fields. Lines of one template find the same share, as their
+constants are counted in all of them. A line without enough tokens that min_docs documents have
+is a template by itself. Lines whose template comes in min_docs documents or more are dropped, but
 for the template's first line (smallest key, then line number), so that no content is lost.
 
+Leading tokens are the same in all of a leaf and say nothing, nor does <*>: neither is
+counted as a constant, and lines of variable fields only (rows of numbers) are kept.
+
 Kinds of lines are counted before anything is compared, so what is shuffled of a line that a
 third of all documents hold is a row a task; kinds and occurrences carry 128-bit digests, and the
-text is shuffled only of lines whose leaf recurs.
+text is shuffled only of lines whose leaf recurs. The tokens of a crowded leaf are joined with
+their counts by a salted key.
 
 Semantics. Lines of fewer than min_tokens tokens have too little structure and are kept. Null
 text stays null. Rows equal in key and text are one document; a row with a null key is kept
@@ -27,6 +34,8 @@ from bundlelens.llm.common import cut
 
 ANY = "<*>"
 DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT = 3, 4, 10, 0.6
+#: Parts into which the lines of one (leaf, position, token) are dealt.
+SALTS = 8
 
 
 def masked_lines(text: Column) -> Column:
@@ -40,9 +49,10 @@ def masked_lines(text: Column) -> Column:
     return F.transform(even, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, "[^ ]*[0-9][^ ]*", ANY)).otherwise(x))
 
 
-def _enough(min_tokens: int, literal: bool) -> Column:
+def _enough(min_tokens: int) -> Column:
+    """Lines of enough tokens, one of them literal."""
     enough = F.substring_index("line", " ", min_tokens - 1) != F.col("line")
-    return enough & (F.trim(F.replace(F.col("line"), F.lit(ANY), F.lit(""))) != "") if literal else enough
+    return enough & (F.trim(F.replace(F.col("line"), F.lit(ANY), F.lit(""))) != "")
 
 
 def _leaf(depth: int) -> Column:
@@ -51,40 +61,42 @@ def _leaf(depth: int) -> Column:
     return F.unhex(F.md5(F.concat_ws(" ", (blanks + 1).cast("string"), F.substring_index("line", " ", depth)).cast("binary")))
 
 
-def leaf_templates(kinds: DataFrame, constant: float, behind: int = 0) -> DataFrame:
+def leaf_templates(kinds: DataFrame, constant: float, behind: int, min_docs: int) -> DataFrame:
     """line, template (digests) of the kinds of lines (leaf, total, line, docs) of recurring
-    leaves that take their leaf's template. With `behind` the share of constants is that of literal
-    tokens among the positions behind so many leading ones, which are the same in all of a leaf."""
-    at = kinds.select("leaf", "total", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    same = at.groupBy("leaf", "total", "pos", "token").agg(F.sum("docs").alias("docs")).where(2 * F.col("docs") > F.col("total"))
-    if behind:
-        same = same.where(F.col("token") != ANY)
-    fixed = cut(same.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("fixed")), "fixed")  # a token a position
-    k = kinds.join(fixed, "leaf").select("line", "fixed", F.split("line", " ").alias("tokens"))
-    k = k.where(F.size(F.filter(F.map_keys("fixed"), lambda pos: pos >= behind)) >= constant * (F.size("tokens") - behind))
-    fits = F.forall(F.map_entries("fixed"), lambda e: F.get(F.col("tokens"), e["key"]) == e["value"])
-    template = F.array_join(F.transform("tokens", lambda t, i: F.coalesce(F.try_element_at(F.col("fixed"), i), F.lit(ANY))), " ")
-    return k.where(fits).select(F.unhex(F.md5("line")).alias("line"), F.unhex(F.md5(template)).alias("template"))
-
-
-def recurring_lines(docs: DataFrame, key: str, text: str, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, constant: float = CONSTANT, literal: bool = False) -> DataFrame:
-    """doc_id, row, dropped (numbers of the lines to drop, from 0).
-
-    literal: only literal tokens behind the leading ones count as constants of a leaf of several
-    kinds, and lines without a literal token are kept."""
+    leaves that have enough constants behind their `behind` leading tokens."""
+    key = ["leaf", "pos", "token"]
+    at = kinds.select("leaf", "docs", F.unhex(F.md5("line")).alias("digest"), F.posexplode(F.split("line", " ")).alias("pos", "token"))
+    at = at.where((F.col("pos") >= behind) & (F.col("token") != ANY))
+    seen = cut(at.groupBy(*key).agg(F.sum("docs").alias("seen")).where(F.col("seen") >= min_docs), "tokens")
+    salted = seen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    each = at.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"])
+    own = each.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("seen", "pos")), False).alias("own"))  # a line's tokens
+    k = kinds.withColumn("digest", F.unhex(F.md5("line"))).join(own, "digest").withColumn("tokens", F.split("line", " "))
+    # the number of positions that must be constant, rounded up
+    k = k.withColumn("need", F.expr(f"({round(100 * constant)} * (size(tokens) - {behind}) + 99) div 100")).where(F.size("own") >= F.col("need"))
+    # halvings of the leaf's lines until the share is no more than the count of the last constant needed
+    over = F.expr("(total - 1) div own[need - 1].seen")
+    k = k.withColumn("halvings", F.when(over > 0, F.length(F.bin(over))).otherwise(0))
+    fixed = F.transform(F.filter("own", lambda x: x["seen"] * F.expr("shiftleft(1L, halvings)") >= F.col("total")), lambda x: x["pos"])
+    template = F.array_join(F.transform("tokens", lambda t, i: F.when((i < behind) | F.array_contains("fixed", i), t).otherwise(ANY)), " ")
+    return k.withColumn("fixed", fixed).select(F.col("digest").alias("line"), F.unhex(F.md5(template)).alias("template"))
+
+
+def recurring_lines(docs: DataFrame, key: str, text: str, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
+    """doc_id, row, dropped (numbers of the lines to drop, from 0)."""
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text].cast("string")).alias("row"), docs[text].cast("string").alias("text"))
     rows = rows.where("doc_id is not null and text is not null")
     digest = F.unhex(F.md5("line"))
     # the distinct kinds of lines of each row
-    per_doc = rows.select(F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line")).where(_enough(min_tokens, literal))
+    per_doc = rows.select(F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("line")).where(_enough(min_tokens))
     kinds = cut(per_doc.groupBy(_leaf(depth).alias("leaf"), digest.alias("line")).agg(F.count("*").alias("docs")), "kinds")
     leaves = cut(kinds.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count("*").alias("kinds")).where((F.col("total") >= min_docs) & (F.col("kinds") > 1)).drop("kinds"), "leaves")
     # only lines of recurring leaves are looked at by their tokens
     told = per_doc.select("line", _leaf(depth).alias("leaf")).join(leaves, "leaf").groupBy("leaf", "total", "line").agg(F.count("*").alias("docs"))
-    general = cut(leaf_templates(cut(told, "told"), constant, depth if literal else 0), "templates")
+    general = cut(leaf_templates(cut(told, "told"), constant, depth, min_docs), "templates")
     own = kinds.where(F.col("docs") >= min_docs).join(general, "line", "left_anti").select("line", F.col("line").alias("template"))
     known = cut(own.unionByName(general), "known")
-    lines = rows.select("doc_id", "row", F.posexplode(masked_lines(F.col("text"))).alias("no", "line")).where(_enough(min_tokens, literal))
+    lines = rows.select("doc_id", "row", F.posexplode(masked_lines(F.col("text"))).alias("no", "line")).where(_enough(min_tokens))
     seen = cut(lines.select("doc_id", "row", "no", digest.alias("line")).join(known, "line").drop("line"), "occurrences")
     per = seen.select("template", "doc_id", "row").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     first = cut(seen.groupBy("template").agg(F.min(F.struct("doc_id", "row", "no")).alias("first")).join(per, "template").select("template", "first"), "first")
@@ -114,15 +126,19 @@ SQL = rf"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS no FROM d),
 m AS (SELECT *, regexp_replace(trim(regexp_replace(line, '[ \t\r\f\v]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '{ANY}', 'g') AS masked FROM l),
-t AS (SELECT *, string_split(masked, ' ') AS toks FROM m WHERE len(string_split(masked, ' ')) >= {MIN_TOKENS}),
+t AS (SELECT *, string_split(masked, ' ') AS toks FROM m WHERE len(string_split(masked, ' ')) >= {MIN_TOKENS} AND len(list_filter(string_split(masked, ' '), lambda x: x <> '{ANY}')) > 0),
 k AS (SELECT masked, any_value(toks) AS toks, any_value(len(toks)) AS n, array_to_string(any_value(toks)[1:{DEPTH}], ' ') AS lead, count(DISTINCT doc_id) AS docs
       FROM t GROUP BY masked),
 leaf AS (SELECT n, lead, sum(docs) AS total FROM k GROUP BY n, lead HAVING sum(docs) >= {MIN_DOCS} AND count(*) > 1),
 kt AS (SELECT k.masked, k.n, k.lead, k.docs, leaf.total, unnest(k.toks) AS token, unnest(range(k.n)) AS pos FROM k JOIN leaf ON k.n = leaf.n AND k.lead = leaf.lead),
-c AS (SELECT n, lead, pos, token FROM kt GROUP BY n, lead, total, pos, token HAVING 2 * sum(docs) > total),
-g AS (SELECT kt.masked, string_agg(coalesce(c.token, '{ANY}'), ' ' ORDER BY kt.pos) AS template
-      FROM kt LEFT JOIN c ON kt.n = c.n AND kt.lead = c.lead AND kt.pos = c.pos
-      GROUP BY kt.masked, kt.n HAVING count(c.token) = count(*) FILTER (WHERE c.token = kt.token) AND count(c.token) >= {CONSTANT} * kt.n),
+c AS (SELECT n, lead, pos, token, sum(docs) AS seen FROM kt WHERE pos >= {DEPTH} AND token <> '{ANY}' GROUP BY n, lead, pos, token HAVING sum(docs) >= {MIN_DOCS}),
+q AS (SELECT masked, list_reverse_sort(list(seen))[need] AS least FROM
+      (SELECT kt.masked, c.seen, CAST(({round(100 * CONSTANT)} * (kt.n - {DEPTH}) + 99) // 100 AS BIGINT) AS need FROM kt JOIN c ON kt.n = c.n AND kt.lead = c.lead AND kt.pos = c.pos AND kt.token = c.token)
+      GROUP BY masked, need HAVING count(*) >= need),
+h AS (SELECT q.masked, CASE WHEN (any_value(kt.total) - 1) // q.least > 0 THEN length(bin(CAST((any_value(kt.total) - 1) // q.least AS BIGINT))) ELSE 0 END AS halvings FROM q JOIN kt ON q.masked = kt.masked GROUP BY q.masked, q.least),
+g AS (SELECT kt.masked, string_agg(CASE WHEN kt.pos < {DEPTH} OR c.seen * CAST(pow(2, h.halvings) AS HUGEINT) >= kt.total THEN kt.token ELSE '{ANY}' END, ' ' ORDER BY kt.pos) AS template
+      FROM kt JOIN h ON kt.masked = h.masked LEFT JOIN c ON kt.n = c.n AND kt.lead = c.lead AND kt.pos = c.pos AND kt.token = c.token
+      GROUP BY kt.masked),
 o AS (SELECT t.doc_id, t.no, coalesce(g.template, t.masked) AS template FROM t LEFT JOIN g ON t.masked = g.masked),
 r AS (SELECT template, min(doc_id) AS first_doc FROM o GROUP BY template HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
 f AS (SELECT r.template, r.first_doc, min(o.no) AS first_no FROM r JOIN o ON o.template = r.template AND o.doc_id = r.first_doc GROUP BY r.template, r.first_doc),

@@ -49,6 +49,19 @@ def test_limits_are_those_of_the_sql():
 def test_lines_that_only_begin_alike_and_rows_of_numbers_are_kept(spark):
     word = "alder birch cedar dogwood elm fir ginkgo hazel ivy juniper kapok larch".split()
     rows = [(k, f"this is the {w}\nthis is the {w} tree\n{k} {k} {k} {k}\nsigned by the one author today") for k, w in enumerate(word)]
-    got = run(spark, rows, literal=True)
+    got = run(spark, rows)
     assert [r[2] for r in sorted(got)] == [0] + [1] * 11
     assert all(r[3].startswith(rows[r[0]][1].rsplit("\n", 1)[0]) for r in got)
+
+
+def test_a_leaf_may_hold_several_templates(spark):
+    names = "ann bob cy dee eve fay gus hal ivo jo kim lee".split()
+    one = [(k, f"the worker thread {n} has fetched its page from the store") for k, n in enumerate(names)]
+    two = [(100 + k, f"the worker thread {n} was stopped by order of its owner") for k, n in enumerate(names)]
+    alone = [(200, "the worker thread pool is kept small for reasons of economy")]
+    got = {r[0]: r[2] for r in run(spark, one + two + alone)}
+    assert sum(got.values()) == 22 and got[0] == got[100] == got[200] == 0
+    # unequal shares of the leaf, and a token that both have at one place
+    more = [(300 + k, f"the worker thread x{'abcdefghijklmnopqrstuvwxyz'[k % 26]}{'abc'[k // 26]} has slept for want of any work") for k in range(60)]
+    got = {r[0]: r[2] for r in run(spark, one + two + more)}
+    assert sum(got.values()) == 11 + 11 + 59
