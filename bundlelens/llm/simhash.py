@@ -14,7 +14,7 @@ So no link is lost, and the work stays in proportion to the number of fingerprin
 Semantics. Null text and text without words have the fingerprint zero, linked like any other.
 Rows of one key (repeated or not) keep one row each. A null key comes back as null with
 a fingerprint; its component is the smallest non-null key that it reaches, or null. An empty
-table gives an empty result. Columns other than key and text are not read.
+table gives an empty result. Texts of any length are hashed whole. Columns other than key and text are not read.
 """
 
 from __future__ import annotations
@@ -128,7 +128,7 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int, paired: in
 #: MinHash bands of a sketch and values a band: two sets of Jaccard similarity 0.8 agree in one with probability 0.9998.
 BANDS, ROWS = 16, 4
 MULTIPLIERS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-SKETCH = "doc_id long, row long, fp long, digest binary, bands array<long>"
+SKETCH = "doc_id long, row long, fps array<long>, digest binary, bands array<long>"
 
 
 def band_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -140,24 +140,32 @@ def band_hashes(hashes: np.ndarray) -> np.ndarray:
         return mix((low * MULTIPLIERS[::-1]).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
-def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """doc_id, row (hash of the text), fp, digest of the set of shingles and its bands (both null
-    without words)."""
+def sketches(docs: DataFrame, key: str, text: str, width: int, widths: tuple[int, ...] = ()) -> DataFrame:
+    """doc_id, row (hash of the text), node, fps (fingerprints by each of `widths`), digest of the set of
+    shingles of `width` words and its bands (both null without words); one row for equal ones.
+
+    node is the number by which links name a row: the key, but of several texts of one key only
+    the first has that, the others a number above 2^62 from the hash of key and text.
+    """
 
     def run(batches):
         for batch in batches:
             for part in rows_of(batch):
                 fps, digests, bands = [], [], []
                 for t in part.column(2).cast(pa.binary()).to_pylist():
-                    h = shingle_hashes(t or b"", width)
-                    fps.append(fingerprint(h))
-                    own = np.unique(np.array(h, np.uint64))
-                    digests.append(xxhash.xxh3_128_digest(own.tobytes()) if h else None)
-                    bands.append(band_hashes(own) if h else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "row", "fp", "digest", "bands"])
+                    by = {w: shingle_hashes(t or b"", w) for w in {width, *widths}}
+                    fps.append(np.array([fingerprint(by[w]) for w in widths], np.uint64).view(np.int64))
+                    own = np.unique(np.array(by[width], np.uint64))
+                    digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+                    bands.append(band_hashes(own) if len(own) else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.list_(pa.int64())), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "row", "fps", "digest", "bands"])
 
     text_batches(docs.sparkSession)
-    return _keyed(docs, key, text).mapInArrow(run, SKETCH)
+    drawn = cut(_keyed(docs, key, text).mapInArrow(run, SKETCH), "drawn").dropDuplicates(["doc_id", "row"])
+    several = drawn.groupBy("doc_id").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last").select("doc_id", "first")
+    other = F.shiftrightunsigned(F.xxhash64("doc_id", "row"), 2) + F.lit(1 << 62)
+    node = F.when(F.col("first").isNull() | (F.col("row") == F.col("first")), F.col("doc_id")).otherwise(other)
+    return cut(drawn.join(several, "doc_id", "left").withColumn("node", node).drop("first"), "sketches")
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -187,7 +195,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> D
 
 
 def similar_links(docs: DataFrame, key: str, text: str, found: DataFrame, width: int, least: float, paired: int = PAIRED) -> DataFrame:
-    """Links (a, b) between documents whose sets of shingles have a Jaccard similarity of `least`
+    """Links (a, b) between nodes of rows whose sets of shingles have a Jaccard similarity of `least`
     or more; found: their sketches. Candidates agree in a band, all links are verified.
 
     Each set is first compared to the first one of each of its bands; after that only sets of
@@ -196,9 +204,9 @@ def similar_links(docs: DataFrame, key: str, text: str, found: DataFrame, width:
     each with the first).
     """
     found = found.where("digest is not null")
-    nodes = cut(found.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "bands")).alias("n")).select("digest", F.col("n.doc_id").alias("node"), F.col("n.row").alias("row"), "n.bands"), "sets_of_shingles")
-    same = found.join(nodes.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    texts = _keyed(docs, key, text).dropDuplicates(["doc_id", "row"]).join(nodes.select(F.col("node").alias("doc_id"), "row", "digest"), ["doc_id", "row"])
+    nodes = cut(found.groupBy("digest").agg(F.min(F.struct("node", "doc_id", "row", "bands")).alias("n")).select("digest", "n.*"), "sets_of_shingles")
+    same = found.select("digest", F.col("node").alias("b")).join(nodes.select("digest", F.col("node").alias("a")), "digest").where("a <> b").select("a", "b")
+    texts = _keyed(docs, key, text).dropDuplicates(["doc_id", "row"]).join(nodes.select("doc_id", "row", "digest"), ["doc_id", "row"])
     banded = nodes.select("digest", "node", F.posexplode("bands").alias("band", "e"), F.expr("transform(bands, (x, i) -> bands[(i + 1) % size(bands)])").alias("after")).select("digest", "node", "band", "e", F.expr("after[band]").alias("f"))
     shared = banded.groupBy("band", "e").agg(F.count("*").alias("n"), F.min(F.struct("node", "digest")).alias("first")).where("n > 1")
     banded = cut(banded.join(shared, ["band", "e"]), "banded")
@@ -223,20 +231,22 @@ def similar_links(docs: DataFrame, key: str, text: str, found: DataFrame, width:
 
 
 def near_duplicate_groups(docs: DataFrame, key: str, text: str, widths: tuple[int, ...], similar: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id, component_id of documents linked to a smaller one, where a link is one by the
-    fingerprints of any of the shingle widths, or a Jaccard similarity of `least` between the sets
-    of shingles of `similar` words. Null keys are left out."""
+    """doc_id, row, component_id of rows (told apart by key and hash of the text) linked to a smaller
+    one, where a link is one by the fingerprints of any of the shingle widths, or a Jaccard
+    similarity of `least` between the sets of shingles of `similar` words. Rows of one key with
+    different texts are linked like any others. Null keys are left out."""
     keyed = docs.where(docs[key].isNotNull())
-    drawn = cut(sketches(keyed, key, text, similar), "sketches")
+    drawn = sketches(keyed, key, text, similar, widths)
     links = similar_links(keyed, key, text, drawn, similar, least)
-    for width in widths:
-        found = drawn.select("doc_id", "fp") if width == similar else cut(fingerprints(keyed, key, text, width), "fingerprints")
-        nodes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    for i in range(len(widths)):
+        found = drawn.select("node", F.col("fps")[i].alias("fp"))
+        nodes = cut(found.groupBy("fp").agg(F.min("node").alias("first")), "nodes")
         near = fingerprint_links(nodes.select("fp"))
-        a, b = (nodes.select(F.col("fp").alias(f), F.col("node").alias(n)) for f, n in (("fa", "a"), ("fb", "b")))
-        own = found.join(nodes, "fp").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+        a, b = (nodes.select(F.col("fp").alias(f), F.col("first").alias(n)) for f, n in (("fa", "a"), ("fb", "b")))
+        own = found.join(nodes, "fp").select(F.col("first").alias("a"), F.col("node").alias("b")).where("a <> b")
         links = links.unionByName(cut(near.join(a, "fa").join(b, "fb").select("a", "b").unionByName(own), "links"))
-    return components(links).where("component <> node").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    linked = components(links).where("component <> node")
+    return drawn.select("node", "doc_id", "row").join(linked, "node").select("doc_id", "row", F.col("component").alias("component_id"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ def corpus():
     rows += [(100 + k, said(40) + "\n" + footer, "en", "s", 1) for k in range(12)]
     rows += [(200 + k, rows[3][1], "en", "s", 1) for k in range(3)] + [(210, rows[4][1].replace("a", "A", 1), None, None, None)]
     rows += [(300, said(20) + " " + item + " " + said(9), "en", "s", 1), (400, None, "en", "s", 1), (401, "123 -- 456", "en", "s", 1), (402, "", None, None, None), (403, footer, "en", "s", 1), (500, said(3000), "en", "s", 1), (7, said(10), "en", "s", 1), (None, said(15), None, "s", 1)]
+    rows += [(600, said(25), "en", "s", 1), (600, said(26), "en", "s", 1), (600, rows[5][1], "en", "s", 1), (7, rows[-2][1], "en", "t", 2)]
     return rows, [(0, item), (1, None), (2, said(25))]
 
 
@@ -40,9 +41,9 @@ def brute(rows, items):
             lines.append(line)
         if lines:
             out.append((r[0], "\n".join(lines)))
-    # near-duplicates
-    keyed = [r for r in out if r[0] is not None]
-    parent = {k: k for k, _ in keyed}
+    # near-duplicates: equal rows are one, texts of one key are not
+    keyed = sorted({r for r in out if r[0] is not None})
+    parent = list(range(len(keyed)))
 
     def root(k):
         while parent[k] != k:
@@ -50,17 +51,13 @@ def brute(rows, items):
         return k
 
     for width in (3, 5):
-        fps = [(k, brute_fp(t, width)) for k, t in keyed]
-        for i, (k, a) in enumerate(fps):
-            for m, b in fps[:i]:
+        fps = [brute_fp(t, width) for _, t in keyed]
+        for i, a in enumerate(fps):
+            for m, b in enumerate(fps[:i]):
                 if (a ^ b).bit_count() <= 2:
-                    x, y = sorted((root(k), root(m)))
+                    x, y = sorted((root(i), root(m)))
                     parent[y] = x
-    smallest = {}
-    for k, t in keyed:
-        if root(k) == k:
-            smallest[k] = min(smallest.get(k, t), t)
-    out = list(smallest.items()) + [r for r in out if r[0] is None]
+    out = [r for k, r in enumerate(keyed) if root(k) == k] + [r for r in out if r[0] is None]
     # benchmark
     t = Templates()
 
@@ -89,6 +86,7 @@ def test_run_equals_brute_force(spark, tmp_path):
     check_packing(got, 2048)
     assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == brute(rows, items)
     kept = {r.doc_id for r in got}
+    assert sum(r.doc_id == 600 for r in got) == 2
     assert {3, 500, None} <= kept and not {200, 201, 202, 210, 300, 400, 401, 402, 403} & kept
 
 

@@ -120,3 +120,21 @@ def test_bands_of_many_sets_lose_no_link(spark):
     for paired in (2, 96):
         links = simhash.similar_links(docs, "doc_id", "text", found, 5, 0.8, paired)
         assert {r.node: r.component for r in components(links).collect()} == {k: 0 for k in range(10)}
+
+
+def test_texts_of_one_key_are_rows_of_their_own(spark):
+    said = lambda c: " ".join(f"{c}{k}" for k in range(50))
+    docs = spark.createDataFrame([(5, said("a"), 1), (5, said("b"), 2), (5, said("b"), 3), (9, said("a"), 4), (9, said("c"), 5), (11, said("c") + " more", 6)], "doc_id long, text string, row int")
+    got = simhash.near_duplicate_groups(docs, "doc_id", "text", (3, 5)).select("doc_id", "row").collect()
+    gone = {(r.doc_id, r.row) for r in got}
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").distinct().collect()
+    left = sorted((r.doc_id, r.text[0]) for r in rows if (r.doc_id, r.h) not in gone)
+    assert len(left) == 3 and {c for _, c in left} == {"a", "b", "c"} and (5, "a") in left
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"w{k % 977}x{k % 1009}" for k in range(300_000))
+    docs = spark.createDataFrame([(1, text), (2, text + " tail"), (3, "short")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, "doc_id", "text", 3).collect()}
+    assert got[3] == 3 and got[1] == 1 and got[2] in (1, 2)
+    assert {r.doc_id for r in simhash.near_duplicate_groups(docs, "doc_id", "text", (3, 5)).collect()} == {2}
