@@ -52,7 +52,7 @@ def masked_lines(text: Column) -> Column:
 def _enough(min_tokens: int) -> Column:
     """Lines of enough tokens, one of them literal."""
     enough = F.substring_index("line", " ", min_tokens - 1) != F.col("line")
-    return enough & (F.trim(F.replace(F.col("line"), F.lit(ANY), F.lit(""))) != "")
+    return enough & ~(F.col("line").startswith(ANY) & F.col("line").rlike(r"^<\*>( <\*>)*$"))
 
 
 def _leaf(depth: int) -> Column:
@@ -64,22 +64,21 @@ def _leaf(depth: int) -> Column:
 def leaf_templates(kinds: DataFrame, constant: float, behind: int, min_docs: int) -> DataFrame:
     """line, template (digests) of the kinds of lines (leaf, total, line, docs) of recurring
     leaves that have enough constants behind their `behind` leading tokens."""
-    key = ["leaf", "pos", "token"]
-    at = kinds.select("leaf", "docs", F.unhex(F.md5("line")).alias("digest"), F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    at = at.where((F.col("pos") >= behind) & (F.col("token") != ANY))
+    key, line = ["leaf", "pos", "token"], ["digest", "leaf", "total", "n"]
+    tokens = kinds.select("leaf", "total", "docs", F.unhex(F.md5("line")).alias("digest"), F.split("line", " ").alias("t")).withColumn("n", F.size("t"))
+    at = tokens.select(*line, "docs", F.posexplode("t").alias("pos", "token")).where((F.col("pos") >= behind) & (F.col("token") != ANY))
     seen = cut(at.groupBy(*key).agg(F.sum("docs").alias("seen")).where(F.col("seen") >= min_docs), "tokens")
     salted = seen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     each = at.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"])
-    own = each.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("seen", "pos")), False).alias("own"))  # a line's tokens
-    k = kinds.withColumn("digest", F.unhex(F.md5("line"))).join(own, "digest").withColumn("tokens", F.split("line", " "))
+    own = F.sort_array(F.collect_list(F.struct("seen", "pos", "token")), False)  # a line's tokens, the most frequent first
     # the number of positions that must be constant, rounded up
-    k = k.withColumn("need", F.expr(f"({round(100 * constant)} * (size(tokens) - {behind}) + 99) div 100")).where(F.size("own") >= F.col("need"))
+    k = each.groupBy(*line).agg(own.alias("own")).withColumn("need", F.expr(f"({round(100 * constant)} * (n - {behind}) + 99) div 100")).where(F.size("own") >= F.col("need"))
     # halvings of the leaf's lines until the share is no more than the count of the last constant needed
-    over = F.expr("(total - 1) div own[need - 1].seen")
-    k = k.withColumn("halvings", F.when(over > 0, F.length(F.bin(over))).otherwise(0))
-    fixed = F.transform(F.filter("own", lambda x: x["seen"] * F.expr("shiftleft(1L, halvings)") >= F.col("total")), lambda x: x["pos"])
-    template = F.array_join(F.transform("tokens", lambda t, i: F.when((i < behind) | F.array_contains("fixed", i), t).otherwise(ANY)), " ")
-    return k.withColumn("fixed", fixed).select(F.col("digest").alias("line"), F.unhex(F.md5(template)).alias("template"))
+    k = k.withColumn("over", F.expr("(total - 1) div own[need - 1].seen"))
+    k = k.withColumn("share", F.expr("shiftleft(1L, if(over > 0, length(bin(over)), 0))"))
+    fixed = F.array_sort(F.transform(F.filter("own", lambda x: x["seen"] * F.col("share") >= F.col("total")), lambda x: F.struct(x["pos"], x["token"])))
+    template = F.array_join(F.transform(fixed, lambda x: F.concat_ws(" ", x["pos"].cast("string"), x["token"])), "\n")
+    return k.select(F.col("digest").alias("line"), F.unhex(F.md5(F.concat("leaf", template.cast("binary")))).alias("template"))
 
 
 def recurring_lines(docs: DataFrame, key: str, text: str, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
