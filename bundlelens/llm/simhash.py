@@ -184,12 +184,11 @@ def _shingle_sets(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("digest", "text").mapInArrow(run, "digest binary, hashes array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs(a, b, da, db) whose sets of shingles (of digests da, db) have that Jaccard similarity."""
     pairs = cut(pairs, "candidates")
-    asked = pairs.select(F.col("da").alias("digest")).union(pairs.select("db")).distinct()
-    sets = cut(_shingle_sets(texts.join(asked, "digest"), width), "sets")
-    sa, sb = (sets.select(F.col("digest").alias(d), F.col("hashes").alias(h)) for d, h in (("da", "ha"), ("db", "hb")))
+    own = sets.join(pairs.select(F.col("da").alias("digest")).union(pairs.select("db")).distinct(), "digest", "left_semi")
+    sa, sb = (own.select(F.col("digest").alias(d), F.col("hashes").alias(h)) for d, h in (("da", "ha"), ("db", "hb")))
     both = pairs.join(sa, "da").join(sb, "db").withColumn("common", F.size(F.array_intersect("ha", "hb")))
     return cut(both.where(F.col("common") >= least * (F.size("ha") + F.size("hb") - F.col("common"))).select("a", "b"), "similar")
 
@@ -198,23 +197,37 @@ def similar_links(docs: DataFrame, key: str, text: str, found: DataFrame, width:
     """Links (a, b) between nodes of rows whose sets of shingles have a Jaccard similarity of `least`
     or more; found: their sketches. Candidates agree in a band, all links are verified.
 
-    Each set is first compared to the first one of each of its bands; after that only sets of
-    a band that are not yet connected are paired. Of a band in which more than `paired` groups are
-    left only those are paired that agree in the next band too (in one that is crowded still,
-    each with the first).
+    Each set is first compared to the first one of one of its bands, then, where that connects them
+    not yet, to that of each band; after that only sets of a band that are not yet connected are
+    paired. Of a band in which more than `paired` groups are left only those are paired that agree
+    in the next band too (in one that is crowded still, each with the first).
     """
     found = found.where("digest is not null")
     nodes = cut(found.groupBy("digest").agg(F.min(F.struct("node", "doc_id", "row", "bands")).alias("n")).select("digest", "n.*"), "sets_of_shingles")
     same = found.select("digest", F.col("node").alias("b")).join(nodes.select("digest", F.col("node").alias("a")), "digest").where("a <> b").select("a", "b")
-    texts = _keyed(docs, key, text).dropDuplicates(["doc_id", "row"]).join(nodes.select("doc_id", "row", "digest"), ["doc_id", "row"])
     banded = nodes.select("digest", "node", F.posexplode("bands").alias("band", "e"), F.expr("transform(bands, (x, i) -> bands[(i + 1) % size(bands)])").alias("after")).select("digest", "node", "band", "e", F.expr("after[band]").alias("f"))
     shared = banded.groupBy("band", "e").agg(F.count("*").alias("n"), F.min(F.struct("node", "digest")).alias("first")).where("n > 1")
     banded = cut(banded.join(shared, ["band", "e"]), "banded")
-    star = banded.where(F.col("digest") != F.col("first.digest")).select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.digest").alias("da"), F.col("digest").alias("db"))
-    stars = _verified(star.distinct(), texts, width, least)
-
-    linked = components(stars.unionByName(same)).withColumnRenamed("component", "c")
-    left = cut(banded.join(linked, "node", "left").select("band", "e", "f", "digest", "node", F.coalesce("c", "node").alias("c")), "unconnected")
+    # all candidates are among these: their texts are shuffled once, by the row
+    asked = nodes.join(banded.select("digest").distinct(), "digest").select("doc_id", "row", "digest")
+    texts = _keyed(docs, key, text).join(asked, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
+    sets = cut(_shingle_sets(texts, width), "sets")
+
+    def starred(rows: DataFrame) -> DataFrame:
+        pairs = rows.where(F.col("digest") != F.col("first.digest")).select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.digest").alias("da"), F.col("digest").alias("db"))
+        return _verified(pairs.distinct(), sets, least)
+
+    def connected(links: DataFrame) -> DataFrame:
+        """The rows of bands with the components of their set and of the band's first one."""
+        linked = components(links)
+        c = linked.select("node", F.col("component").alias("c"))
+        first = linked.select(F.col("node").alias("first_node"), F.col("component").alias("first_c"))
+        rows = banded.join(c, "node", "left").withColumn("first_node", F.col("first.node")).join(first, "first_node", "left")
+        return cut(rows.withColumns({"c": F.coalesce("c", "node"), "first_c": F.coalesce("first_c", "first_node")}).drop("first_node"), "connected")
+
+    stars = same.unionByName(starred(banded.groupBy("digest", "node").agg(F.min("first").alias("first"))))
+    stars = stars.unionByName(starred(connected(stars).where("c <> first_c")))
+    left = connected(stars).select("band", "e", "f", "digest", "node", "c")
     open_ = left.groupBy("band", "e").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
     left = left.join(open_.select("band", "e", "n"), ["band", "e"])
     few, many = left.where(F.col("n") <= paired), left.where(F.col("n") > paired)
@@ -227,7 +240,7 @@ def similar_links(docs: DataFrame, key: str, text: str, found: DataFrame, width:
 
     crowded = many.where((F.col("m") > paired) & (F.col("c") != F.col("first.c"))).select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.digest").alias("da"), F.col("digest").alias("db"))
     pairs = across(few, ["band", "e"]).unionByName(across(many.where(F.col("m") <= paired), ["band", "e", "f"])).unionByName(crowded)
-    return stars.unionByName(same).unionByName(_verified(pairs.distinct(), texts, width, least))
+    return stars.unionByName(_verified(pairs.distinct(), sets, least))
 
 
 def near_duplicate_groups(docs: DataFrame, key: str, text: str, widths: tuple[int, ...], similar: int = 5, least: float = 0.8) -> DataFrame:
