@@ -43,6 +43,31 @@ def of_all_files(resources: DataFrame, suffix: str, within: str = "") -> DataFra
     return resources.where(F.col("path").endswith(suffix) & F.col("path").contains(within) & F.col("error").isNull())
 
 
+#: The counters of each product's inventory.
+METRICS = {
+    "longhorn": {
+        "volumes": "total unhealthy", "replicas": "total notRunning", "nodes": "total problematic disks diskIssues nodesWithDiskIssues", "pods": "total notRunning withRestarts",
+        "events": "total warnings", "collection": "errors", "logs": "scannedFiles matchedLines", "alerts": "total firing",
+    },
+    "harvester": {
+        "nodes": "total notReady pressure ntpUnsynced withIssues", "pods": "total notRunning withRestarts", "apps": "total notDeployed", "addons": "total enabled withIssues",
+        "virtualization": "total unavailable", "vmImages": "total withIssues", "workloads": "vms vmIssues vmsDesiredRunning vmsRunning vmsStopped vmis vmisNotRunning vmisRunning migrations migrationsFailed migrationsRunning",
+        "networks": "total withIssues", "storage": "volumes unhealthyVolumes replicas replicasNotRunning nodes nodesWithDiskIssues diskIssues replicaSchedulingLogMatches", "events": "total warnings", "collection": "errors", "logs": "scannedFiles matchedLines",
+    },
+}
+
+
+def complete_inventory(inventory: DataFrame, bundles: DataFrame, product: str) -> DataFrame:
+    """bundle_id, area, metric, value, product: each counter of each of bundles(bundle_id), zero where nothing was counted."""
+    names = F.array(*[F.struct(F.lit(a).alias("area"), F.lit(m).alias("metric")) for a, ms in METRICS.get(product, {}).items() for m in ms.split()])
+    by = ["bundle_id", "area", "metric"]
+    got = inventory.groupBy(*by).agg(F.sum("value").alias("value"))
+    if product not in METRICS:
+        return got.withColumn("product", F.lit(product))
+    every = bundles.select("bundle_id").distinct().select("bundle_id", F.inline(names))
+    return every.join(got, by, "full_outer").select(*by, F.coalesce("value", F.lit(0).cast("long")).alias("value"), F.lit(product).alias("product"))
+
+
 def counters(rows: DataFrame, area: str, **metrics: Column) -> DataFrame:
     """bundle_id, area, metric, value."""
     agg = rows.groupBy("bundle_id").agg(*[c.cast("long").alias(m) for m, c in metrics.items()])
@@ -294,64 +319,48 @@ def storage_rollup(found: DataFrame, inv: DataFrame) -> DataFrame:
     return union_all(*out, log)
 
 
+#: Images whose tags are versions, with the rank of each.
+IMAGES = (("longhorn-manager", 4), ("longhorn-engine", 7), ("longhorn-ui", 8), ("longhorn-instance-manager", 9), ("longhorn-share-manager", 10), ("backing-image-manager", 11))
+
+
 def versions(resources: DataFrame, product: str) -> DataFrame:
     """Candidates: bundle_id, version, component, source, priority, path, item_no."""
     c = lambda rows, version, component, source, priority: rows.select("bundle_id", version.alias("version"), component.alias("component"), F.lit(source).alias("source"), F.lit(priority).alias("priority"), "path", "item_no").where("version is not null")
-    r = resources.where("error is null")
     label = lambda k: F.get_json_object("metadata", f"$.labels['{k}']")
-    own = F.col("name")
+    lit = F.lit
     if product == "longhorn":
-        r = r.where(F.col("path").contains(LH))
-        labelled_ = r.where(F.col("path").rlike(r"/(configmaps|deployments)\.yaml$") & (label("app.kubernetes.io/name") == "longhorn"))
-        parts = [c(r.where("name = 'current-longhorn-version'"), T.normal_version(F.col("value")), F.lit("longhorn"), "setting", 0), c(labelled_, T.normal_version(label("app.kubernetes.io/version")), F.lit("longhorn"), "label", 1), c(labelled_, T.chart_version(label("helm.sh/chart")), F.lit("longhorn"), "chart", 2), c(r.where(F.col("path").endswith("deployments.yaml")), T.normal_version(F.get_json_object("metadata", "$.annotations['driver.longhorn.io/version']")), F.lit("driver"), "annotation", 3), c(r.where("kind = 'EngineImage'"), T.normal_version(field("status", "version")), F.lit("engine-image"), "status", 6)]
-        for image, priority in (("longhorn-manager", 4), ("longhorn-engine", 7), ("longhorn-ui", 8), ("longhorn-instance-manager", 9), ("longhorn-share-manager", 10), ("backing-image-manager", 11)):
-            parts.append(c(r.withColumn("tag", F.explode(F.array_distinct(T.image_tags(F.col("text"), image)))), T.normal_version(F.col("tag")), F.lit(image), "image", priority))
+        settings, configs, deployments, engines, pods_ = (of_first_file(resources, f"{LH}/{x}.yaml") for x in ("longhorn.io/v1beta2/settings", "v1/configmaps", "apps/v1/deployments", "longhorn.io/v1beta2/engineimages", "v1/pods"))
+        named = configs.unionByName(deployments).where(label("app.kubernetes.io/name") == "longhorn")
+        parts = [
+            c(settings.where("name = 'current-longhorn-version'"), T.normal_version(F.col("value")), lit("longhorn"), "Longhorn setting", 0),
+            c(named, T.normal_version(label("app.kubernetes.io/version")), lit("longhorn"), "Kubernetes app label", 1),
+            c(named, T.chart_version(label("helm.sh/chart")), lit("longhorn-chart"), "Helm chart label", 2),
+            c(deployments, T.normal_version(F.get_json_object("metadata", "$.annotations['driver.longhorn.io/version']")), lit("longhorn-driver"), "Longhorn driver annotation", 3),
+            c(engines, T.normal_version(field("status", "version")), lit("longhorn-engine"), "EngineImage status", 6),
+        ]
+        shown = union_all(deployments, engines, pods_)
+        for image, priority in IMAGES:
+            parts.append(c(shown.withColumn("tag", F.explode(F.array_distinct(T.image_tags(F.col("text"), f"(?:longhornio/|mirrored-longhornio-){image}")))), T.normal_version(F.col("tag")), lit(image), f"{image} image", priority))
         return union_all(*parts)
-    apps = r.where(F.col("path").endswith("apps.yaml") & (own == "harvester"))
-    p = r.where(F.col("path").endswith(f"{HV}/v1/pods.yaml"))
+    apps, pods_, addons, available = (of_first_file(resources, f"{HV}/{x}.yaml") for x in ("catalog.cattle.io/v1/apps", "v1/pods", "harvesterhci.io/v1beta1/addons", "harvesterhci.io/v1beta1/versions"))
+    chart = T.blank_to_null(F.regexp_extract("status", r'"chart":.*?"version":\s*"([^"]+)"', 1))
+    own = pods_.where(F.col("text").contains("rancher/harvester:") | (label("app.kubernetes.io/name") == "harvester"))
     return union_all(
-        c(apps, T.loose_version(F.coalesce(field("status", "chart.metadata.version"), field("spec", "chart.metadata.version"), label("app.kubernetes.io/version"))), F.lit("harvester"), "app", 0),
-        c(p.where(label("app.kubernetes.io/name") == "harvester"), T.loose_version(label("app.kubernetes.io/version")), F.lit("harvester"), "label", 1),
-        c(p.withColumn("tag", F.explode(F.array_distinct(T.image_tags(F.col("text"), "rancher/harvester")))), T.loose_version(F.col("tag")), F.lit("harvester"), "image", 2),
-        c(r.where(F.col("path").endswith("kubevirts.yaml")), T.loose_version(label("app.kubernetes.io/version")), F.lit("harvester"), "install label", 4),
-        c(r.where(F.col("path").endswith("addons.yaml")), T.loose_version(field("spec", "version")), F.concat(F.lit("addon/"), own), "add-on", 6),
-        c(r.where(F.col("path").endswith("versions.yaml")), T.loose_version(own), F.lit("available"), "version", 8),
-    )
+        c(apps.where("name = 'harvester'"), T.loose_version(F.coalesce(field("status", "chart.metadata.version"), field("spec", "chart.metadata.version"), chart, label("app.kubernetes.io/version"))), lit("harvester"), "Harvester app chart", 0),
+        c(own, T.loose_version(label("app.kubernetes.io/version")), lit("harvester"), "Harvester pod label", 1),
+        c(own, T.loose_version(T.blank_to_null(F.regexp_extract("text", "rancher/harvester:([A-Za-z0-9_.-]+)", 1))), lit("harvester-image"), "Harvester image", 2),
+        c(own, T.loose_version(label("kubevirt.io/install-strategy-version")), lit("kubevirt"), "KubeVirt pod label", 4),
+        c(addons, T.loose_version(field("spec", "version")), F.concat_ws("/", lit("addon"), "name"), "Harvester addon spec", 6),
+        c(available, T.loose_version(F.col("name")), lit("available-version"), "Harvester Version resource", 8),
+    )
 
 
 def picked_versions(candidates: DataFrame, keys: list[str], most: int = 12) -> DataFrame:
-    """bundle_id, version (least priority first) and its distinct components."""
+    """bundle_id, version, source and path of the candidate of least priority, and the distinct components."""
     order = F.struct("priority", "path", "item_no")
-    first = candidates.groupBy("bundle_id", *keys).agg(F.min_by(F.struct("component", "version", "source"), order).alias("c"), F.min(order).alias("o"))
-    k = F.row_number().over(Window.partitionBy("bundle_id").orderBy("o"))
+    first = candidates.groupBy("bundle_id", *keys).agg(F.min_by(F.struct("component", "version", "source", "path"), order).alias("c"), F.min(order).alias("o"))
+    k = F.row_number().over(Window.partitionBy("bundle_id").orderBy("o", "c"))
     few = first.withColumn("k", k).where(F.col("k") <= most)
-    return few.groupBy("bundle_id").agg(F.min_by("c.version", "o").alias("version"), F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("components"))
-
-
-def finding_groups(spark: SparkSession, found: DataFrame, product: str) -> DataFrame:
-    """bundle_id, group_id, title, severity, related_ids, evidence. A finding may be in several."""
-    ids = [(g, t, i) for g, p, t, members, _ in defaults.GROUPS if p == product for i in members]
-    kinds = [(g, t, c) for g, p, t, _, members in defaults.GROUPS if p == product for c in members]
-    f = found.select("bundle_id", "id", "severity", "category", "title", "evidence", "count", "path")
-    parts = []
-    for rows, on in ((ids, "id"), (kinds, "category")):
-        if rows:
-            m = F.broadcast(spark.createDataFrame(rows, f"group_id string, group_title string, {on} string"))
-            parts.append(f.join(m, on).select("bundle_id", "group_id", "group_title", *[c for c in f.columns if c != "bundle_id"]))
-    members = union_all(*parts)
-    if product == "harvester":
-        title = {g: t for g, _, t, _, _ in defaults.GROUPS}
-        group, extra = defaults.EXTRA_MEMBER
-        has = members.where(F.col("group_id") == group).select("bundle_id").distinct()
-        more = f.where(F.col("id") == extra).join(has, "bundle_id", "left_semi")
-        group2, id2, others = defaults.UNLESS
-        rest = f.where(F.col("id") == id2).join(f.where(F.col("id").isin(others)).select("bundle_id").distinct(), "bundle_id", "left_anti")
-        add = lambda df, g: df.select(F.lit(g).alias("group_id"), F.lit(title[g]).alias("group_title"), *f.columns)
-        members = union_all(members, add(more, group), add(rest, group2))
-    members = members.dropDuplicates(["bundle_id", "group_id", "id"])
-    from bundlelens.operators.findings import merged_evidence
-
-    by = ["bundle_id", "group_id", "group_title"]
-    out = members.groupBy(*by).agg(T.severity_of(F.min(T.severity_rank(F.col("severity")))).alias("severity"), F.sort_array(F.collect_set("id")).alias("related_ids"))
-    ev = merged_evidence(members.withColumn("rank", T.severity_rank(F.col("severity"))), by, ["rank", "id"], 8 if product == "longhorn" else 10)
-    return out.join(ev, by).withColumnRenamed("group_title", "title")
+    won = F.min_by("c", F.struct("o", "k")).alias("won")
+    out = few.groupBy("bundle_id").agg(won, F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("components"))
+    return out.select("bundle_id", "won.version", "won.source", "won.path", "components")

@@ -1,6 +1,6 @@
 """Affected workloads: machines, instances and migrations joined, then matched with images,
-networks, events and log lines. Every match is an equi-join on (bundle, namespace) or
-(bundle, key), what is left of a condition is checked on the joined rows."""
+networks, events and log lines. Names in texts are found by an automaton of all names, one scan of
+the texts; every match is then an equi-join on the bundle and a name or key."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bundlelens.functions import text as T
-from bundlelens.operators import checks
+from bundlelens.operators import checks, search
 from bundlelens.session import written
 
 LOG_FINDINGS = ("harvester-log-virtualization-scheduling", "harvester-log-error-lines", "harvester-log-webhook-errors", "harvester-log-network-offload")
@@ -39,16 +39,14 @@ def node_names(w: DataFrame) -> Column:
 
 
 def image_matches(w: DataFrame, images: DataFrame) -> DataFrame:
-    """(workload, image): same bundle and namespace (an image without one fits all), then a name in
-    the machine's list or text."""
-    a = w.where("vm is not null").select(*KEY, "vm.images", "vm.text")
-    i = images.select("bundle_id", T.blank_to_null(F.col("namespace")).alias("ins"), F.struct("path", "item_no", "display", "name", "issue").alias("image"))
-    def keep(j):
-        names = F.transform(F.array_distinct(F.array_compact(F.array("image.name", "image.display"))), F.lower)
-        return j.where(F.exists(names, lambda n: F.array_contains(F.transform("images", F.lower), n) | F.col("text").contains(n)))
-    own = keep(a.join(i.where("ins is not null").withColumnRenamed("ins", "ns"), ["bundle_id", "ns"]))
-    free = keep(a.join(i.where("ins is null").drop("ins"), ["bundle_id"]))
-    return own.select(*KEY, "image").unionByName(free.select(*KEY, "image"))
+    """(workload, image): same bundle and namespace (an image without one fits all), and a name of
+    the image in the machine's text, of which its list of images is a part."""
+    names = F.array_distinct(F.transform(F.array_compact(F.array("name", "display")), F.lower))
+    i = images.select("bundle_id", T.blank_to_null(F.col("namespace")).alias("ins"), F.struct("path", "item_no", "display", "name", "issue").alias("image"), F.explode(names).alias("named"))
+    i = written(i, "images")
+    a = search.naming(w.where("vm is not null").select(*KEY, F.col("vm.text").alias("text")), F.col("text"), i, "named").drop("text")
+    j = a.join(i, ["bundle_id", "named"]).where("ins is null or ins = ns")
+    return j.select(*KEY, "image").distinct()
 
 
 def network_matches(w: DataFrame, vlans: DataFrame) -> DataFrame:
@@ -74,20 +72,30 @@ def _says(text: Column, name: Column, whole_words: bool) -> Column:
     return text.contains(F.lower(name)) if not whole_words else F.regexp_instr(text, F.concat(F.lit(r"(?<![\w-])\Q"), F.lower(name), F.lit(r"\E(?![\w-])"))) > 0
 
 
+def _aliases(w: DataFrame) -> DataFrame:
+    """The names that stand for a workload: its own and those of its migrations."""
+    names = F.array_distinct(F.array_compact(F.concat(F.array("name"), F.transform("migrations", lambda m: m["name"]))))
+    return w.select(*KEY, F.explode(names).alias("called"))
+
+
 def event_matches(w: DataFrame, events: DataFrame, whole_words: bool = False) -> DataFrame:
-    names = F.array_distinct(F.concat(F.array("name"), F.transform("migrations", lambda m: m["name"])))
-    j = w.select(*KEY, names.alias("names")).join(events, ["bundle_id", "ns"])
-    text = F.lower(F.concat_ws(" ", "reason", "message"))
-    return j.where(F.array_contains("names", F.col("involved")) | F.exists("names", lambda n: _says(text, n, whole_words))).select(*KEY, F.struct("path", "item_no", "reason", "message").alias("event"))
+    """(workload, event) of the same namespace: the event is about one of its names, or says it."""
+    names = written(_aliases(w).withColumn("low", F.lower("called")), "aliases")
+    e = events.select("bundle_id", "ns", "involved", F.struct("path", "item_no", "reason", "message").alias("event"))
+    about = e.join(names, [e.bundle_id == names.bundle_id, e.ns == names.ns, e.involved == names.called]).select(*[names[c] for c in KEY], "event")
+    text = F.lower(F.concat_ws(" ", "event.reason", "event.message"))
+    said = search.naming(e, text, names, "low").withColumnRenamed("named", "low").join(names, ["bundle_id", "ns", "low"])
+    said = said.where(_says(text, F.col("called"), True)) if whole_words else said
+    return about.unionByName(said.select(*KEY, "event")).distinct()
 
 
 def log_matches(w: DataFrame, lines: DataFrame, whole_words: bool = False) -> DataFrame:
-    """(workload, hit) of all hits(bundle_id, id, path, line_no, line) of the four log rules. The
-    workloads of a bundle meet its hits in the join on the bundle; hits are what the rules
-    left of the lines."""
+    """(workload, hit) of all hits(bundle_id, id, path, line_no, line) of the four log rules."""
+    names = written(w.select(*KEY, F.lower("name").alias("low")).where("low is not null"), "names")
     h = lines.where(F.col("id").isin(*LOG_FINDINGS)).select("bundle_id", F.struct("id", "path", "line_no", "line").alias("hit"))
-    j = w.select(*KEY).join(h, "bundle_id")
-    return j.where(_says(F.lower("hit.line"), F.col("name"), whole_words)).select(*KEY, "hit")
+    said = search.naming(h, F.lower("hit.line"), names, "low").withColumnRenamed("named", "low").join(names, ["bundle_id", "low"])
+    said = said.where(_says(F.lower("hit.line"), F.col("name"), True)) if whole_words else said
+    return said.select(*KEY, "hit")
 
 
 def _few(rows: DataFrame, value: str, most: int | None = 3) -> DataFrame:

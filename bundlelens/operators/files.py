@@ -26,11 +26,6 @@ def largest_files(files: DataFrame, by: str, path: str, size: str, most: int = 1
     return files.withColumn("place", place).where(F.col("place") <= most)
 
 
-def first_by_path(files: DataFrame, by: str, path: str, most: int = 5000) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(by).orderBy(path))
-    return files.withColumn("place", place).where(F.col("place") <= most)
-
-
 def directory_tree(files: DataFrame, by: list[str], path: str, size: str) -> DataFrame:
     """Every ancestor directory with the files and bytes below it."""
     parts = F.filter(F.split(F.col(path), "/"), lambda x: x != "")

@@ -65,8 +65,9 @@ def merged_evidence(rows: DataFrame, by: list[str], order: list[str], most: int
     return r.groupBy(*by).agg(sorted_.alias("__s")).select(*by, F.slice(F.array_distinct(F.flatten("__s.__e")), 1, most).alias("evidence"))
 
 
-def affected(label: str, n: Column) -> Column:
-    return F.when(n.isNotNull() & ~F.isnan(n.cast("double")), F.concat(F.lit(f"{label}: "), n.cast("string")))
+def affected(label: Column, n: Column) -> Column:
+    """`label: n`, null without a number."""
+    return F.when(n.isNotNull() & ~F.isnan(n.cast("double")), F.concat(label, F.lit(": "), n.cast("string")))
 
 
 def union_all(*parts: DataFrame) -> DataFrame:

@@ -78,21 +78,25 @@ def rule_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
 def log_findings(lines: DataFrame, spark: SparkSession, rules: list[dict], by: str, path: str, line_no: str, line: str, evidence: int = 4, width: int = 220, priority: Column | None = None) -> DataFrame:
     """Per (by, rule): count, first path and the first `evidence` lines in order of (priority, path, line).
 
-    First lines are taken per path before they are ranked per bundle, so a bundle that holds
-    most lines is ranked by its first rows of each path, not by all of them.
+    The lines are scanned once: what the rules leave of them is written, cut to `width`, and read
+    for the counts and for the first lines. First lines are taken per path before they are
+    ranked per bundle, so a bundle that holds most lines is ranked by its first rows of each
+    path, not by all of them.
     """
     from pyspark.sql import Window
 
     from bundlelens.functions.text import truncate
+    from bundlelens.session import written
 
     m = log_matches(lines.withColumn("prio", priority if priority is not None else F.lit(0)), line, rules)
+    m = written(m.select(by, "rule_id", "prio", path, line_no, truncate(F.trim(F.col(line)), width).alias("excerpt")), "matches")
     per_path = m.groupBy(by, "rule_id", "prio", path).agg(F.count("*").alias("n"), F.min(F.col(line_no)).alias("at"))
     totals = per_path.groupBy(by, "rule_id").agg(F.sum("n").alias("count"), F.min(F.struct("prio", F.col(path), "at")).alias("first"))
     in_path = Window.partitionBy(by, "rule_id", path).orderBy(line_no)
     few = m.withColumn("k", F.row_number().over(in_path)).where(F.col("k") <= evidence)
     in_all = Window.partitionBy(by, "rule_id").orderBy("prio", path, line_no)
     few = few.withColumn("k", F.row_number().over(in_all)).where(F.col("k") <= evidence)
-    ref = F.struct(F.col("k"), F.col(path).alias("path"), F.col(line_no).alias("line"), truncate(F.trim(F.col(line)), width).alias("excerpt"))
+    ref = F.struct(F.col("k"), F.col(path).alias("path"), F.col(line_no).alias("line"), "excerpt")
     refs = few.groupBy(by, "rule_id").agg(F.array_sort(F.collect_list(ref)).alias("refs"))
     out = totals.join(refs, [by, "rule_id"]).join(F.broadcast(rule_table(spark, rules)), "rule_id")
     return out.select(by, F.col("rule_id").alias("id"), "severity", "category", "title", "description", F.col("refs.excerpt").alias("evidence"), F.transform("refs", lambda r: F.struct(r["path"].alias("path"), r["line"].alias("lineStart"), r["excerpt"].alias("excerpt"))).alias("evidence_refs"), "count", F.col("first")[path].alias("path"))

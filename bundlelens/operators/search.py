@@ -54,18 +54,55 @@ def mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name_key:
     return out.distinct() if out is not None else texts.select(F.col(key).cast("long").alias(key), F.lit(0).cast("long").alias(name_key)).limit(0)
 
 
+def naming(rows: DataFrame, text: Column, names: DataFrame, name: str, named: str = "named", block_chars: int = 8_000_000) -> DataFrame:
+    """rows with `named`, a row for each distinct name that the text contains, found as in mentions()."""
+    n = names.select(F.col(name).alias("n")).where("n <> ''").distinct()
+    blocks = max(1, -(-(n.agg(F.sum(F.length("n"))).first()[0] or 0) // block_chars))
+    t, out = rows.withColumn("__text", text), None
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{named}` string"
+    for b in range(blocks):
+        part = [(r.n, r.n) for r in n.where(F.pmod(F.xxhash64("n"), F.lit(blocks)) == b).collect()]
+        if part:
+            found = t.mapInArrow(_take_named(rows.sparkSession.sparkContext.broadcast(part)), schema)
+            out = found if out is None else out.unionByName(found)
+    return out if out is not None else rows.withColumn(named, F.lit(None).cast("string")).limit(0)
+
+
+def _automaton(pairs):
+    import ahocorasick
+
+    by: dict[str, list] = {}
+    for name, k in pairs:
+        by.setdefault(name, []).append(k)
+    a = ahocorasick.Automaton()
+    for name, keys in by.items():
+        a.add_word(name, keys)
+    a.make_automaton()
+    return a
+
+
+def _take_named(shared):
+    def run(batches):
+        import pyarrow as pa
+
+        a = _automaton(shared.value)
+        for batch in batches:
+            at, names = [], []
+            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                found = {k for _, keys in a.iter(text) for k in keys} if text else ()
+                at += [i] * len(found)
+                names += found
+            kept = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(names, pa.string())], names=[*batch.schema.names[:-1], "named"])
+
+    return run
+
+
 def _scan(shared):
     def run(batches):
-        import ahocorasick
         import pyarrow as pa
 
-        by: dict[str, list[int]] = {}
-        for name, k in shared.value:
-            by.setdefault(name, []).append(k)
-        a = ahocorasick.Automaton()
-        for name, keys in by.items():
-            a.add_word(name, keys)
-        a.make_automaton()
+        a = _automaton(shared.value)
         for batch in batches:
             ids, hits = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

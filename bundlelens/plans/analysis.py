@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bundlelens.functions import text as T
-from bundlelens.operators import checks, correlate, defaults, files, findings, kb, rules
+from bundlelens.operators import checks, correlate, defaults, files, findings, groups, kb, rules
 from bundlelens.session import written
 from bundlelens.sources import bundles as source
 
@@ -51,6 +51,7 @@ class Analysis:
     groups: DataFrame
     workloads: DataFrame | None
     summary: DataFrame
+    versions: DataFrame
 
 
 def analyse(spark: SparkSession, registry: DataFrame, members: DataFrame, product: str, rule_set: dict | None = None) -> Analysis | None:
@@ -65,25 +66,36 @@ def analyse(spark: SparkSession, registry: DataFrame, members: DataFrame, produc
     r = rule_set or a.rules
     raw, inventory = a.analyse(t, r)
     found = written(findings.first_by_id(raw, ["bundle_id", "id"], ["seq"]), "findings")
-    groups = checks.finding_groups(spark, found, product)
+    inventory = written(checks.complete_inventory(inventory, own, product), "inventory")
+    grouped = groups.finding_groups(spark, found, inventory, product) if any(g.product == product for g in groups.GROUPS) else None
     work = None
     if "correlations" in a.capabilities:
         hits = rules.log_matches(t.lines.where(rules.in_log_scope(F.col("path"), r["logs"]["include"])), "line", r["logs"]["rules"]).select("bundle_id", F.col("rule_id").alias("id"), "path", "line_no", "line")
         work = correlate.correlations(found, t.resources, hits)
-    return Analysis(found, written(inventory, "inventory"), written(groups, "groups"), written(work, "workloads") if work is not None else None, findings.severity_summary(found, "bundle_id", "severity", own))
+    picked = checks.picked_versions(checks.versions(t.resources, product), ["component", "version"] if product == "longhorn" else ["component", "version", "source"])
+    return Analysis(found, inventory, written(grouped, "groups") if grouped is not None else None, written(work, "workloads") if work is not None else None, findings.severity_summary(found, "bundle_id", "severity", own), written(picked, "versions"))
 
 
 def reports(registry: DataFrame, a: Analysis, index: DataFrame, shown: int = 5000) -> DataFrame:
-    """One row a bundle: summary, findings in order, groups, workloads, file index and its summaries."""
-    by_rank = lambda rows, *cols: F.transform(F.array_sort(F.collect_list(F.struct(T.severity_rank(F.col("severity")).alias("r"), *cols))), lambda x: x.dropFields("r"))
-    f = a.findings.groupBy("bundle_id").agg(by_rank(a.findings, "category", "title", "id", "severity", "description", "evidence", "count", "path").alias("findings"))
-    g = a.groups.groupBy("bundle_id").agg(by_rank(a.groups, "title", "group_id", "severity", "evidence", "related_ids").alias("groups"))
+    """One row a bundle: version, summary, findings and groups in report order (severity, then
+    names in language order), workloads, file index and its summaries."""
+
+    def in_order(rows, name, names, *cols):
+        order = [findings.unicode_order(c) for c in names]
+        placed = findings.in_report_order(rows, "bundle_id", "severity", [*order, *names])
+        return placed.groupBy("bundle_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", *cols))), lambda x: x.dropFields("place")).alias(name))
+
+    f = in_order(a.findings, "findings", ["category", "title", "id"], "category", "title", "id", "severity", "description", "evidence", "count", "path")
+    parts = [f]
+    if a.groups is not None:
+        parts.append(in_order(a.groups, "groups", ["title", "group_id"], "title", "group_id", "severity", "description", "impact", "affected", "checks", "evidence", "related_ids"))
+    parts.append(a.versions.select("bundle_id", "version", F.col("source").alias("version_source"), F.col("path").alias("version_path"), "components"))
     i = a.inventory.groupBy("bundle_id").agg(F.sort_array(F.collect_list(F.struct("area", "metric", "value"))).alias("inventory"))
     s = files.index_summary(index, "bundle_id", "type", "size", shown)
     top = files.top_level_entries(index, "bundle_id", "path").groupBy("bundle_id").agg(F.sort_array(F.collect_list(F.struct("place", "entry", "n"))).alias("top_level_entries"))
     big = files.largest_files(index.where("type = 'file'"), "bundle_id", "path", "size").groupBy("bundle_id").agg(F.sort_array(F.collect_list(F.struct("place", "path", "size"))).alias("largest_files"))
     out = registry.join(a.summary, "bundle_id")
-    for part in (f, g, i, s, top, big):
+    for part in (*parts, i, s, top, big):
         out = out.join(part, "bundle_id", "left")
     if a.workloads is not None:
         w = a.workloads.groupBy("bundle_id").agg(F.sort_array(F.collect_list(F.struct("place", "namespace", "name", "severity", "status", "node_name", "signal_count", "related_ids", "evidence"))).alias("workloads"))

@@ -17,10 +17,13 @@ def session(app: str = "bundlelens", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests, one machine) a
-    temporary folder is made and set."""
+    """A new folder below spark.checkpoint.dir; only where that is unset on a local master (tests,
+    one machine) a temporary folder is made and set. A cluster without the setting is an error, as its
+    executors would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-bundlelens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

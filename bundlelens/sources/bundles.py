@@ -14,7 +14,9 @@ import io
 import lzma
 import posixpath
 import re
+import shutil
 import tarfile
+import tempfile
 import zipfile
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -27,6 +29,8 @@ from bundlelens.functions.text import archive_type
 
 #: Limits of one archive.
 MAX_ENTRIES, MAX_BYTES, MAX_DEPTH, PEEK = 20_000, 2 << 30, 3, 4096
+#: A nested archive of more bytes waits in a file of its task.
+SPOOLED = 16 << 20
 SUFFIX = re.compile(r"\.(zip|tar|tgz|tar\.gz|txz|tar\.xz|tbz2?|tar\.bz2|tzst|tar\.zst)$", re.I)
 MEMBER = "bundle_id string, path string, type string, size long, mtime timestamp, extension string, is_binary boolean, part int, first_line long, content string, status string, reason string"
 COLUMNS = [c.split()[0] for c in MEMBER.split(", ")]
@@ -115,7 +119,8 @@ class Expansion:
             extension = posixpath.splitext(full)[1].lower()
             f = opened()
             if SUFFIX.search(full):
-                inner = io.BytesIO(f.read())  # bounded by the budget
+                inner = tempfile.SpooledTemporaryFile(SPOOLED)  # read by this task only, gone with it
+                shutil.copyfileobj(f, inner, PART)
                 nested.append((full, inner))
                 yield self.row(full, kind, size=size, mtime=mtime, extension=extension, is_binary=True, part=0, first_line=1)
                 continue
@@ -124,17 +129,38 @@ class Expansion:
             if depth + 1 > MAX_DEPTH:
                 yield self.row(full, "nested", status="skipped", reason="depth")
                 continue
-            before, at = self.entries, self.target(full)
+            before, left, at = self.entries, self.left, self.target(full)
             self.taken.add(at)
-            rows = []
             try:
-                rows = list(self.walk(inner, full, at, depth + 1))
-                yield from rows
-                yield self.row(full, "nested", status="expanded", reason=str(self.entries - before))
-            except ValueError as e:
-                yield self.row(full, "nested", status="skipped", reason="quota-exceeded" if "quota" in str(e) else "budget-exhausted" if "entries" in str(e) else str(e))
-            except Exception:
-                yield self.row(full, "nested", status="skipped", reason="list-failed")
+                self.check(inner, full)
+            except Exception as e:
+                self.entries, self.left = before, left
+                known = isinstance(e, ValueError) and not isinstance(e, UnicodeError)
+                reason = "quota-exceeded" if "quota" in str(e) else "budget-exhausted" if "entries" in str(e) else str(e) if known else "list-failed"
+                yield self.row(full, "nested", status="skipped", reason=reason)
+                continue
+            self.entries, self.left = before, left
+            inner.seek(0)
+            yield from self.walk(inner, full, at, depth + 1)
+            yield self.row(full, "nested", status="expanded", reason=str(self.entries - before))
+            inner.close()
+
+    def check(self, data, name: str) -> None:
+        """Read an archive through without keeping anything of it; a bad one raises."""
+        data.seek(0)
+        for path, kind, size, _, opened in _open(data, name):
+            self.entries += 1
+            self.left -= size
+            if self.entries > MAX_ENTRIES:
+                raise ValueError("too many entries")
+            if self.left < 0:
+                raise ValueError("extracted bytes over the quota")
+            if unsafe(path):
+                raise ValueError(f"unsafe entry: {path!r}")
+            if kind == "file":
+                f = opened()
+                while f.read(PART):
+                    pass
 
     def text(self, f, path: str, **more) -> Iterator[dict]:
         """A member's text in parts of whole lines, about a megabyte each."""
@@ -208,7 +234,16 @@ def bundle_files(members: DataFrame, hidden: str = ".bundle-metadata/") -> DataF
 
 
 def text_files(members: DataFrame) -> DataFrame:
-    return members.where("type = 'file' and not is_binary").select("bundle_id", "path", "part", "first_line", "content")
+    """Text members by parts; none of a rejected bundle, whose archive was read in part only."""
+    bad = members.where("type = 'error'").select("bundle_id").distinct()
+    return members.where("type = 'file' and not is_binary").select("bundle_id", "path", "part", "first_line", "content").join(bad, "bundle_id", "left_anti")
+
+
+def whole_files(texts: DataFrame) -> DataFrame:
+    """bundle_id, path, content: the parts of each file joined again, for formats that can't be cut
+    by lines; a file is bounded by the archive's budget."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda x: x["content"])
+    return texts.groupBy("bundle_id", "path").agg(F.array_join(parts, "").alias("content"))
 
 
 def log_lines(members: DataFrame) -> DataFrame:
@@ -220,10 +255,11 @@ def log_lines(members: DataFrame) -> DataFrame:
 
 def key_values(members: DataFrame, suffix: str = "metadata.yaml") -> DataFrame:
     """bundle_id, metadata (map) of the top-level `key: value` lines of the first such file."""
-    first = text_files(members).where(F.col("path").endswith(suffix)).groupBy("bundle_id").agg(F.min_by("content", F.struct("path", "part")).alias("content"))
+    t = text_files(members).where(F.col("path").endswith(suffix))
+    first = t.join(t.groupBy("bundle_id").agg(F.min("path").alias("path")), ["bundle_id", "path"])
     line = first.select("bundle_id", F.explode(F.split("content", "\r?\n")).alias("line")).where(F.col("line").rlike(r"^[A-Za-z][\w.-]*:\s*\S"))
     value = F.regexp_replace(F.regexp_extract("line", r"^[^:]+:\s*(.*?)\s*$", 1), "^['\"](.*)['\"]$", "$1")
-    kv = line.select("bundle_id", F.lower(F.regexp_extract("line", r"^([^:]+):", 1)).alias("k"), value.alias("v")).where("v <> 'null'").groupBy("bundle_id", "k").agg(F.first("v").alias("v"))
+    kv = line.select("bundle_id", F.lower(F.regexp_extract("line", r"^([^:]+):", 1)).alias("k"), value.alias("v")).where("v <> 'null'").groupBy("bundle_id", "k").agg(F.min("v").alias("v"))
     return kv.groupBy("bundle_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("metadata"))
 
 
@@ -232,7 +268,7 @@ ALERTS = "array<struct<Labels:map<string,string>,Annotations:map<string,string>,
 
 def alerts(members: DataFrame, suffix: str = "prometheus-alerts.json") -> DataFrame:
     """bundle_id, path, seq, labels, annotations, state; valid false (and no alert) for a file that isn't JSON."""
-    t = text_files(members).where(F.col("path").endswith(suffix) & (F.col("part") == 0))
+    t = whole_files(text_files(members).where(F.col("path").endswith(suffix)))
     ok = F.try_parse_json("content").isNotNull()
     t = t.select("bundle_id", "path", ok.alias("valid"), F.when(ok & F.trim("content").startswith("["), F.from_json("content", ALERTS)).alias("a"))
     e = t.select("bundle_id", "path", "valid", F.posexplode_outer("a").alias("seq", "x")).where("x is not null or not valid")
@@ -247,11 +283,9 @@ RESOURCE_COLUMNS = ["bundle_id", "path", "item_no", "api_version", "kind", "name
 def resources(members: DataFrame) -> DataFrame:
     """A row for each item of the YAML lists: metadata, spec and status as JSON, conditions typed.
 
-    A file's parts are joined again, as YAML can't be cut by lines; a file is bounded by the
-    archive's budget. Bad YAML is one row with an error.
+    Bad YAML is one row with an error.
     """
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda x: x["content"])
-    t = text_files(members).where(F.col("path").rlike(r"(?i)\.ya?ml$")).groupBy("bundle_id", "path").agg(F.array_join(parts, "").alias("content"))
+    t = whole_files(text_files(members).where(F.col("path").rlike(r"(?i)\.ya?ml$")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bundlelens.operators.files import new_bundles
-from bundlelens.session import shared_dir
+from bundlelens.session import shared_dir, written
 
 LEDGER = "bundle_id string, status string, stage string, at timestamp, error string, batch long"
 
@@ -20,11 +20,6 @@ def latest(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
     return rows.groupBy(F.col(by).alias("__by")).agg(F.max_by(row, F.struct(*order)).alias("r")).select("r.*")
 
 
-def newest_first(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(by).orderBy(*[F.desc(c) for c in order]))
-    return rows.withColumn("place", place)
-
-
 def steps(bundles: DataFrame, status: str, stage: str, batch: int, error=None) -> DataFrame:
     return bundles.select("bundle_id", F.lit(status).alias("status"), F.lit(stage).alias("stage"), F.current_timestamp().alias("at"), (error if error is not None else F.lit(None).cast("string")).alias("error"), F.lit(batch).cast("long").alias("batch"))
 
@@ -33,7 +28,8 @@ def intake(stream: DataFrame, analyse: Callable[[DataFrame, int], DataFrame], ro
     """Run `analyse(new bundles, batch)` on each micro-batch of a stream with bundle_id and a
     checksum. Tables under root, each partitioned by batch so that a repeated batch replaces its
     own part: bundles (accepted), results, ledger. A copy of a bundle of an earlier batch, or of
-    the same one, is refused; a row with an `error` in the results fails its bundle only.
+    the same one, is refused; a row with an `error` in the results fails its bundle only, an analysis
+    that raises those of its batch.
     """
     order = order or ["bundle_id"]
 
@@ -43,6 +39,13 @@ def intake(stream: DataFrame, analyse: Callable[[DataFrame, int], DataFrame], ro
     def known(spark: SparkSession, schema, batch: int) -> DataFrame:
         return spark.read.schema(f"{schema}, batch long").parquet(f"{root}/bundles").where(F.col("batch") < batch)
 
+    def results(fresh: DataFrame, batch: int) -> DataFrame:
+        """A batch whose analysis raises leaves failed bundles, not a stopped stream."""
+        try:
+            return written(analyse(fresh, batch), "results")
+        except Exception as e:
+            return fresh.select("bundle_id", F.lit(f"{type(e).__name__}: {e}"[:500]).alias("error"))
+
     def run(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
         before = None
@@ -51,7 +54,7 @@ def intake(stream: DataFrame, analyse: Callable[[DataFrame, int], DataFrame], ro
         fresh = new_bundles(df, before, checksum, order).withColumn("batch", F.lit(batch).cast("long"))
         put(fresh, "bundles")
         fresh = spark.read.schema(fresh.schema).parquet(f"{root}/bundles").where(F.col("batch") == batch)
-        out = analyse(fresh.drop("batch"), batch)
+        out = results(fresh.drop("batch"), batch)
         put(out.withColumn("batch", F.lit(batch).cast("long")), "results")
         refused = df.join(fresh.select("bundle_id"), "bundle_id", "left_anti")
         failed = out.where("error is not null").groupBy("bundle_id").agg(F.min("error").alias("error")) if "error" in out.columns else None
@@ -70,12 +73,6 @@ def job_states(ledger: DataFrame) -> DataFrame:
     return latest(ledger.withColumn("__r", rank), "bundle_id", ["batch", "__r", "at"]).drop("__r")
 
 
-def unique_stream(stream: DataFrame, checksum: str = "sha256") -> DataFrame:
-    """Stateful dedup within a stream; its state grows with all checksums, so intake() is
-    the way for an unbounded history."""
-    return stream.dropDuplicates([checksum])
-
-
 def binary_stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Archives as they land: path, length and time; the content isn't read."""
     schema = "path string, modificationTime timestamp, length long, content binary"
@@ -83,11 +80,20 @@ def binary_stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataF
 
 
 def intake_of_table(rows: DataFrame, checksum: str, key: str, parts: int = 3) -> DataFrame:
-    """A table taken in as a stream of files: what intake() accepts of it, as (key, checksum).
-    Files arrive in key order, so of copies the smallest key is accepted."""
+    """A table taken in as a stream that is started anew for each of about `parts` ranges of the
+    key as they land: what intake() accepts of it, as (key, checksum). Of copies, in one
+    batch or over several, the smallest key is accepted."""
     spark = rows.sparkSession
     root = shared_dir(spark, "intake")
-    rows.select(F.col(key).cast("string").alias("bundle_id"), F.col(checksum), F.col(key).alias("order")).write.parquet(f"{root}/landing")
-    stream = spark.readStream.schema(f"bundle_id string, {checksum} string, order long").parquet(f"{root}/landing")
-    intake(stream, lambda df, batch: df.select("bundle_id", F.lit(None).cast("string").alias("error")), root, checksum, ["order"]).awaitTermination()
-    return spark.read.schema(f"bundle_id string, {checksum} string, order long, batch long").parquet(f"{root}/bundles").select(F.col("order").alias(key), checksum)
+    landed = rows.select(F.col(key).cast("string").alias("bundle_id"), F.col(checksum), F.col(key).alias("order"))
+    schema = f"bundle_id string, {checksum} string, order long"
+    ends = landed.stat.approxQuantile("order", [k / parts for k in range(1, parts)], 0.01) if parts > 1 else []
+    low = None
+    for high in [*sorted(set(ends)), None]:
+        part = landed if low is None else landed.where(F.col("order") > low)
+        part = part if high is None else part.where(F.col("order") <= high)
+        part.write.mode("append").parquet(f"{root}/landing")
+        low = high
+        stream = spark.readStream.schema(schema).parquet(f"{root}/landing")
+        intake(stream, lambda df, batch: df.select("bundle_id", F.lit(None).cast("string").alias("error")), root, checksum, ["order"]).awaitTermination()
+    return spark.read.schema(f"{schema}, batch long").parquet(f"{root}/bundles").select(F.col("order").alias(key), checksum)

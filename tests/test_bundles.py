@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from bundlelens.operators import checks, kb
+from bundlelens.operators import groups, kb
 from bundlelens.plans import analysis
 from bundlelens.sources import bundles
 from tests.fixtures import MACHINES, STORAGE
@@ -67,6 +67,30 @@ def test_lines_metadata_alerts(members):
     assert bundles.alerts(members).where("valid").count() == 2
 
 
+def test_long_files_and_rejected_bundles(spark, tmp_path):
+    import json
+
+    alerts = [{"Labels": {"alertname": f"a{k}", "severity": "warning"}, "Annotations": {"summary": "s" * 200}, "State": "firing"} for k in range(9000)]
+    (tmp_path / "long.tar.gz").write_bytes(tar({"b/prometheus-alerts.json": json.dumps(alerts, indent=2), "b/metadata.yaml": "".join(f"k{i}: {'v' * 90}\n" for i in range(20_000)) + "kubernetesversion: v9\n"}))
+    (tmp_path / "bad.tar").write_bytes(tar({"b/yamls/namespaced/x/v1/events.yaml": "items:\n- kind: Event\n", "b/logs/longhorn-system/longhorn-manager-a/m.log": "panic=1\n", "b/prometheus-alerts.json": "[]x", "../up": "x"}, "w"))
+    m = bundles.expand(bundles.archives(spark, str(tmp_path))).cache()
+    assert m.where("path like '%alerts.json' and part > 0").count() > 1
+    assert bundles.alerts(m).where("valid").count() == 9000 and bundles.alerts(m).where("not valid").count() == 0
+    assert bundles.key_values(m).first()["metadata"]["kubernetesversion"] == "v9"
+    assert [r.bundle_id for r in bundles.rejected(m).collect()] == ["bad"]
+    for rows in (bundles.bundle_files(m), bundles.log_lines(m), bundles.resources(m), bundles.alerts(m)):
+        assert rows.where("bundle_id = 'bad'").count() == 0
+
+
+def test_a_condition_alone_makes_no_volume_group(spark):
+    found = spark.createDataFrame([("b", "longhorn-volume-v-restore", "warning", "Longhorn Volume", "t", ["e"], 1, "p")], "bundle_id string, id string, severity string, category string, title string, evidence array<string>, count long, path string")
+    none = spark.createDataFrame([("b", "volumes", "unhealthy", 0)], "bundle_id string, area string, metric string, value long")
+    some = spark.createDataFrame([("b", "volumes", "unhealthy", 1), ("b", "volumes", "total", 4)], "bundle_id string, area string, metric string, value long")
+    assert groups.finding_groups(spark, found, none, "longhorn").count() == 0
+    [g] = groups.finding_groups(spark, found, some, "longhorn").collect()
+    assert g.group_id == "longhorn-volume-replica-health" and g.affected == ["Unhealthy volumes: 1", "Total volumes: 4"] and g.related_ids == ["longhorn-volume-v-restore"]
+
+
 def values(df):
     out = {}
     for r in df.collect():
@@ -86,12 +110,15 @@ def test_storage_bundle(spark, members):
     assert "Storage available: 10" in ids["longhorn-node-node-1-disk-fast-ready"].evidence
     v = values(a.inventory)
     assert v["one", "volumes", "unhealthy"] == 1 and v["one", "nodes", "diskIssues"] == 2 and v["one", "nodes", "nodesWithDiskIssues"] == 1 and v["one", "pods", "withRestarts"] == 1
-    groups = {r.group_id: r.severity for r in a.groups.collect()}
-    assert groups == {"longhorn-manager-stability": "critical", "longhorn-volume-replica-health": "critical", "longhorn-node-prerequisites": "critical", "longhorn-pod-restarts": "warning", "longhorn-monitoring-alerts": "warning", "longhorn-collection-gaps": "warning"}
+    severities = {r.group_id: r.severity for r in a.groups.collect()}
+    assert severities == {"longhorn-manager-stability": "critical", "longhorn-volume-replica-health": "critical", "longhorn-node-prerequisites": "critical", "longhorn-pod-restarts": "warning", "longhorn-monitoring-alerts": "warning", "longhorn-collection-gaps": "warning"}
     summary = {r.bundle_id: r.total for r in a.summary.collect()}
     assert summary == {"one": 13, "empty": 0}
-    version = checks.picked_versions(checks.versions(bundles.resources(members).where("bundle_id = 'one'"), "longhorn"), ["component", "version"]).first()
-    assert version.version == "v1.8.1"
+    assert v["empty", "volumes", "total"] == v["empty", "logs", "matchedLines"] == 0
+    told = {r.group_id: r for r in a.groups.collect()}
+    assert told["longhorn-manager-stability"].affected[0] == "Panics: 2" and told["longhorn-manager-stability"].title == "Manager panics"
+    assert told["longhorn-volume-replica-health"].affected == ["Unhealthy volumes: 1", "Replicas not running: 1", "Total volumes: 2", "Total replicas: 1"]
+    assert {r.bundle_id: r.version for r in a.versions.collect()} == {"one": "v1.8.1"}
     assert analysis.analyse(spark, registry, members, "other") is None
 
 
@@ -108,11 +135,14 @@ def test_machine_bundle_reports_and_search(spark, members, tmp_path):
     assert (w.name, w.namespace, w.severity, w.node_name, w.desired_node_names, w.event_count) == ("vm-a", "default", "critical", "node-a", ["node-b"], 1)
     assert "ubuntu.qcow2" in w.image_names and "default/vlan-a" in w.network_names and w.paths["vm"].endswith("virtualmachines.yaml")
     assert {"harvester-vms-not-ready", "harvester-vmis-not-running", "harvester-vm-migrations-failed", "harvester-vm-images-not-imported", "harvester-vlan-status-not-ready", "harvester-warning-events", "harvester-log-webhook-errors"} <= set(w.related_ids)
-    groups = {r.group_id: r.related_ids for r in a.groups.collect()}
-    assert {"harvester-control-plane-health", "harvester-virtualization-readiness", "harvester-vm-workload-health", "harvester-network-health", "harvester-storage-health", "harvester-node-health", "harvester-platform-events-and-logs", "harvester-collection-gaps"} == set(groups)
-    assert "harvester-log-error-lines" not in groups["harvester-platform-events-and-logs"]
-    version = checks.picked_versions(checks.versions(bundles.resources(members).where("bundle_id = 'two'"), "harvester"), ["component", "version", "source"]).first()
+    related = {r.group_id: r.related_ids for r in a.groups.collect()}
+    assert {"harvester-control-plane-health", "harvester-virtualization-readiness", "harvester-vm-workload-health", "harvester-network-health", "harvester-storage-health", "harvester-node-health", "harvester-platform-events-and-logs", "harvester-collection-gaps"} == set(related)
+    assert set(related["harvester-platform-events-and-logs"]) == {"harvester-warning-events", "harvester-log-error-lines"}
+    version = a.versions.first()
     assert version.version == "v1.5.1" and version.components[0].component == "harvester"
+    told = {r.group_id: r.affected for r in a.groups.collect()}
+    assert told["harvester-vm-workload-health"] == ["VMs with issues: 1", "VMIs not running: 1", "Failed migrations: 1"]
+    assert told["harvester-platform-events-and-logs"] == ["Warning events: 1", "Harvester log error lines: 1"]
     r = analysis.reports(registry, a, bundles.bundle_files(members)).collect()
     assert [x.bundle_id for x in r] == ["two"] and len(r[0].findings) == 20 and r[0].findings[0].severity == "critical" and r[0].files == len(MACHINES)
     pages = spark.createDataFrame([("http://k/kb/a-panic", "<h1>Webhook fails</h1><article><p>" + "harvester webhook control plane validator 502 bad gateway. " * 9 + "</p></article>"), ("http://k/kb/other", "<h1>Cooking</h1><article><p>" + "soup and bread recipes for the evening. " * 9 + "</p></article>")], "url string, html string")
