@@ -112,10 +112,6 @@ def backfilled(old: DataFrame, fresh: DataFrame, columns: list[str]) -> DataFram
     return j.drop(*[f"__{c}" for c in columns])
 
 
-def jobs_of(jobs: DataFrame, bundle_ids: DataFrame) -> DataFrame:
-    return jobs.join(bundle_ids, "bundle_id", "left_semi")
-
-
 def without_bundles(gone: DataFrame, *tables: DataFrame) -> list[DataFrame]:
     """The tables without the rows of deleted bundles."""
     return [t.join(gone.select("bundle_id"), "bundle_id", "left_anti") for t in tables]
@@ -141,8 +137,13 @@ def kb_queries(spark: SparkSession, groups: DataFrame, found: DataFrame, registr
 
 def enriched(spark: SparkSession, queries: DataFrame, chunks: DataFrame, docs: DataFrame, dimensions: int = 256, limit: int = 3, least: float = 0.08) -> DataFrame:
     """bundle_id, group_id, related_kb: the best documents of each group, all groups in one search."""
-    v = kb.hash_vectors(queries, "query_id", "text", dimensions)
-    q = queries.join(v, "query_id").withColumn("tokens", F.array_distinct(T.tokens(F.col("text"))))
+    q = written(kb.with_vectors(queries, F.col("text"), dimensions).withColumn("tokens", F.array_distinct(T.tokens(F.col("text")))), "asked")
     hits = kb.hybrid_search(q, chunks, docs, limit, least)
     per = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "id", "title", "source_uri", "score", "excerpt"))).alias("related_kb"))
     return queries.select("query_id", "bundle_id", "group_id").join(per, "query_id", "left").drop("query_id")
+
+
+def with_kb_summary(reports: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Reports with kb_summary: whether there is a knowledge base, its documents, chunks and last update."""
+    s = kb.stats(docs, chunks).first()  # one row
+    return reports.withColumn("kb_summary", F.struct(F.lit(s.chunk_count > 0).alias("enabled"), F.lit(s.document_count).cast("long").alias("document_count"), F.lit(s.chunk_count).cast("long").alias("chunk_count"), F.lit(s.updated_at).cast("timestamp").alias("updated_at")))

@@ -1,6 +1,6 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-from bundlelens.plans.queries import _RANK, _SEVERITY, ASKED, LOG_RULES, PRODUCTS, QUERY_VECTORS
+from bundlelens.plans.queries import _RANK, _SEVERITY, LOG_RULES, PRODUCTS
 from bundlelens.functions.text import STOP_WORDS
 
 _LINES = "(SELECT doc_id, source, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM (SELECT *, regexp_split_to_array(text, '\\r?\\n') AS x FROM documents))"
@@ -32,7 +32,37 @@ _ARTICLE = "regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1)"
 _BODY = _collapsed(_decoded(_replaced(_ARTICLE, *[(f"(?is)<{t}\\b.*?</{t}>", " ") for t in ("script", "style", "nav", "footer")], ("(?i)<pre\\b[^>]*>", "\n"), ("(?i)</pre>", "\n"), ("(?i)<br\\s*/?>", "\n"), ("(?i)</(p|div|section|article|h[1-6]|li|ol|ul|tr)>", "\n"), ("(?i)<li\\b[^>]*>", "- "), ("<[^>]+>", " "))))
 _TITLE = _collapsed(_decoded(_replaced("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)", ("<[^>]+>", " "))))
 _FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(t, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
-_OVERLAP = "CASE WHEN len({q}) = 0 THEN 0.0 ELSE len(list_filter({q}, lambda t: contains(lower(text), t)))::DOUBLE / sqrt(len({q}) * greatest(len({q}), 3)) END"
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_PLAIN_TITLE = f"coalesce(trim(regexp_replace(list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: {_STRIP.format('x')}), lambda x: x <> '' AND length(x) <= 120 AND NOT regexp_matches(x, '[.!?]$'))[1], '^#{{1,6}}\\s+', '')), '')"
+_PRODUCT = "CASE lang WHEN 'fr' THEN 'harvester' WHEN 'de' THEN 'longhorn' ELSE {0} END"
+_OPEN = "regexp_extract(acc, '[^' || chr(2) || ']*$')"
+_SHUT = f"substr(acc, 1, length(acc) - length({_OPEN}))"
+_TAIL = _STRIP.format(f"right({_OPEN}, 180)")
+#: Documents (d), their chunks (c: doc_id, id, title, product, chunk_index, content): paragraphs are folded
+#: into one text, closed chunks with a mark behind each.
+_CHUNKS = f"""d AS (SELECT doc_id, printf('kb_%012d', doc_id) AS id, {_PLAIN_TITLE} AS title, {_PRODUCT.format("'unknown'")} AS product, {_collapsed('text')} AS body FROM documents),
+  p AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(body, '\\n{{2,}}', chr(1), 'g'), '\\n(#{{1,6}}\\s|- )', chr(1) || '\\1', 'g'), '\\n([A-Z][^.\\n' || chr(1) || ']{{2,80}})$', chr(1) || '\\1'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS paras FROM d),
+  f AS (SELECT *, list_reduce(list_prepend('', paras), lambda acc, p: CASE
+      WHEN length(p) > 1800 THEN {_SHUT} || CASE WHEN {_OPEN} <> '' THEN {_OPEN} || chr(2) ELSE '' END || array_to_string(list_transform(range(0, greatest(1, length(p) - 180), 1620), lambda s: {_STRIP.format('substr(p, CAST(s AS BIGINT) + 1, 1800)')} || chr(2)), '')
+      WHEN {_OPEN} = '' THEN acc || p
+      WHEN length({_OPEN}) + 2 + length(p) <= 1800 THEN acc || chr(10) || chr(10) || p
+      ELSE acc || chr(2) || CASE WHEN {_TAIL} <> '' THEN {_TAIL} || chr(10) || chr(10) || p ELSE p END END) AS acc FROM p),
+  u AS (SELECT doc_id, id, title, product, unnest(x) AS content, unnest(range(1, len(x) + 1)) AS chunk_index FROM (SELECT *, list_filter(string_split(acc, chr(2)), lambda x: x <> '') AS x FROM f)),
+  c AS (SELECT * FROM u WHERE length({_STRIP.format('content')}) >= 40)"""
+
+
+def _hashed(words: str, owner: str, dimensions: int = 256) -> str:
+    """CTEs from a table {words}(owner, w) to {words}_v(owner, bucket, x)."""
+    return f"""{words}_t AS (SELECT {owner}, unnest(w) AS t, 1.0::DOUBLE AS x FROM {words} UNION ALL SELECT {owner}, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 1.35::DOUBLE FROM {words}),
+      {words}_h AS (SELECT t, {_FNV} % {dimensions} AS bucket FROM (SELECT DISTINCT t FROM {words}_t)),
+      {words}_b AS (SELECT {owner}, bucket, sum(x) AS x FROM {words}_t JOIN {words}_h USING (t) GROUP BY {owner}, bucket),
+      {words}_n AS (SELECT {owner}, sqrt(sum(x * x)) AS norm FROM {words}_b GROUP BY {owner}),
+      {words}_v AS (SELECT {owner}, bucket, round(x / norm, 6) AS x FROM {words}_b JOIN {words}_n USING ({owner}))"""
+
+
+_QUERIES = f"q AS (SELECT query_id, asked, qp, {_TOKENS.format('asked')} AS words, list_distinct({_TOKENS.format('asked')}) AS tokens FROM (SELECT doc_id AS query_id, substr(text, 1, 100) AS asked, {_PRODUCT.format('NULL')} AS qp FROM documents WHERE doc_id % 20 = 0))"
+_OVERLAP = "CASE WHEN len(tokens) = 0 THEN 0.0 ELSE len(list_filter(tokens, lambda t: contains({0}, t)))::DOUBLE / sqrt(len(tokens) * greatest(len(tokens), 3)) END"
+_FLAT = "trim(regexp_replace(content, '\\s+', ' ', 'g'))"
 _ORDER = """(SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS st, o_orderpriority AS pr,
   CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus <> 'F' THEN 1
        WHEN o_orderstatus = 'O' AND regexp_matches(o_orderpriority, '(?i)low|not') THEN 2
@@ -68,9 +98,9 @@ SQL = {
     "version_pick": "SELECT p_brand, first(p_name ORDER BY p_size, p_partkey) AS component, first(p_type ORDER BY p_size, p_partkey) AS version, count(DISTINCT p_name || '|' || p_type) AS components FROM part GROUP BY p_brand",
     "chart_version_extract": "SELECT p_partkey, 'v' || regexp_extract(lower(p_brand) || '-' || p_size || '.' || (p_partkey % 7) || '.3-rc1', '-v?([0-9]+\\.[0-9]+\\.[0-9]+(-rc1)?)$', 1) AS version FROM part",
     "slug_truncate": "SELECT doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS slug, CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '...' ELSE text END AS short FROM documents",
-    "workload_full_outer": "SELECT coalesce(c_custkey, o_custkey) AS custkey, c_name, coalesce(n, 0) AS migrations, evidence FROM customer FULL OUTER JOIN (SELECT o_custkey, count(*) AS n, string_agg(CASE WHEN k <= 3 THEN CAST(o_orderkey AS VARCHAR) END, ',' ORDER BY k) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY o_custkey) o ON c_custkey = o_custkey",
+    "workload_full_outer": "SELECT coalesce(c_custkey, o_custkey) AS custkey, c_name, coalesce(n, 0) AS migrations, evidence FROM customer FULL OUTER JOIN (SELECT o_custkey, count(*) AS n, string_agg(CASE WHEN k <= 3 THEN CAST(o_orderkey AS VARCHAR) END, ',' ORDER BY k) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) GROUP BY o_custkey) o ON c_custkey = o_custkey",
     "mention_join": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
-    "correlation_topk": "SELECT c_custkey, order_signals, event_signals, order_signals + event_signals AS signal_count, round(top_value, 4) AS top_value FROM customer JOIN (SELECT o_custkey, count(*) AS order_signals FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON c_custkey = o_custkey JOIN (SELECT user_id, count(*) AS event_signals, max(value) AS top_value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events WHERE event_type = 'error') WHERE k <= 3 GROUP BY 1) ON c_custkey = user_id",
+    "correlation_topk": "SELECT c_custkey, order_signals, event_signals, order_signals + event_signals AS signal_count, round(top_value, 4) AS top_value FROM customer JOIN (SELECT o_custkey, count(*) AS order_signals FROM orders GROUP BY 1) ON c_custkey = o_custkey JOIN (SELECT user_id, count(*) AS event_signals, max(value) AS top_value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events WHERE event_type = 'error') WHERE k <= 3 GROUP BY 1) ON c_custkey = user_id",
     "severity_summary": f"SELECT event_type, count(*) AS total, count(*) FILTER (WHERE s = 'critical') AS critical, count(*) FILTER (WHERE s = 'warning') AS warning, count(*) FILTER (WHERE s = 'info') AS info FROM (SELECT event_type, {_SEVERITY} AS s FROM events) GROUP BY event_type",
     "highest_severity": f"SELECT user_id, CASE min({_RANK}) WHEN 0 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'info' END AS severity FROM events GROUP BY user_id",
     "finding_dedup": f"SELECT user_id, event_type, event_id, severity FROM (SELECT *, {_SEVERITY} AS severity, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1",
@@ -89,15 +119,23 @@ SQL = {
     "kb_product": f"SELECT doc_id, CASE WHEN contains(lower(text), '{PRODUCTS[0]}') THEN '{PRODUCTS[0]}' WHEN contains(lower(text), '{PRODUCTS[1]}') THEN '{PRODUCTS[1]}' ELSE 'unknown' END AS product FROM documents",
     "kb_chunks_fixed": "SELECT doc_id, chunk, sha256(trim(substr(text, 1 + chunk * 1620, 1800), ' ')) AS content_sha256 FROM (SELECT doc_id, text, unnest(range(0, 1 + CAST(greatest(0, ceil((length(text) - 1800) / 1620.0)) AS BIGINT))) AS chunk FROM documents)",
     "kb_tokens": f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS token FROM documents) GROUP BY token",
-    "kb_hash_embedding": f"""WITH w AS (SELECT item_id, {_TOKENS.format('text')} AS w FROM benchmark),
-      t AS (SELECT item_id, unnest(w) AS t, 1.0 AS x FROM w UNION ALL SELECT item_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 1.35 FROM w),
-      b AS (SELECT item_id, {_FNV} % 64 AS bucket, sum(x)::DOUBLE AS x FROM t GROUP BY 1, 2),
-      n AS (SELECT item_id, sqrt(sum(x * x)) AS norm FROM b GROUP BY 1),
-      g AS (SELECT item_id, unnest(range(64)) AS bucket FROM benchmark)
-      SELECT g.item_id, g.bucket, round(round(coalesce(b.x / n.norm, 0), 6), 4) AS x FROM g LEFT JOIN b ON g.item_id = b.item_id AND g.bucket = b.bucket LEFT JOIN n ON n.item_id = g.item_id""",
-    "cosine_topk": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM
-      (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id IN {QUERY_VECTORS})) WHERE place <= 10""",
-    "keyword_overlap": "WITH q AS (SELECT " + ", ".join(f"list_distinct({_TOKENS.format(repr(a))}) AS q{i}" for i, a in enumerate(ASKED)) + ") SELECT doc_id, " + ", ".join(f"round({_OVERLAP.format(q=f'q{i}')}, 6) AS score_{i}" for i in range(len(ASKED))) + " FROM documents JOIN q ON true",
+    "kb_chunks": f"WITH {_CHUNKS} SELECT id AS document_id, chunk_index, length(content) AS char_count, sha256(content) AS content_sha256 FROM c",
+    "kb_hash_embedding": f"WITH w AS (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents), {_hashed('w', 'doc_id')} SELECT doc_id, bucket, x FROM w_v WHERE x <> 0",
+    "cosine_topk": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM
+      (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)) WHERE place <= 10""",
+    "keyword_overlap": f"WITH {_QUERIES}, s AS (SELECT query_id, doc_id, round({_OVERLAP.format('lower(text)')}, 6) AS score FROM q, documents) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM s WHERE score > 0) WHERE place <= 10",
+    "hybrid_search": f"""WITH {_CHUNKS}, {_QUERIES},
+      k AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_index) AS cid, *, lower(title || chr(10) || content) AS search FROM c),
+      cw AS (SELECT cid, {_TOKENS.format('title || chr(10) || content')} AS w FROM k), {_hashed('cw', 'cid')},
+      qw AS (SELECT query_id, {_TOKENS.format('asked')} AS w FROM q), {_hashed('qw', 'query_id')},
+      cn AS (SELECT cid, sqrt(sum(x * x)) AS n FROM cw_v GROUP BY cid), qn AS (SELECT query_id, sqrt(sum(x * x)) AS n FROM qw_v GROUP BY query_id),
+      dot AS (SELECT query_id, cid, sum(a.x * b.x) AS x FROM qw_v a JOIN cw_v b USING (bucket) GROUP BY query_id, cid),
+      s AS (SELECT q.query_id, q.tokens, q.words, k.*, 0.72 * coalesce(dot.x / (cn.n * qn.n), 0) + 0.28 * {_OVERLAP.format('search')} AS raw
+            FROM q JOIN k ON qp IS NULL OR product = 'unknown' OR product = qp LEFT JOIN dot ON dot.query_id = q.query_id AND dot.cid = k.cid LEFT JOIN cn ON cn.cid = k.cid LEFT JOIN qn ON qn.query_id = q.query_id),
+      b AS (SELECT *, round(raw, 3) AS score FROM s WHERE raw >= 0.07 QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY round(raw, 3) DESC, chunk_index) = 1),
+      e AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index, id) AS place, {_FLAT} AS t FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index, id) <= 5),
+      x AS (SELECT *, coalesce(greatest(instr(lower(t), list_filter(words, lambda w: contains(lower(t), w))[1]) - 91, 0), 0) AS start FROM e)
+      SELECT query_id, place, id, score, CASE WHEN start > 0 THEN '...' ELSE '' END || substr(t, start + 1, 260) || CASE WHEN start + length(substr(t, start + 1, 260)) < length(t) THEN '...' ELSE '' END AS excerpt, chunk_index FROM x""",
     "kb_upsert": """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, 's' || (doc_id % 701) AS source_uri, text, doc_id AS seq FROM documents), n AS (SELECT * FROM d WHERE seq % 3 = 0 AND trim(text) <> '')
       SELECT id, source_uri, length(text) AS chars FROM d WHERE seq % 3 <> 0 AND source_uri NOT IN (SELECT source_uri FROM n) UNION ALL SELECT id, source_uri, length(text) FROM n""",
     "kb_delete": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bundlelens.functions import text as T
 from bundlelens.operators import files, findings, kb, rules, search
+from bundlelens.session import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -162,7 +163,7 @@ def slug_truncate(spark, sf):
 
 
 def workload_full_outer(spark, sf):
-    c, o = table(spark, sf, "customer").select("c_custkey", "c_name"), table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    c, o = table(spark, sf, "customer").select("c_custkey", "c_name"), table(spark, sf, "orders")
     m = o.groupBy("o_custkey").agg(F.count("*").alias("migrations"), F.array_join(F.slice(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), 1, 3), ",").alias("evidence"))
     return c.join(m, c.c_custkey == m.o_custkey, "full_outer").select(F.coalesce("c_custkey", "o_custkey").alias("custkey"), "c_name", F.coalesce("migrations", F.lit(0)).alias("migrations"), "evidence")
 
@@ -174,7 +175,7 @@ def mention_join(spark, sf):
 
 def correlation_topk(spark, sf):
     c, o, e = (table(spark, sf, t) for t in ("customer", "orders", "events"))
-    o = o.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count("*").alias("order_signals"))
+    o = o.groupBy("o_custkey").agg(F.count("*").alias("order_signals"))
     top = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
     e = e.where("event_type = 'error'").withColumn("k", top)
     few = e.where("k <= 3").groupBy("user_id").agg(F.count("*").alias("event_signals"), F.max("value").alias("top_value"))
@@ -255,7 +256,7 @@ def _kb_documents(spark, sf):
 
 def kb_chunks(spark, sf):
     c = kb.chunks(_kb_documents(spark, sf))
-    return c.select("document_id", "chunk_index", "char_count", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"))
+    return c.select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("char_count").cast("long").alias("char_count"), F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"))
 
 
 def kb_tokens(spark, sf):
@@ -263,37 +264,37 @@ def kb_tokens(spark, sf):
 
 
 def kb_hash_embedding(spark, sf):
-    b = table(spark, sf, "benchmark")
-    v = kb.hash_vectors(b, "item_id", "text", 64)
-    return v.select("item_id", F.posexplode("vector").alias("bucket", "x")).select("item_id", F.col("bucket").cast("long").alias("bucket"), F.round("x", 4).alias("x"))
-
-
-QUERY_VECTORS = (1, 2, 3, 5, 8)
+    v = kb.hash_vectors(table(spark, sf, "documents"), "doc_id", "text")
+    return v.select("doc_id", F.posexplode("vector").alias("bucket", "x")).where("x <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), "x")
 
 
 def cosine_topk(spark, sf):
-    e = table(spark, sf, "embeddings")
-    q = e.where(F.col("vec_id").isin(*QUERY_VECTORS)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = F.broadcast(q).join(e, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(T.cosine(F.col("q"), F.col("embedding")), 4).alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return s.withColumn("place", place.cast("long")).where("place <= 10")
+    """The ten nearest others of every vector whose id is divisible by 20."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).alias("part"), F.col("embedding").cast("array<double>").alias("vector"), F.lit("unknown").alias("product"))
+    q = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector", F.lit(None).cast("string").alias("product_type"))
+    found = kb.best_matches(q, e, 11, -1.0, 4, 1.0, 0.0).where("query_id <> id")  # one of the eleven may be the query itself
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.select("query_id", F.col("id").alias("vec_id"), "score", place.cast("long").alias("place")).where("place <= 10")
 
 
-ASKED = ("thion the retention of ourth", "der schkeit einung", "zzz nothing")
+def _asked(spark, sf):
+    """The beginnings of the documents whose id is divisible by 20, as queries."""
+    q = table(spark, sf, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 100).alias("asked"), F.when(F.col("lang") == "fr", "harvester").when(F.col("lang") == "de", "longhorn").alias("product_type"))
+    return q.withColumn("tokens", F.array_distinct(T.tokens(F.col("asked"))))
 
 
 def keyword_overlap(spark, sf):
-    d = table(spark, sf, "documents")
-    cols = [F.round(T.keyword_overlap(T.tokens(F.lit(a)), F.lower("text")), 6).alias(f"score_{i}") for i, a in enumerate(ASKED)]
-    return d.select("doc_id", *cols)
+    """The ten documents that hold most of the words of each query."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("part"), F.lower("text").alias("text"), F.lit("unknown").alias("product"))
+    found = kb.best_matches(_asked(spark, sf), d, 10, 0.000001, 6, 0.0, 1.0)
+    return found.select("query_id", F.col("id").alias("doc_id"), "score", F.col("place").cast("long").alias("place"))
 
 
 def hybrid_search(spark, sf):
     d = _kb_documents(spark, sf).withColumn("content_type", F.lit("text/plain"))
-    c = kb.embedded(kb.chunks(d), 64)
-    q = spark.createDataFrame([(i, a, p) for i, (a, p) in enumerate(zip(ASKED, (None, "longhorn", "harvester"), strict=True))], "query_id long, text string, product_type string")
-    q = q.join(kb.hash_vectors(q, "query_id", "text", 64), "query_id").withColumn("tokens", T.tokens(F.col("text")))
-    return kb.hybrid_search(q, c, d).select("query_id", "place", "id", "score", "excerpt", "chunk_index")
+    c = written(kb.embedded(kb.chunks(d)), "chunks")
+    q = kb.with_vectors(_asked(spark, sf), F.col("asked"))
+    return kb.hybrid_search(written(q, "asked"), c, d).select("query_id", F.col("place").cast("long").alias("place"), "id", "score", "excerpt", F.col("chunk_index").cast("long").alias("chunk_index"))
 
 
 def _upserted(spark, sf):

@@ -38,51 +38,4 @@ def test_query_equals_sql(spark, con, name):
 def test_entry_and_queries_without_sql(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries())
-    assert set(QUERIES) - set(SQL) == {"kb_chunks", "hybrid_search"}
-
-
-def test_hybrid_search_equals_brute_force(spark):
-    import math
-
-    from bundlelens.functions.text import STOP_WORDS
-    from bundlelens.operators.kb import packed_chunks
-    q = queries
-
-    import re
-
-    def tokens(t):
-        return [w for w in re.findall(r"[a-z0-9][a-z0-9._-]*", t.lower()) if len(w) > 1 and w not in STOP_WORDS]
-
-    def vector(t):
-        v, w = [0.0] * 64, tokens(t)
-        for term, x in [(a, 1.0) for a in w] + [(f"{a} {b}", 1.35) for a, b in zip(w, w[1:], strict=False)]:
-            h = 2166136261
-            for c in term:
-                h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
-            v[h % 64] += x
-        n = math.sqrt(sum(x * x for x in v))
-        return [round(x / n, 6) if n else 0.0 for x in v]
-
-    docs = q._kb_documents(spark, SF).collect()
-    chunks = {d.id: [(i, c) for i, c in enumerate(packed_chunks(d.body), 1) if len(c.strip()) >= 40] for d in docs}
-    assert sum(map(len, chunks.values())) == q.kb_chunks(spark, SF).count()
-    got = {}
-    for r in q.hybrid_search(spark, SF).collect():
-        got.setdefault(r.query_id, []).append((r.place, r.id, r.chunk_index, r.score))
-    for i, (asked, product) in enumerate(zip(q.ASKED, (None, "longhorn", "harvester"), strict=True)):
-        qt, qv = list(dict.fromkeys(tokens(asked))), vector(asked)
-        best = {}
-        for d in docs:
-            if product and d.product_type not in ("unknown", product):
-                continue
-            for k, c in chunks[d.id]:
-                v = vector(f"{d.title}\n{c}")
-                norm = math.sqrt(sum(x * x for x in qv)) * math.sqrt(sum(x * x for x in v))
-                low = f"{d.title}\n{c}".lower()
-                s = 0.72 * (sum(a * b for a, b in zip(qv, v, strict=True)) / norm if norm else 0) + 0.28 * (sum(t in low for t in qt) / math.sqrt(len(qt) * max(len(qt), 3)))
-                if s >= 0.07:
-                    s = round(s + 1e-12, 3)
-                    if d.id not in best or (s, -k) > (best[d.id][0], -best[d.id][1]):
-                        best[d.id] = (s, k)
-        top = sorted(((s, k, x) for x, (s, k) in best.items()), key=lambda t: (-t[0], t[1], t[2]))[:5]
-        assert sorted(got.get(i, [])) == [(n, x, k, pytest.approx(s, abs=0.0011)) for n, (s, k, x) in enumerate(top, 1)]
+    assert set(QUERIES) - set(SQL) == set()
