@@ -223,13 +223,13 @@ def similar_links(docs: DataFrame, key: str, text: str, found: DataFrame, width:
         c = linked.select("node", F.col("component").alias("c"))
         first = linked.select(F.col("node").alias("first_node"), F.col("component").alias("first_c"))
         rows = banded.join(c, "node", "left").withColumn("first_node", F.col("first.node")).join(first, "first_node", "left")
-        return cut(rows.withColumns({"c": F.coalesce("c", "node"), "first_c": F.coalesce("first_c", "first_node")}).drop("first_node"), "connected")
+        return rows.withColumns({"c": F.coalesce("c", "node"), "first_c": F.coalesce("first_c", "first_node")}).drop("first_node")
 
     stars = same.unionByName(starred(banded.groupBy("digest", "node").agg(F.min("first").alias("first"))))
     stars = stars.unionByName(starred(connected(stars).where("c <> first_c")))
     left = connected(stars).select("band", "e", "f", "digest", "node", "c")
     open_ = left.groupBy("band", "e").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-    left = left.join(open_.select("band", "e", "n"), ["band", "e"])
+    left = cut(left.join(open_.select("band", "e", "n"), ["band", "e"]), "unconnected")  # few rows are left here
     few, many = left.where(F.col("n") <= paired), left.where(F.col("n") > paired)
     again = many.groupBy("band", "e", "f").agg(F.count("*").alias("m"), F.min(F.struct("node", "digest", "c")).alias("first"))
     many = many.join(again, ["band", "e", "f"])
