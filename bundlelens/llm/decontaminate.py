@@ -130,9 +130,13 @@ ROWS = "key long, width int, h long, at int, n int, template string, slots array
 SCHEMA = pa.schema([("key", pa.int64()), ("width", pa.int32()), ("h", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
 
 
-def template_windows(rows: DataFrame, widths: dict[int, int], known=None, whole: tuple[int, int, int] | None = None) -> DataFrame:
+BARE = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("width", pa.int32()), ("h", pa.int64()), ("at", pa.int32())])
+
+
+def template_windows(rows: DataFrame, widths: dict[int, int], known=None, whole: tuple[int, int, int] | None = None, bare: bool = False) -> DataFrame:
     """Windows of rows(key, text): key, width, h, at, n (tokens of the text), template, slots
-    (n for a name or v for a number, place in the window, blank, value).
+    (n for a name or v for a number, place in the window, blank, value). bare: of rows(key, text, row)
+    key, row, width, h, at only. A column `picks` of rows (array of width, at) names the windows to take.
 
     widths: {width: least number of words beside placeholders}. known: {width: sorted hashes},
     broadcast; other windows are not made rows. whole = (width, least, literals): texts with fewer
@@ -151,6 +155,7 @@ def template_windows(rows: DataFrame, widths: dict[int, int], known=None, whole:
         for batch in batches:
             for part in rows_of(batch, 3_000_000):
                 keys = part.column(0).to_pylist()
+                picks = part.column("picks").to_pylist() if "picks" in part.schema.names else None
                 p = t.parse(part.column(1).cast(pa.binary()).to_pylist())
                 size = np.bincount(p["doc"], minlength=len(keys))
                 ends = np.cumsum(size)
@@ -170,8 +175,17 @@ def template_windows(rows: DataFrame, widths: dict[int, int], known=None, whole:
                     ok = (at + width <= ends[d]) & (words[at + width] - words[at] >= floor)
                     if only is not None:
                         ok &= only[d]
+                    if picks is not None:
+                        asked = np.zeros(len(ok), bool)
+                        asked[[int(ends[i] - size[i]) + x["at"] for i, own in enumerate(picks) for x in own if x["width"] == width]] = True
+                        ok &= asked
                     at = at[ok]
                     h = w.at(prefix, at, width)
+                    if bare:
+                        own = part.take(pa.array(p["doc"][at]))
+                        starts = (ends - size)[p["doc"][at]]
+                        yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(np.full(len(at), width, np.int32)), pa.array(h.view(np.int64)), pa.array((at - starts).astype(np.int32))], schema=BARE)
+                        continue
                     if shared is not None:
                         hit = tables[width][(h >> np.uint64(42)).astype(np.int64)]
                         at, h = at[hit], h[hit]
@@ -182,11 +196,11 @@ def template_windows(rows: DataFrame, widths: dict[int, int], known=None, whole:
                         d = int(p["doc"][i])
                         span = range(i, i + width)
                         out.append({"key": keys[d], "width": width, "h": x, "at": i - int(ends[d] - size[d]), "n": int(size[d]), "template": " ".join(t.token(p, j) for j in span), "slots": [f"{'n' if p['mark'][j] == 2 else 'v'}{j - i} {t.value(p, j)}" for j in span if p["mark"][j] >= 0]})
-                for k in range(0, max(1, len(out)), 20_000):
+                for k in range(0, 0 if bare else max(1, len(out)), 20_000):
                     yield pa.RecordBatch.from_pylist(out[k : k + 20_000], SCHEMA)
 
     text_batches(rows.sparkSession)
-    return rows.mapInArrow(run, ROWS)
+    return rows.mapInArrow(run, "key long, row long, width int, h long, at int" if bare else ROWS)
 
 
 def contamination(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, width: int = 8, least: int = 5, literals: int = 3, share: float = 0.5, broadcast_windows: int = 1_000_000, drift: int = 4) -> DataFrame:
@@ -194,8 +208,8 @@ def contamination(docs: DataFrame, key: str, text: str, items: DataFrame, item_k
     `share` of an item's windows, at one shift or at shifts `drift` or less apart, with consistent values.
 
     The hashes of the items' windows are broadcast to filter the documents' windows at their
-    source if there are broadcast_windows of them or fewer (8 MB at most); with more, all windows
-    are shuffled to the join.
+    source if there are broadcast_windows of them or fewer (8 MB at most); with more, the bare
+    hashes of all windows are shuffled to a semi-join, and templates are built of those left only.
     """
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text")).where("text is not null")
     bench = items.select(items[item_key].cast("long").alias("key"), items[item_text].cast("string").alias("text")).where("key is not null and text is not null")
@@ -205,6 +219,11 @@ def contamination(docs: DataFrame, key: str, text: str, items: DataFrame, item_k
     hashes = of_items.select("width", "h").distinct()
     some = hashes.limit(broadcast_windows + 1).collect()
     known = {k: np.unique(np.array([r.h for r in some if r.width == k], np.int64).view(np.uint64)) for k in floors} if len(some) <= broadcast_windows else None
+    if known is None:
+        keyed = rows.withColumn("row", F.xxhash64("text"))
+        hit = template_windows(keyed, floors, bare=True).join(hashes, ["width", "h"], "left_semi").groupBy("key", "row").agg(F.collect_set(F.struct("width", "at")).alias("picks"))
+        hit = cut(hit, "picks").select(F.col("key").alias("k"), F.col("row").alias("r"), "picks")
+        rows = keyed.join(hit, F.col("key").eqNullSafe(F.col("k")) & (F.col("row") == F.col("r"))).select("key", "text", "picks")
     of_docs = template_windows(rows, floors, known)
     sizes = of_items.groupBy("key", "n").agg(F.countDistinct("at").alias("n_windows"))
     a = of_docs.select("width", "h", "template", F.col("key").alias("doc_id"), F.col("at").alias("da"), F.col("slots").alias("ds"))

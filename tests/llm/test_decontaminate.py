@@ -30,6 +30,14 @@ def test_reparameterised_copies_are_found_and_contradictions_are_not(spark):
         assert got[0, 0].exact and not got[1, 0].exact and got[0, 0].share == 1
 
 
+def test_null_keys_repeated_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(None, "Intro. " + ITEM, 1, 2, "t"), (4, ITEM, 1, 2, "t"), (4, ITEM, 1, 2, "t"), (4, "nothing of it", 1, 2, "t")], "doc_id long, text string, key int, h int, template string")
+    items = spark.createDataFrame([(7, ITEM, 0), (None, ITEM, 0)], "item_id long, text string, row int")
+    for bound in (1_000_000, 0):
+        got = D.contamination(docs, "doc_id", "text", items, "item_id", "text", broadcast_windows=bound).collect()
+        assert sorted((str(r.doc_id), r.item_id, r.share) for r in got) == [("4", 7, 1.0), ("None", 7, 1.0)]
+
+
 def test_short_items_and_long_texts(spark):
     item = "which colour is the sky"
     got = found(spark, ["w " * 50_000 + item + " w" * 10, "which colour is the sea"], [item])
