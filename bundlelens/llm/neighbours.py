@@ -8,9 +8,9 @@ so the union of m bit sets holds every code within the radius; those are verifie
 float vectors reranked by inner product in double precision. The radius is the least that
 finds `recall` of the sample's own neighbours; more rows only bring nearer neighbours.
 
-Vectors are indexed in blocks of `block` rows, dealt by hash; queries are dealt in blocks too, and
+Vectors are indexed in blocks of `block` rows, dealt by hash; queries are dealt in larger blocks, and
 each (index block, query block) is a task's group of bounded size, whose k best go to the final
-ranking. Identical vectors are indexed once: of their rows the k + 1 smallest keys can be in a
+ranking. So a vector is sent, and its block's index built, once for each `query_block` queries. Identical vectors are indexed once: of their rows the k + 1 smallest keys can be in a
 result, and those are what their class carries. A query with fewer than k in the radius is searched
 again without it.
 
@@ -104,10 +104,10 @@ def _stack(vectors: pd.Series, d: int) -> np.ndarray:
     return np.concatenate(vectors.to_numpy()).astype(np.float64).reshape(-1, d) if len(vectors) else np.zeros((0, d))
 
 
-def _search(classes: DataFrame, queries: DataFrame, k: int, codes: Codes, d: int, block: int, radius: int) -> DataFrame:
+def _search(classes: DataFrame, queries: DataFrame, k: int, codes: Codes, d: int, block: int, query_block: int, radius: int) -> DataFrame:
     """query (class), class, score: the k + 1 best of the classes for each query class."""
     spark = classes.sparkSession
-    nc, nq = (max(1, -(-df.count() // block)) for df in (classes, queries))
+    nc, nq = (max(1, -(-df.count() // n)) for df, n in ((classes, block), (queries, query_block)))
     a = classes.select(F.pmod(F.xxhash64("rep"), F.lit(nc)).cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), "rep", "vector")
     b = queries.select(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("ib"), F.col("rep").alias("asked"), F.col("vector").alias("wanted"))
     shared = spark.sparkContext.broadcast(codes)
@@ -134,7 +134,7 @@ def _search(classes: DataFrame, queries: DataFrame, k: int, codes: Codes, d: int
     return pairs.withColumn("p", place).where(F.col("p") <= k + 1).drop("p")
 
 
-def nearest(rows: DataFrame, key: str, vector: str, is_query: Column, k: int = 20, sample: int = 5000, recall: float = 0.96, block: int = 4096) -> DataFrame:
+def nearest(rows: DataFrame, key: str, vector: str, is_query: Column, k: int = 20, sample: int = 5000, recall: float = 0.96, block: int = 8192, query_block: int = 32768) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest (largest inner product) rows of each query row.
 
     is_query: a condition on column `key`. sample: vectors the rotation and radius are learned
@@ -156,13 +156,13 @@ def nearest(rows: DataFrame, key: str, vector: str, is_query: Column, k: int = 2
     classes = cut(classes.withColumn("rep", F.struct("rep", F.xxhash64("vector").alias("h"))).withColumn("rep", F.when(F.count("*").over(Window.partitionBy("rep.rep")) == 1, F.col("rep.rep")).otherwise(F.xxhash64("rep"))), "classes")
     asked = cut(v.where(is_query).join(classes.select("vector", "rep"), "vector").select("key", "rep"), "queries")
     reps = classes.join(asked.select("rep").distinct(), "rep", "left_semi")
-    found = cut(_search(classes, reps, k, codes, d, block, codes.radius), "found")
+    found = cut(_search(classes, reps, k, codes, d, block, query_block, codes.radius), "found")
     total = v.count()
     got = found.join(classes.select("rep", F.size("keys").alias("n")), "rep").groupBy("query").agg(F.sum("n").alias("n"))
     short = reps.join(got.select(F.col("query").alias("rep"), "n"), "rep", "left").where(F.coalesce("n", F.lit(0)) < min(k + 1, total)).select("rep", "vector", "keys")
     short = cut(short, "short")
     if not short.isEmpty():
-        again = _search(classes, short, k, codes, d, block, codes.bits)
+        again = _search(classes, short, k, codes, d, block, query_block, codes.bits)
         found = cut(found.join(short.select(F.col("rep").alias("query")), "query", "left_anti").unionByName(again), "found")
     hits = found.join(classes.select("rep", "keys"), "rep").select("query", "score", F.explode("keys").alias("vec_id"))
     each = asked.select(F.col("key").alias("query_id"), F.col("rep").alias("query")).join(hits, "query").where("query_id <> vec_id")

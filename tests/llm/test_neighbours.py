@@ -42,7 +42,7 @@ def test_copies_bad_vectors_and_few_rows(spark):
     df = spark.createDataFrame([(k, v, 3) for k, v in good + bad], "vec_id long, embedding array<double>, rep int").repartition(3)
     want = brute(good[:-1], 5, lambda q: q % 20 == 0)
     got = {}
-    for r in neighbours.nearest(df, "vec_id", "embedding", F.col("key") % 20 == 0, k=5, recall=1.0, block=16).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(df, "vec_id", "embedding", F.col("key") % 20 == 0, k=5, recall=1.0, block=16, query_block=3).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {q: [v for v, _ in f] for q, f in want.items()}
     two = df.where("vec_id in (100, 101)")
