@@ -100,7 +100,7 @@ def test_knowledge_base(spark):
     assert max(map(len, chunks)) <= kb.TARGET and chunks[-1].endswith("keep") and len(chunks) == 4
     short = spark.createDataFrame([("i", "u", "t", "p", "tiny"), ("j", "u", "t", "p", None)], "id string, source_uri string, title string, product_type string, body string")
     assert kb.chunks(short).count() == 0
-    q = kb.quality(spark.createDataFrame([("Untitled KB article", "w " * 200), ("ABCD Customer Portal", "Loading CSS Error " * 20), ("t", ""), ("t", "y " * 400)], "title string, body string"), F.lit(1))
+    q = kb.quality(spark.createDataFrame([("Untitled KB article", "w " * 200), ("ABCD Customer Portal", "Loading CSS Error " * 20), ("t", ""), ("t", "y " * 400)], "title string, body string"), F.lit(1), shells=("abcd customer portal",))
     assert [r.status for r in q.collect()] == ["warning", "blocked", "blocked", "ready"]
     v = kb.hash_vectors(spark.createDataFrame([(1, "alpha beta"), (2, "the of"), (3, None)], "k long, t string"), "k", "t", 32)
     got = {r.k: r.vector for r in v.collect()}
@@ -112,6 +112,12 @@ def test_knowledge_base(spark):
     up = kb.upsert(old, new, "seq")
     assert {tuple(r) for r in up.collect()} == {("2", "b", "x"), ("9", "a", "newer"), ("3", None, "new")}
     assert {tuple(r) for r in kb.upsert(up, new, "seq").collect()} == {tuple(r) for r in up.collect()}
+    assert tuple(kb.upsert_counts(old, new, "seq").first()) == (2, 2, 1)
+    previews = q.withColumn("importable", F.col("status") != "blocked")
+    assert tuple(kb.preview_summary(previews, links.select(F.col("link").alias("url")), 1).first()) == (1, 1, 2, 2, 2, True)
+    assert kb.fnv1a([b"a", b"", b"foobar"]).tolist() == [0xE40C292C, 0x811C9DC5, 0xBF9CF968]
+    r = analysis.with_kb_summary(old, docs, short.limit(0)).first()
+    assert (r.kb_summary.enabled, r.kb_summary.document_count) == (False, 2)
 
 
 def test_advisor_and_backfill(spark):
