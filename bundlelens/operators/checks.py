@@ -183,23 +183,32 @@ def volume_findings(resources: DataFrame, cond: list[dict]) -> tuple[DataFrame,
     return found, counters(v, "volumes", total=F.count("*"), unhealthy=F.count_if(bad_v))
 
 
-def longhorn(spark: SparkSession, resources: DataFrame, lines: DataFrame, alerts: DataFrame, rule_set: dict = defaults.LONGHORN_RULES) -> tuple[DataFrame, DataFrame]:
-    """Findings and inventory of all storage checks."""
-    cond = rule_set["conditions"]["rules"]
-    volumes, on_volumes = volume_findings(resources, cond)
+def replica_findings(resources: DataFrame, cond: list[dict]) -> tuple[DataFrame, DataFrame]:
     r = of_first_file(resources, f"{LH}/longhorn.io/v1beta2/replicas.yaml").withColumns({"state_of": field("status", "currentState"), "name": F.coalesce("name", F.lit("unknown replica"))})
-    bad_r = (F.col("state_of") != "running") & F.col("state_of").isNotNull()
-    replicas = one(r.where(bad_r), F.concat(F.lit("longhorn-replica-"), T.slug(F.col("name")), F.lit("-"), T.slug(F.col("state_of"))), F.lit("warning"), "Longhorn Replica", F.concat(F.lit("Replica "), "name", F.lit(" is "), "state_of"), [labelled("State: ", F.col("state_of"))])
+    bad = (F.col("state_of") != "running") & F.col("state_of").isNotNull()
+    replicas = one(r.where(bad), F.concat(F.lit("longhorn-replica-"), T.slug(F.col("name")), F.lit("-"), T.slug(F.col("state_of"))), F.lit("warning"), "Longhorn Replica", F.concat(F.lit("Replica "), "name", F.lit(" is "), "state_of"), [labelled("State: ", F.col("state_of"))])
+    found = replicas.unionByName(condition_findings(r, cond, "longhornReplicaCondition"), allowMissingColumns=True)
+    return found, counters(r, "replicas", total=F.count("*"), notRunning=F.count_if(bad))
+
+
+def storage_node_findings(resources: DataFrame, cond: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """Conditions of nodes and of each of their disks."""
     n = of_first_file(resources, f"{LH}/longhorn.io/v1beta2/nodes.yaml")
     d = disks(n)
     disk = {"disk.name": F.col("disk_name"), "disk.nameSlug": T.slug(F.col("disk_name")), "disk.path": F.col("disk_path"), "disk.storageAvailable": F.col("available").cast("decimal(38,0)").cast("string"), "disk.storageMaximum": F.col("maximum").cast("decimal(38,0)").cast("string")}
     on_node, on_disk = condition_findings(n, cond, "longhornNodeCondition"), condition_findings(d, cond, "longhornNodeDiskCondition", disk)
-    parts = [volumes, replicas, condition_findings(r, cond, "longhornReplicaCondition"), on_node, on_disk]
-    inv = [
-        on_volumes, counters(r, "replicas", total=F.count("*"), notRunning=F.count_if(bad_r)),
-        counters(n, "nodes", total=F.count("*")), counters(d, "nodes", disks=F.count("*")), counters(on_node.unionByName(on_disk), "nodes", problematic=F.countDistinct("path", "item_no")),
-        counters(on_disk, "nodes", diskIssues=F.count("*"), nodesWithDiskIssues=F.countDistinct("path", "item_no")),
-    ]
+    found = on_node.unionByName(on_disk)
+    inv = union_all(counters(n, "nodes", total=F.count("*")), counters(d, "nodes", disks=F.count("*")), counters(found, "nodes", problematic=F.countDistinct("path", "item_no")), counters(on_disk, "nodes", diskIssues=F.count("*"), nodesWithDiskIssues=F.countDistinct("path", "item_no")))
+    return found, inv
+
+
+def longhorn(spark: SparkSession, resources: DataFrame, lines: DataFrame, alerts: DataFrame, rule_set: dict = defaults.LONGHORN_RULES) -> tuple[DataFrame, DataFrame]:
+    """Findings and inventory of all storage checks."""
+    cond = rule_set["conditions"]["rules"]
+    volumes, on_volumes = volume_findings(resources, cond)
+    replicas, on_replicas = replica_findings(resources, cond)
+    nodes, on_nodes = storage_node_findings(resources, cond)
+    parts, inv = [volumes, replicas, nodes], [on_volumes, on_replicas, on_nodes]
     for f, i in (pods(resources, LH, "longhorn", "Longhorn Pod", 6), events(resources, f"{LH}/v1/events.yaml", "longhorn", True), collection_errors(lines, "longhorn"), logs(lines, spark, rule_set, 4, 220), alert_findings(alerts)):
         parts.append(f)
         inv.append(i)
@@ -250,30 +259,41 @@ def node_findings(resources: DataFrame, cond: list[dict]) -> tuple[DataFrame, Da
     return found, union_all(counters(n, "nodes", total=F.count("*")), counters(on_node, "nodes", notReady=F.count_if(F.col("cond_type") == "Ready"), pressure=F.count_if(F.col("cond_type").isin(*PRESSURES))), counters(ntp, "nodes", ntpUnsynced=F.count("*")), counters(on_node.select("bundle_id", "path", "item_no").unionByName(ntp.select("bundle_id", "path", "item_no")), "nodes", withIssues=F.countDistinct("path", "item_no")))
 
 
-def harvester(spark: SparkSession, resources: DataFrame, lines: DataFrame, alerts: DataFrame, rule_set: dict = defaults.HARVESTER_RULES, storage_rules: dict = defaults.LONGHORN_RULES) -> tuple[DataFrame, DataFrame]:
-    """Findings and inventory of all checks of this product, the storage rollup included."""
-    warning = F.lit("warning")
-    parts, inv = [], []
-    on_nodes, node_counters = node_findings(resources, rule_set["conditions"]["rules"])
-    parts.append(on_nodes)
-    inv.append(node_counters)
+def app_findings(resources: DataFrame) -> tuple[DataFrame, DataFrame]:
     a = of_first_file(resources, f"{HV}/catalog.cattle.io/v1/apps.yaml").withColumn("state", F.coalesce(field("status", "summary.state"), T.blank_to_null(F.regexp_extract("status", r'"state":\s*"([^"]+)"', 1))))
     bad = a.where(F.col("state") != "deployed").withColumn("line", F.concat(F.coalesce("name", F.lit("unknown app")), F.lit(": "), "state"))
-    parts.append(rollup(bad, "harvester-apps-not-deployed", warning, "Harvester App", "Apps are not deployed"))
-    inv += [counters(a, "apps", total=F.count("*"), notDeployed=F.count_if(F.col("state") != "deployed"))]
+    return rollup(bad, "harvester-apps-not-deployed", F.lit("warning"), "Harvester App", "Apps are not deployed"), counters(a, "apps", total=F.count("*"), notDeployed=F.count_if(F.col("state") != "deployed"))
+
+
+def addon_findings(resources: DataFrame) -> tuple[DataFrame, DataFrame]:
     o = of_first_file(resources, f"{HV}/harvesterhci.io/v1beta1/addons.yaml").withColumns({"enabled": F.coalesce(T.tri_state(field("spec", "enabled")), F.lit(False)), "state": field("status", "status")})
     on = lambda t: F.exists("conditions", lambda c: (c["type"] == t) & (c["status"] == "True"))
     o = o.withColumn("issue", F.col("enabled") & (on("OperationFailed") | on("InProgress") | F.coalesce(F.col("state").rlike("(?i)failed"), F.lit(False))))
     bad = o.where("issue").withColumn("line", dotted(F.concat(F.coalesce("name", F.lit("unknown addon")), F.lit(": "), F.coalesce("state", F.lit("unknown status"))), F.when(on("OperationFailed"), "OperationFailed=True"), F.when(on("InProgress"), "InProgress=True")))
-    parts.append(rollup(bad, "harvester-addons-not-ready", warning, "Harvester Addon", "Enabled add-ons are not ready"))
-    inv += [counters(o, "addons", total=F.count("*"), enabled=F.count_if("enabled"), withIssues=F.count_if("issue"))]
+    return rollup(bad, "harvester-addons-not-ready", F.lit("warning"), "Harvester Addon", "Enabled add-ons are not ready"), counters(o, "addons", total=F.count("*"), enabled=F.count_if("enabled"), withIssues=F.count_if("issue"))
+
+
+def stack_findings(resources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two services that run machines and import disks."""
     stack = []
     for key, label, suffix, versions in (("kubevirt", "KubeVirt", f"{HV}/kubevirt.io/v1/kubevirts.yaml", ("observedKubeVirtVersion", "operatorVersion")), ("cdi", "CDI", "yamls/cluster/cdi.kubevirt.io/v1beta1/cdis.yaml", ("operatorVersion",))):
         stack.append(of_first_file(resources, suffix).withColumns({"key": F.lit(key), "label": F.lit(label), "phase": field("status", "phase"), "version": F.coalesce(*[field("status", k) for k in versions]), "available": condition("Available")["status"], "degraded": condition("Degraded")["status"], "progressing": condition("Progressing")["status"], "has": condition("Available").isNotNull()}))
     s = union_all(*stack)
     issue = F.coalesce(F.col("phase") != "Deployed", F.lit(False)) | (F.col("has") & ~F.col("available").eqNullSafe("True")) | F.coalesce(F.col("degraded") == "True", F.lit(False)) | F.coalesce(F.col("progressing") == "True", F.lit(False))
-    parts.append(one(s.where(issue), F.concat(F.lit("harvester-"), "key", F.lit("-not-ready")), warning, "Virtualization", F.concat("label", F.lit(" is not fully ready")), [labelled("Phase: ", F.col("phase")), labelled("Available: ", F.col("available")), labelled("Degraded: ", F.col("degraded")), labelled("Progressing: ", F.col("progressing")), labelled("Version: ", F.col("version"))]))
-    inv += [counters(s, "virtualization", total=F.count("*"), unavailable=F.count_if(issue))]
+    found = one(s.where(issue), F.concat(F.lit("harvester-"), "key", F.lit("-not-ready")), F.lit("warning"), "Virtualization", F.concat("label", F.lit(" is not fully ready")), [labelled("Phase: ", F.col("phase")), labelled("Available: ", F.col("available")), labelled("Degraded: ", F.col("degraded")), labelled("Progressing: ", F.col("progressing")), labelled("Version: ", F.col("version"))])
+    return found, counters(s, "virtualization", total=F.count("*"), unavailable=F.count_if(issue))
+
+
+def harvester(spark: SparkSession, resources: DataFrame, lines: DataFrame, alerts: DataFrame, rule_set: dict = defaults.HARVESTER_RULES, storage_rules: dict = defaults.LONGHORN_RULES) -> tuple[DataFrame, DataFrame]:
+    """Findings and inventory of all checks of this product, the storage rollup included."""
+    warning = F.lit("warning")
+    parts, inv = [], []
+    on_nodes, node_counters = node_findings(resources, rule_set["conditions"]["rules"])
+    parts.append(on_nodes)
+    inv.append(node_counters)
+    for f, c in (app_findings(resources), addon_findings(resources), stack_findings(resources)):
+        parts.append(f)
+        inv.append(c)
     im = images(resources)
     parts.append(rollup(im.where("issue"), "harvester-vm-images-not-imported", warning, "Harvester Image", "Images are not fully imported"))
     inv += [counters(im, "vmImages", total=F.count("*"), withIssues=F.count_if("issue"))]
@@ -315,7 +335,8 @@ def storage_rollup(found: DataFrame, inv: DataFrame) -> DataFrame:
         level = F.when(F.bool_or(F.col("severity") == "critical"), "critical").otherwise("warning") if metric != "replicasNotRunning" else F.lit("warning")
         r = rollup(f, id, level, "Harvester Storage", title).drop("count")
         out.append(r.join(totals.where(F.col("metric") == metric).select("bundle_id", F.col("value").alias("count")), "bundle_id"))
-    log = found.where("id = 'longhorn-log-replica-scheduling-storage'").select("bundle_id", F.lit("harvester-longhorn-replica-scheduling-storage").alias("id"), "severity", F.lit("Harvester Storage").alias("category"), F.lit("Replica scheduling lacks disks").alias("title"), "description", "evidence", "evidence_refs", "count", "path", "seq")
+    refs = ["evidence_refs"] if "evidence_refs" in found.columns else []  # only log findings have them
+    log = found.where("id = 'longhorn-log-replica-scheduling-storage'").select("bundle_id", F.lit("harvester-longhorn-replica-scheduling-storage").alias("id"), "severity", F.lit("Harvester Storage").alias("category"), F.lit("Replica scheduling lacks disks").alias("title"), "description", "evidence", *refs, "count", "path", "seq")
     return union_all(*out, log)
 
 

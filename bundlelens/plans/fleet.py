@@ -136,6 +136,90 @@ def workload_migrations(spark, sf):
     return w.select("bundle_id", "name", F.col("vm").isNotNull().alias("machine"), F.size("migrations").cast("long").alias("migrations"), failed.cast("long").alias("failed"))
 
 
+def replica_findings(spark, sf):
+    o = _table(spark, sf, "orders")
+    state = F.when(F.col("o_orderstatus") == "F", "running").when(F.col("o_orderstatus") == "O", "stopped").otherwise("error")
+    item = F.concat(F.lit("- kind: Replica\n  metadata:\n    name: r-"), "o_orderkey", F.lit("\n  status:\n    currentState: "), state, F.lit('\n    conditions:\n    - type: FilesystemReadOnly\n      status: "'), F.when(F.col("o_orderpriority") == "2-HIGH", "True").otherwise("False"), F.lit('"\n'))
+    m = members(o.select(_bundle(F.col("o_orderkey")).alias("bundle_id"), F.col("o_orderkey").alias("seq"), item.alias("item")), f"{checks.LH}/longhorn.io/v1beta2/replicas.yaml")
+    found, _ = checks.replica_findings(_resources(m), defaults.LONGHORN_RULES["conditions"]["rules"])
+    return found.select("bundle_id", "id", "severity")
+
+
+def _disks(spark, sf) -> DataFrame:
+    s = _table(spark, sf, "supplier")
+    item = F.concat(F.lit("- kind: Node\n  metadata:\n    name: n-"), "s_suppkey", F.lit("\n  status:\n    diskStatus:\n      d1:\n        diskName: disk-"), "s_nationkey", F.lit('\n        storageAvailable: 5\n        storageMaximum: 100\n        conditions:\n        - type: Ready\n          status: "'), F.when(F.col("s_acctbal") < 0, "False").otherwise("True"), F.lit('"\n        - type: Schedulable\n          status: "'), F.when(F.col("s_acctbal") > 9000, "False").otherwise("True"), F.lit('"\n'))
+    m = members(s.select(_bundle(F.col("s_suppkey")).alias("bundle_id"), F.col("s_suppkey").alias("seq"), item.alias("item")), f"{checks.LH}/longhorn.io/v1beta2/nodes.yaml")
+    return _resources(m)
+
+
+def disk_findings(spark, sf):
+    found, _ = checks.storage_node_findings(_disks(spark, sf), defaults.LONGHORN_RULES["conditions"]["rules"])
+    return found.select("bundle_id", "id")
+
+
+def disk_inventory(spark, sf):
+    _, inv = checks.storage_node_findings(_disks(spark, sf), defaults.LONGHORN_RULES["conditions"]["rules"])
+    return inv.where("value > 0")
+
+
+def app_findings(spark, sf):
+    p = _table(spark, sf, "part")
+    item = F.concat(F.lit("- kind: App\n  metadata:\n    name: a-"), "p_partkey", F.lit("\n  status:\n    summary:\n      state: "), F.when(F.col("p_size") % 3 == 0, "failed").when(F.col("p_size") % 3 == 1, "pending").otherwise("deployed"), F.lit("\n"))
+    m = members(p.select(_bundle(F.col("p_partkey")).alias("bundle_id"), F.col("p_partkey").alias("seq"), item.alias("item")), f"{checks.HV}/catalog.cattle.io/v1/apps.yaml")
+    found, _ = checks.app_findings(_resources(m))
+    return found.select("bundle_id", "id", "count", F.array_join("evidence", "; ").alias("evidence"))
+
+
+def addon_findings(spark, sf):
+    p = _table(spark, sf, "part")
+    item = F.concat(F.lit("- kind: Addon\n  metadata:\n    name: a-"), "p_partkey", F.lit("\n  spec:\n    enabled: "), F.when(F.col("p_partkey") % 2 == 0, "true").otherwise("false"), F.lit("\n  status:\n    status: "), F.when(F.col("p_size") % 5 == 0, "AddonDeployFailed").otherwise("AddonDeploySuccessful"), F.lit('\n    conditions:\n    - type: InProgress\n      status: "'), F.when(F.col("p_size") % 7 == 0, "True").otherwise("False"), F.lit('"\n'))
+    m = members(p.select(_bundle(F.col("p_partkey")).alias("bundle_id"), F.col("p_partkey").alias("seq"), item.alias("item")), f"{checks.HV}/harvesterhci.io/v1beta1/addons.yaml")
+    found, _ = checks.addon_findings(_resources(m))
+    return found.select("bundle_id", "id", "count", F.array_join("evidence", "; ").alias("evidence"))
+
+
+def stack_findings(spark, sf):
+    """A bundle for each customer, with one service."""
+    c = _table(spark, sf, "customer")
+    item = F.concat(F.lit("- kind: CDI\n  metadata:\n    name: cdi\n  status:\n    phase: "), F.when(F.col("c_mktsegment") == "BUILDING", "Deploying").otherwise("Deployed"), F.lit("\n    operatorVersion: v1.2.3\n    conditions:\n    - type: Available\n      status: \""), F.when(F.col("c_acctbal") < 0, "False").otherwise("True"), F.lit('"\n'))
+    m = members(c.select(F.concat(F.lit("c"), "c_custkey").alias("bundle_id"), F.col("c_custkey").alias("seq"), item.alias("item")), "yamls/cluster/cdi.kubevirt.io/v1beta1/cdis.yaml")
+    found, _ = checks.stack_findings(_resources(m))
+    return found.select("bundle_id", "id", "title", F.array_join("evidence", "; ").alias("evidence"))
+
+
+def storage_rollup(spark, sf):
+    """What the other product says of the volumes."""
+    found, inv = checks.volume_findings(_resources(_volumes(spark, sf)), defaults.LONGHORN_RULES["conditions"]["rules"])
+    return checks.storage_rollup(written(found, "findings"), written(inv, "inventory")).select("bundle_id", "id", "severity", "count")
+
+
+def version_candidates(spark, sf):
+    """The version of each bundle, from the labels of its deployments, and what else was seen."""
+    p = _table(spark, sf, "part")
+    version = F.concat("p_size", F.lit("."), (F.col("p_partkey") % 7).cast("string"), F.lit(".0"))
+    item = F.concat(F.lit("- kind: Deployment\n  metadata:\n    name: d-"), "p_partkey", F.lit("\n    labels:\n      app.kubernetes.io/name: "), F.when(F.col("p_partkey") % 3 == 0, "longhorn").otherwise("other"), F.lit("\n      app.kubernetes.io/version: v"), version, F.lit("\n      helm.sh/chart: longhorn-"), version, F.lit("\n"))
+    m = members(p.select(_bundle(F.col("p_partkey")).alias("bundle_id"), F.col("p_partkey").alias("seq"), item.alias("item")), f"{checks.LH}/apps/v1/deployments.yaml")
+    picked = checks.picked_versions(checks.versions(_resources(m), "longhorn"), ["component", "version"])
+    return picked.select("bundle_id", "version", "source", F.array_join(F.transform("components", lambda c: F.concat(c["component"], F.lit(" "), c["version"])), "; ").alias("components"))
+
+
+def log_workloads(spark, sf):
+    """Machines that log lines name; the lines of a bundle are those of its own users."""
+    w = correlate.workloads(*checks.machines(_resources(_machines(spark, sf))))
+    e = _table(spark, sf, "events").where("event_type = 'error'")
+    hits = e.select(_bundle(F.col("user_id")).alias("bundle_id"), F.lit("harvester-log-error-lines").alias("id"), F.lit("logs/controller.log").alias("path"), F.col("event_id").alias("line_no"), F.concat(F.lit("error: vm-"), "user_id", F.lit(" failed")).alias("line"))
+    return correlate.log_matches(w, hits, whole_words=True).groupBy("bundle_id", "name").agg(F.count("*").alias("lines"), F.min("hit.line_no").alias("first_line"))
+
+
+def workload_correlations(spark, sf):
+    """The workloads of each bundle that its warning events are about, those of most signals first."""
+    r = _resources(_machines(spark, sf), _migrations(spark, sf), _events(spark, sf, "user_id"))
+    found, _ = checks.events(r, "", "harvester", False)
+    hits = spark.createDataFrame([], "bundle_id string, id string, path string, line_no long, line string")
+    w = correlate.correlations(written(found, "findings"), r, hits)
+    return w.select("bundle_id", F.col("place").cast("long").alias("place"), "name", "severity", F.col("event_count").cast("long").alias("event_count"), "event_total", F.col("signal_count").cast("long").alias("signal_count"), F.array_join("related_ids", ",").alias("related_ids"))
+
+
 def kb_stats(spark, sf):
     d = _table(spark, sf, "documents").select(F.timestamp_seconds("doc_id").alias("imported_at"))
     s = kb.stats(d, _table(spark, sf, "pages"))
@@ -176,7 +260,7 @@ def event_workloads(spark, sf):
     return j.groupBy("bundle_id", "ns", "name").agg(F.count("*").alias("events"))
 
 
-QUERIES = {f.__name__: f for f in (volume_findings, volume_inventory, pod_findings, warning_event_findings, node_findings, machine_findings, event_workloads, alert_findings, collection_findings, storage_groups, image_issues, vlan_issues, migration_issues, workload_migrations, kb_stats, kb_expanded)}
+QUERIES = {f.__name__: f for f in (volume_findings, volume_inventory, pod_findings, warning_event_findings, node_findings, machine_findings, event_workloads, alert_findings, collection_findings, storage_groups, image_issues, vlan_issues, migration_issues, workload_migrations, kb_stats, kb_expanded, replica_findings, disk_findings, disk_inventory, app_findings, addon_findings, stack_findings, storage_rollup, version_candidates, log_workloads, workload_correlations)}
 
 _B = "'b' || ({} // 500)"
 SQL = {
@@ -211,6 +295,31 @@ SQL = {
     "migration_issues": f"SELECT {_B.format('o_custkey')} AS bundle_id, 'm-' || o_orderkey AS name, 'vm-' || o_custkey AS vmi, 'default/m-' || o_orderkey || ': phase=' || CASE o_orderstatus WHEN 'F' THEN 'Failed' ELSE 'Scheduling' END || ' · vmi=vm-' || o_custkey AS line FROM orders WHERE o_orderstatus <> 'O'",
     "workload_migrations": f"""SELECT {_B.format('k')} AS bundle_id, 'vm-' || k AS name, c IS NOT NULL AS machine, coalesce(n, 0) AS migrations, coalesce(bad, 0) AS failed
       FROM (SELECT coalesce(c_custkey, o_custkey) AS k, c_custkey AS c, n, bad FROM customer FULL OUTER JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus <> 'O') AS bad FROM orders GROUP BY 1) ON c_custkey = o_custkey)""",
+    "replica_findings": f"""SELECT {_B.format('o_orderkey')} AS bundle_id, 'longhorn-replica-r-' || o_orderkey || CASE o_orderstatus WHEN 'O' THEN '-stopped' ELSE '-error' END AS id, 'warning' AS severity FROM orders WHERE o_orderstatus <> 'F'
+      UNION ALL SELECT {_B.format('o_orderkey')}, 'longhorn-replica-r-' || o_orderkey || '-filesystemreadonly', 'critical' FROM orders WHERE o_orderpriority = '2-HIGH'""",
+    "disk_findings": f"""SELECT {_B.format('s_suppkey')} AS bundle_id, 'longhorn-node-n-' || s_suppkey || '-disk-disk-' || s_nationkey || CASE WHEN s_acctbal < 0 THEN '-ready' ELSE '-schedulable' END AS id FROM supplier WHERE s_acctbal < 0 OR s_acctbal > 9000""",
+    "disk_inventory": f"""WITH s AS (SELECT {_B.format('s_suppkey')} AS bundle_id, count(*) AS n, count(*) FILTER (WHERE s_acctbal < 0 OR s_acctbal > 9000) AS bad FROM supplier GROUP BY 1)
+      SELECT * FROM (SELECT bundle_id, 'nodes' AS area, unnest(['total', 'disks', 'problematic', 'diskIssues', 'nodesWithDiskIssues']) AS metric, unnest([n, n, bad, bad, bad]) AS value FROM s) WHERE value > 0""",
+    "app_findings": f"""WITH a AS (SELECT {_B.format('p_partkey')} AS bundle_id, 'a-' || p_partkey || CASE p_size % 3 WHEN 0 THEN ': failed' ELSE ': pending' END AS line, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) AS k FROM part WHERE p_size % 3 < 2)
+      SELECT bundle_id, 'harvester-apps-not-deployed' AS id, count(*) AS count, string_agg(CASE WHEN k <= 8 THEN line END, '; ' ORDER BY k) AS evidence FROM a GROUP BY 1""",
+    "addon_findings": f"""WITH a AS (SELECT {_B.format('p_partkey')} AS bundle_id, 'a-' || p_partkey || CASE WHEN p_size % 5 = 0 THEN ': AddonDeployFailed' ELSE ': AddonDeploySuccessful' END || CASE WHEN p_size % 7 = 0 THEN ' · InProgress=True' ELSE '' END AS line, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) AS k FROM part WHERE p_partkey % 2 = 0 AND (p_size % 5 = 0 OR p_size % 7 = 0))
+      SELECT bundle_id, 'harvester-addons-not-ready' AS id, count(*) AS count, string_agg(CASE WHEN k <= 8 THEN line END, '; ' ORDER BY k) AS evidence FROM a GROUP BY 1""",
+    "stack_findings": """SELECT 'c' || c_custkey AS bundle_id, 'harvester-cdi-not-ready' AS id, 'CDI is not fully ready' AS title, 'Phase: ' || CASE c_mktsegment WHEN 'BUILDING' THEN 'Deploying' ELSE 'Deployed' END || '; Available: ' || CASE WHEN c_acctbal < 0 THEN 'False' ELSE 'True' END || '; Version: v1.2.3' AS evidence FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal < 0""",
+    "storage_rollup": f"""SELECT bundle_id, 'harvester-longhorn-volumes-unhealthy' AS id, CASE WHEN faulted THEN 'critical' ELSE 'warning' END AS severity, bad AS count
+      FROM (SELECT {_B.format('o_orderkey')} AS bundle_id, count(*) FILTER (WHERE o_orderstatus <> 'F') AS bad, bool_or(o_orderstatus NOT IN ('F', 'O')) AS faulted FROM orders GROUP BY 1) WHERE bad > 0""",
+    "version_candidates": f"""WITH p AS (SELECT {_B.format('p_partkey')} AS bundle_id, p_partkey, 'v' || p_size || '.' || (p_partkey % 7) || '.0' AS v FROM part WHERE p_partkey % 3 = 0),
+      c AS (SELECT bundle_id, r, v, min(p_partkey) AS first_part FROM p, (VALUES (1), (2)) AS t(r) GROUP BY ALL),
+      k AS (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY r, first_part) AS k FROM c)
+      SELECT bundle_id, min(CASE WHEN k = 1 THEN v END) AS version, 'Kubernetes app label' AS source, string_agg(CASE r WHEN 1 THEN 'longhorn ' ELSE 'longhorn-chart ' END || v, '; ' ORDER BY k) AS components FROM k WHERE k <= 12 GROUP BY 1""",
+    "log_workloads": f"SELECT {_B.format('user_id')} AS bundle_id, 'vm-' || user_id AS name, count(*) AS lines, min(event_id) AS first_line FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'error' GROUP BY 1, 2",
+    "workload_correlations": f"""WITH v AS (SELECT c_custkey, c_acctbal < 0 OR (c_mktsegment = 'BUILDING') AS issue FROM customer),
+      m AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus <> 'O') AS bad FROM orders GROUP BY 1),
+      e AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1),
+      w AS (SELECT coalesce(c_custkey, o_custkey) AS k, coalesce(issue, false) AS issue, coalesce(bad, 0) AS bad FROM v FULL OUTER JOIN m ON c_custkey = o_custkey),
+      s AS (SELECT k, 'vm-' || k AS name, issue, bad, n, CAST(issue AS BIGINT) + bad + least(n, 3) AS signals FROM w JOIN e ON user_id = k)
+      SELECT {_B.format('k')} AS bundle_id, row_number() OVER (PARTITION BY k // 500 ORDER BY signals DESC, name) AS place, name, 'warning' AS severity, least(n, 3) AS event_count, n AS event_total, signals AS signal_count,
+        concat_ws(',', CASE WHEN issue THEN 'harvester-vms-not-ready' END, CASE WHEN bad > 0 THEN 'harvester-vm-migrations-failed' END, 'harvester-warning-events') AS related_ids
+      FROM s QUALIFY place <= 12""",
     "kb_stats": "SELECT (SELECT count(*) FROM documents) AS document_count, (SELECT max(doc_id) FROM documents) AS updated_at, (SELECT count(*) FROM pages) AS chunk_count",
     "kb_expanded": """WITH b AS (SELECT regexp_replace(url, '[?#].*$', '') || '/' AS url, html FROM pages),
       l AS (SELECT DISTINCT url, link FROM (SELECT url, origin, path, origin || p AS link, p
