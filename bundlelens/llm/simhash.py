@@ -32,6 +32,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
 #: An entry of more fingerprints than this is indexed again instead of being paired.
 PAIRED = 96
+#: Pairs of one set that a task verifies, about; the set is copied for every further part.
+PART = 128
 
 
 def shingle_hashes(text: bytes, width: int, seed: int = SEED) -> list[int]:
@@ -184,12 +186,20 @@ def _shingle_sets(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("digest", "text").mapInArrow(run, "digest binary, hashes array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs(a, b, da, db) whose sets of shingles (of digests da, db) have that Jaccard similarity."""
+def _verified(pairs: DataFrame, sets: DataFrame, least: float, part: int = PART) -> DataFrame:
+    """The pairs(a, b, da, db) whose sets of shingles (of digests da, db) have that Jaccard similarity.
+
+    The first set of a large group is da of all its pairs: they are dealt in parts by db, each with
+    a copy of that set, so no task has the whole group.
+    """
     pairs = cut(pairs, "candidates")
     own = sets.join(pairs.select(F.col("da").alias("digest")).union(pairs.select("db")).distinct(), "digest", "left_semi")
-    sa, sb = (own.select(F.col("digest").alias(d), F.col("hashes").alias(h)) for d, h in (("da", "ha"), ("db", "hb")))
-    both = pairs.join(sa, "da").join(sb, "db").withColumn("common", F.size(F.array_intersect("ha", "hb")))
+    hot = cut(pairs.groupBy("da").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1"), "hot_sets")
+    dealt = pairs.join(hot, "da", "left").withColumn("part", F.pmod(F.xxhash64("db"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    sa = own.select(F.col("digest").alias("da"), F.col("hashes").alias("ha")).join(hot, "da", "left")
+    sa = sa.select("da", "ha", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    sb = own.select(F.col("digest").alias("db"), F.col("hashes").alias("hb"))
+    both = dealt.join(sa, ["da", "part"]).join(sb, "db").withColumn("common", F.size(F.array_intersect("ha", "hb")))
     return cut(both.where(F.col("common") >= least * (F.size("ha") + F.size("hb") - F.col("common"))).select("a", "b"), "similar")
 
 

@@ -138,3 +138,19 @@ def test_very_long_texts(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, "doc_id", "text", 3).collect()}
     assert got[3] == 3 and got[1] == 1 and got[2] in (1, 2)
     assert {r.doc_id for r in simhash.near_duplicate_groups(docs, "doc_id", "text", (3, 5)).collect()} == {2}
+
+
+def test_a_large_group_is_verified_in_parts(spark):
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(30)]
+    words = {0: base} | {k: base[: rng.randrange(12, 31)] + [f"x{k}"] * rng.randrange(2) for k in range(1, 40)} | {k: [f"y{k}z{j}" for j in range(9)] for k in range(40, 44)}
+    sets = spark.createDataFrame([(bytes([k]), [hash(s) for s in shingles(" ".join(w))]) for k, w in words.items()], "digest binary, hashes array<long>")
+    # one set is in nearly all pairs; two pairs have another one
+    asked = [(0, k) for k in range(1, 44)] + [(41, 42), (5, 6)]
+    pairs = spark.createDataFrame([(a, b, bytes([a]), bytes([b])) for a, b in asked], "a long, b long, da binary, db binary")
+    said = {k: shingles(" ".join(w)) for k, w in words.items()}
+    want = sorted((a, b) for a, b in asked if len(said[a] & said[b]) >= 0.8 * len(said[a] | said[b]))
+    assert 0 < len(want) < len(asked)
+    for part in (1, 4, 1000):
+        assert sorted((r.a, r.b) for r in simhash._verified(pairs, sets, 0.8, part).collect()) == want
+    assert simhash._verified(pairs.limit(0), sets, 0.8).count() == 0
