@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bundlelens.session import shared_dir
 
@@ -95,3 +96,18 @@ def rows_of(batch, chars: int = 8_000_000):
     step = max(1, int(n * chars / max(1, batch.nbytes)))
     for k in range(0, n, step):
         yield batch.slice(k, step)
+
+
+def dealt_join(many: DataFrame, few: DataFrame, key: str, spread: list[str], rows: int = 65536) -> DataFrame:
+    """many joined to few on a key that few has once, where one key may hold any share of many:
+    its row of few is copied for every `rows` rows of many, which are dealt over the copies by a
+    hash of their columns `spread`.
+
+    The keys with copies are one in `rows` rows of many at most, so they are broadcast.
+    """
+    hot = many.groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias("_parts")).where("_parts > 1")
+    hot = F.broadcast(cut(hot, "hot"))
+    part = F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = many.join(hot, key, "left").withColumn("_part", part).drop("_parts")
+    copies = few.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_part"]).drop("_part")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bundlelens.llm import chat, decontaminate, languages, linededup, neighbours, packing, simhash, substrings, tokens, warc
+from bundlelens.llm import chat, decontaminate, languages, linededup, merkle, neighbours, packing, simhash, substrings, tokens, warc
 
 QUERIES = {
     "op1_language_id": languages.op1_language_id,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_best_fit": packing.op8_best_fit,
     "op9_line_templates": linededup.op9_line_templates,
     "op10_simhash": simhash.op10_simhash,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 SQL: dict[str, str] = {
     "op3_warc": warc.SQL,
     "op7_chat": chat.SQL,
     "op9_line_templates": linededup.SQL,
+    "op13_merkle": merkle.SQL,
 }
