@@ -9,14 +9,15 @@ from bundlelens.llm.common import cut
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node in links(a, b), the component being its smallest node.
+    """(node, component) of every node in links(a, b), the component being its smallest node; nodes
+    are of any type that has an order.
 
     Each round every node takes the smallest of itself and its neighbours as parent, parents
     are followed once more, and links are rewritten to parents; those within one parent go.
     A path of n links thus shrinks by a factor in each round. Every round is written to the
     shared folder. Null ends and loops are left out.
     """
-    edges = cut(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "edges")
+    edges = cut(links.select("a", "b").where("a <> b").distinct(), "edges")
     label = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
