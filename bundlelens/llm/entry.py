@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bundlelens.llm import chat, decontaminate, languages, linededup, merkle, minhash, neighbours, packing, simhash, substrings, tokens, warc
+from bundlelens.llm import chat, decontaminate, languages, linededup, merkle, minhash, neighbours, packing, repair, simhash, substrings, tokens, warc
 
 QUERIES = {
     "op1_language_id": languages.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_best_fit": packing.op8_best_fit,
     "op9_line_templates": linededup.op9_line_templates,
     "op10_simhash": simhash.op10_simhash,
+    "op11_repair": repair.op11_repair,
     "op12_minhash": minhash.op12_minhash,
     "op13_merkle": merkle.op13_merkle,
 }
@@ -23,6 +24,7 @@ SQL: dict[str, str] = {
     "op3_warc": warc.SQL,
     "op7_chat": chat.SQL,
     "op9_line_templates": linededup.SQL,
+    "op11_repair": repair.SQL,
     "op12_minhash": minhash.SQL,
     "op13_merkle": merkle.SQL,
 }
