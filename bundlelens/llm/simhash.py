@@ -25,15 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundlelens.llm.common import cut, mix, rows_of, text_batches
+from bundlelens.llm import minhash
+from bundlelens.llm.common import BASES, Windows, cut, dealt_join, rows_of, text_batches
 from bundlelens.llm.components import components
+from bundlelens.llm.minhash import LOWER
 
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
 #: An entry of more fingerprints than this is indexed again instead of being paired.
 PAIRED = 96
-#: Pairs of one set that a task verifies, about; the set is copied for every further part.
-PART = 128
 
 
 def shingle_hashes(text: bytes, width: int, seed: int = SEED) -> list[int]:
@@ -127,140 +126,53 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int, paired: in
     return found.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-#: MinHash bands of a sketch and values a band: two sets of Jaccard similarity 0.8 agree in one with probability 0.9998.
-BANDS, ROWS = 16, 4
-MULTIPLIERS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-SKETCH = "doc_id long, row long, fps array<long>, digest binary, bands array<long>"
-
-
-def band_hashes(hashes: np.ndarray) -> np.ndarray:
-    """A hash of each band's smallest values over a set of shingle hashes (not empty)."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(0, len(hashes), 4096):
-            low = np.minimum(low, mix(MULTIPLIERS[:, None] * hashes[None, k : k + 4096]).min(axis=1))
-        return mix((low * MULTIPLIERS[::-1]).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)).view(np.int64)
+SKETCH = f"doc_id long, row long, fps array<long>, {minhash.SKETCH}"
 
 
 def sketches(docs: DataFrame, key: str, text: str, width: int, widths: tuple[int, ...] = ()) -> DataFrame:
-    """doc_id, row (hash of the text), node, fps (fingerprints by each of `widths`), digest of the set of
-    shingles of `width` words and its bands (both null without words); one row for equal ones.
+    """doc_id, row (hash of the text), node, fps (fingerprints by each of `widths`), and the MinHash sketch
+    of the set of shingles of `width` words: n, digest, odd, bands (null without words); one row for equal ones.
 
     node is the number by which links name a row: the key, but of several texts of one key only
     the first has that, the others a number above 2^62 from the hash of key and text.
     """
 
     def run(batches):
+        windows = Windows(BASES[0])
         for batch in batches:
             for part in rows_of(batch):
-                fps, digests, bands = [], [], []
-                for t in part.column(2).cast(pa.binary()).to_pylist():
-                    by = {w: shingle_hashes(t or b"", w) for w in {width, *widths}}
-                    fps.append(np.array([fingerprint(by[w]) for w in widths], np.uint64).view(np.int64))
-                    own = np.unique(np.array(by[width], np.uint64))
-                    digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                    bands.append(band_hashes(own) if len(own) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.list_(pa.int64())), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "row", "fps", "digest", "bands"])
+                texts = part.column(2).cast(pa.binary()).to_pylist()
+                fps = [np.array([fingerprint(shingle_hashes(t or b"", w)) for w in widths], np.uint64).view(np.int64) for t in texts]
+                made = minhash.sketch_columns(texts, width, windows)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.list_(pa.int64())), *made], names=["doc_id", "row", "fps", "n", "digest", "odd", "bands"])
 
     text_batches(docs.sparkSession)
-    drawn = cut(_keyed(docs, key, text).mapInArrow(run, SKETCH), "drawn").dropDuplicates(["doc_id", "row"])
+    drawn = cut(minhash.keyed(docs, key, text).mapInArrow(run, SKETCH), "drawn").dropDuplicates(["doc_id", "row"])
     several = drawn.groupBy("doc_id").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last").select("doc_id", "first")
     other = F.shiftrightunsigned(F.xxhash64("doc_id", "row"), 2) + F.lit(1 << 62)
     node = F.when(F.col("first").isNull() | (F.col("row") == F.col("first")), F.col("doc_id")).otherwise(other)
     return cut(drawn.join(several, "doc_id", "left").withColumn("node", node).drop("first"), "sketches")
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text].cast("string")).alias("row"), docs[text].cast("string").alias("text"))
-
+def similar_links(docs: DataFrame, key: str, text: str, found: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of rows that connect those whose sets of shingles have a Jaccard similarity
+    of `percent` or more (see `setjoin`); found: their sketches."""
+    _, links = minhash.similar_sets(found, minhash.keyed(docs, key, text), width, percent)
+    found = found.where("digest is not null").select("digest", "node")
+    first = cut(found.groupBy("digest").agg(F.min("node").alias("a")), "first")
+    same = dealt_join(found, first, "digest", ["node"]).where("a <> node").select("a", F.col("node").alias("b"))
+    ends = links.join(first.withColumnRenamed("digest", "da"), "da").join(first.select(F.col("digest").alias("db"), F.col("a").alias("b")), "db")
+    return same.unionByName(ends.select("a", "b"))
 
-def _shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    """digest, hashes (distinct) of rows(digest, text)."""
-
-    def run(batches):
-        for batch in batches:
-            for part in rows_of(batch, 1_000_000):
-                sets = [np.unique(np.array(shingle_hashes(t, width), np.uint64)).view(np.int64) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "hashes"])
 
-    return rows.select("digest", "text").mapInArrow(run, "digest binary, hashes array<long>")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, least: float, part: int = PART) -> DataFrame:
-    """The pairs(a, b, da, db) whose sets of shingles (of digests da, db) have that Jaccard similarity.
-
-    The first set of a large group is da of all its pairs: they are dealt in parts by db, each with
-    a copy of that set, so no task has the whole group.
-    """
-    pairs = cut(pairs, "candidates")
-    own = sets.join(pairs.select(F.col("da").alias("digest")).union(pairs.select("db")).distinct(), "digest", "left_semi")
-    hot = cut(pairs.groupBy("da").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1"), "hot_sets")
-    dealt = pairs.join(hot, "da", "left").withColumn("part", F.pmod(F.xxhash64("db"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    sa = own.select(F.col("digest").alias("da"), F.col("hashes").alias("ha")).join(hot, "da", "left")
-    sa = sa.select("da", "ha", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    sb = own.select(F.col("digest").alias("db"), F.col("hashes").alias("hb"))
-    both = dealt.join(sa, ["da", "part"]).join(sb, "db").withColumn("common", F.size(F.array_intersect("ha", "hb")))
-    return cut(both.where(F.col("common") >= least * (F.size("ha") + F.size("hb") - F.col("common"))).select("a", "b"), "similar")
-
-
-def similar_links(docs: DataFrame, key: str, text: str, found: DataFrame, width: int, least: float, paired: int = PAIRED) -> DataFrame:
-    """Links (a, b) between nodes of rows whose sets of shingles have a Jaccard similarity of `least`
-    or more; found: their sketches. Candidates agree in a band, all links are verified.
-
-    Each set is first compared to the first one of one of its bands, then, where that connects them
-    not yet, to that of each band; after that only sets of a band that are not yet connected are
-    paired. Of a band in which more than `paired` groups are left only those are paired that agree
-    in the next band too (in one that is crowded still, each with the first).
-    """
-    found = found.where("digest is not null")
-    nodes = cut(found.groupBy("digest").agg(F.min(F.struct("node", "doc_id", "row", "bands")).alias("n")).select("digest", "n.*"), "sets_of_shingles")
-    same = found.select("digest", F.col("node").alias("b")).join(nodes.select("digest", F.col("node").alias("a")), "digest").where("a <> b").select("a", "b")
-    banded = nodes.select("digest", "node", F.posexplode("bands").alias("band", "e"), F.expr("transform(bands, (x, i) -> bands[(i + 1) % size(bands)])").alias("after")).select("digest", "node", "band", "e", F.expr("after[band]").alias("f"))
-    shared = banded.groupBy("band", "e").agg(F.count("*").alias("n"), F.min(F.struct("node", "digest")).alias("first")).where("n > 1")
-    banded = cut(banded.join(shared, ["band", "e"]), "banded")
-    # all candidates are among these: their texts are shuffled once, by the row
-    asked = nodes.join(banded.select("digest").distinct(), "digest").select("doc_id", "row", "digest")
-    texts = _keyed(docs, key, text).join(asked, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
-    sets = cut(_shingle_sets(texts, width), "sets")
-
-    def starred(rows: DataFrame) -> DataFrame:
-        pairs = rows.where(F.col("digest") != F.col("first.digest")).select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.digest").alias("da"), F.col("digest").alias("db"))
-        return _verified(pairs.distinct(), sets, least)
-
-    def connected(links: DataFrame) -> DataFrame:
-        """The rows of bands with the components of their set and of the band's first one."""
-        linked = components(links)
-        c = linked.select("node", F.col("component").alias("c"))
-        first = linked.select(F.col("node").alias("first_node"), F.col("component").alias("first_c"))
-        rows = banded.join(c, "node", "left").withColumn("first_node", F.col("first.node")).join(first, "first_node", "left")
-        return rows.withColumns({"c": F.coalesce("c", "node"), "first_c": F.coalesce("first_c", "first_node")}).drop("first_node")
-
-    stars = same.unionByName(starred(banded.groupBy("digest", "node").agg(F.min("first").alias("first"))))
-    stars = stars.unionByName(starred(connected(stars).where("c <> first_c")))
-    left = connected(stars).select("band", "e", "f", "digest", "node", "c")
-    open_ = left.groupBy("band", "e").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-    left = cut(left.join(open_.select("band", "e", "n"), ["band", "e"]), "unconnected")  # few rows are left here
-    few, many = left.where(F.col("n") <= paired), left.where(F.col("n") > paired)
-    again = many.groupBy("band", "e", "f").agg(F.count("*").alias("m"), F.min(F.struct("node", "digest", "c")).alias("first"))
-    many = many.join(again, ["band", "e", "f"])
-
-    def across(rows: DataFrame, by: list[str]) -> DataFrame:
-        a, b = (rows.select(*by, F.col("node").alias(n), F.col("digest").alias(d), F.col("c").alias(c)) for n, d, c in (("a", "da", "ca"), ("b", "db", "cb")))
-        return a.join(b, by).where("ca <> cb and da < db").select("a", "b", "da", "db")
-
-    crowded = many.where((F.col("m") > paired) & (F.col("c") != F.col("first.c"))).select(F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.digest").alias("da"), F.col("digest").alias("db"))
-    pairs = across(few, ["band", "e"]).unionByName(across(many.where(F.col("m") <= paired), ["band", "e", "f"])).unionByName(crowded)
-    return stars.unionByName(_verified(pairs.distinct(), sets, least))
-
-
-def near_duplicate_groups(docs: DataFrame, key: str, text: str, widths: tuple[int, ...], similar: int = 5, least: float = 0.8) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, key: str, text: str, widths: tuple[int, ...], similar: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, row, component_id of rows (told apart by key and hash of the text) linked to a smaller
     one, where a link is one by the fingerprints of any of the shingle widths, or a Jaccard
-    similarity of `least` between the sets of shingles of `similar` words. Rows of one key with
+    similarity of `percent` between the sets of shingles of `similar` words. Rows of one key with
     different texts are linked like any others. Null keys are left out."""
     keyed = docs.where(docs[key].isNotNull())
     drawn = sketches(keyed, key, text, similar, widths)
-    links = similar_links(keyed, key, text, drawn, similar, least)
+    links = similar_links(keyed, key, text, drawn, similar, percent)
     for i in range(len(widths)):
         found = drawn.select("node", F.col("fps")[i].alias("fp"))
         nodes = cut(found.groupBy("fp").agg(F.min("node").alias("first")), "nodes")

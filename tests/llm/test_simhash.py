@@ -3,7 +3,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from bundlelens.llm import simhash
+from bundlelens.llm import setjoin, simhash
 from bundlelens.llm.components import components
 
 
@@ -117,9 +117,8 @@ def test_bands_of_many_sets_lose_no_link(spark):
     rows = [(k, " ".join(chain[k : k + 50])) for k in range(10)] + [(100 + k, " ".join(f"v{rng.randrange(900)}" for _ in range(30))) for k in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = simhash.sketches(docs, "doc_id", "text", 5)
-    for paired in (2, 96):
-        links = simhash.similar_links(docs, "doc_id", "text", found, 5, 0.8, paired)
-        assert {r.node: r.component for r in components(links).collect()} == {k: 0 for k in range(10)}
+    links = simhash.similar_links(docs, "doc_id", "text", found, 5, 80)
+    assert {r.node: r.component for r in components(links).collect()} == {k: 0 for k in range(10)}
 
 
 def test_texts_of_one_key_are_rows_of_their_own(spark):
@@ -147,10 +146,10 @@ def test_a_large_group_is_verified_in_parts(spark):
     sets = spark.createDataFrame([(bytes([k]), [hash(s) for s in shingles(" ".join(w))]) for k, w in words.items()], "digest binary, hashes array<long>")
     # one set is in nearly all pairs; two pairs have another one
     asked = [(0, k) for k in range(1, 44)] + [(41, 42), (5, 6)]
-    pairs = spark.createDataFrame([(a, b, bytes([a]), bytes([b])) for a, b in asked], "a long, b long, da binary, db binary")
+    pairs = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in asked], "da binary, db binary")
     said = {k: shingles(" ".join(w)) for k, w in words.items()}
     want = sorted((a, b) for a, b in asked if len(said[a] & said[b]) >= 0.8 * len(said[a] | said[b]))
     assert 0 < len(want) < len(asked)
     for part in (1, 4, 1000):
-        assert sorted((r.a, r.b) for r in simhash._verified(pairs, sets, 0.8, part).collect()) == want
-    assert simhash._verified(pairs.limit(0), sets, 0.8).count() == 0
+        assert sorted((r.da[0], r.db[0]) for r in setjoin.verified(pairs, sets, 80, part).collect()) == want
+    assert setjoin.verified(pairs.limit(0), sets, 80).count() == 0
