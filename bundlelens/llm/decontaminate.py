@@ -11,6 +11,10 @@ and its numbers freely if all windows are there; with fewer windows at least hal
 slots must hold the value that most slots of the same number of the item hold. Names that
 contradict each other are another text of the same form.
 
+Windows are first joined for an item's rarest ones only (in documents), as many as a document with
+enough of its windows can't do without; only documents and items that meet there are
+compared in full. A phrase that many items and documents have is thus no key of all their pairs.
+
 Semantics. An item with fewer tokens than `width` is one window as a whole; windows with fewer
 than `literals` words beside placeholders say too little and don't count, neither as shared nor
 as the item's. An item of such windows only is one window as a whole; if that has too few words
@@ -25,7 +29,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bundlelens.llm.common import BASES, Windows, cut, rows_of, text_batches
@@ -224,11 +228,18 @@ def contamination(docs: DataFrame, key: str, text: str, items: DataFrame, item_k
         hit = template_windows(keyed, floors, bare=True).join(hashes, ["width", "h"], "left_semi").groupBy("key", "row").agg(F.collect_set(F.struct("width", "at")).alias("picks"))
         hit = cut(hit, "picks").select(F.col("key").alias("k"), F.col("row").alias("r"), "picks")
         rows = keyed.join(hit, F.col("key").eqNullSafe(F.col("k")) & (F.col("row") == F.col("r"))).select("key", "text", "picks")
-    of_docs = template_windows(rows, floors, known)
+    of_docs = cut(template_windows(rows, floors, known), "windows")
     sizes = of_items.groupBy("key", "n").agg(F.countDistinct("at").alias("n_windows"))
-    a = of_docs.select("width", "h", "template", F.col("key").alias("doc_id"), F.col("at").alias("da"), F.col("slots").alias("ds"))
-    b = of_items.join(sizes, ["key", "n"]).select("width", "h", "template", F.col("key").alias("item_id"), F.col("at").alias("ia"), F.col("slots").alias("bs"), "n", "n_windows", (words < literals).alias("weak"))
-    pairs = a.join(b, ["width", "h", "template"]).withColumn("shift", F.col("da") - F.col("ia"))
+    window = ["width", "h", "template"]
+    a = of_docs.select(*window, F.struct("key").alias("doc"), F.col("at").alias("da"), F.col("slots").alias("ds"))
+    b = of_items.join(sizes, ["key", "n"]).select(*window, F.col("key").alias("item_id"), F.col("at").alias("ia"), F.col("slots").alias("bs"), "n", "n_windows", (words < literals).alias("weak"))
+    # a document with enough of an item's windows has one of its rarest n - ceil(share n) + 1
+    seen = of_docs.groupBy(*window).agg(F.count("*").alias("docs"))
+    rarity = F.row_number().over(Window.partitionBy("item_id", "n").orderBy("docs", "ia"))
+    rarest = b.join(seen, window).withColumn("place", rarity + F.col("n_windows") - F.count("*").over(Window.partitionBy("item_id", "n")))
+    rarest = rarest.where(F.col("place") <= F.col("n_windows") - F.ceil(share * F.col("n_windows")) + 1).select(*window, "item_id", "n").distinct()
+    likely = cut(a.select(*window, "doc").distinct().join(rarest, window).select("doc", "item_id", "n").distinct(), "likely")
+    pairs = a.join(likely, "doc").join(b, [*window, "item_id", "n"]).withColumn("doc_id", F.col("doc.key")).withColumn("shift", F.col("da") - F.col("ia"))
     # each run of one shift, and of drift + 1 neighbouring ones from each on that some window lies in
     near = F.transform(F.sequence(F.lit(0), F.lit(drift)), lambda k: F.struct((F.col("shift") - k).alias("base"), F.lit(drift).alias("span")))
     pairs = pairs.withColumn("run", F.explode(F.concat(F.array(F.struct(F.col("shift").alias("base"), F.lit(0).alias("span"))), near)))
