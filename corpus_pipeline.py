@@ -1,9 +1,9 @@
 """A corpus pipeline of the training-data operators: STAGES over documents, and run().
 
 Each stage takes all that the stage before kept and returns a DataFrame; run() writes each one's
-result as Parquet in the shared folder and rereads it. Rows with a null doc_id take the
-same way as others; only the near-duplicate stage, which keeps one row of each group, can't
-group them and keeps them all.
+result as Parquet in the shared folder and rereads it. Rows with a null doc_id are judged like
+others by language ID and decontamination and are packed; line dedup keeps all their lines, and the
+near-duplicate stage, which keeps the row of a group's smallest doc_id, keeps them all.
 """
 
 from __future__ import annotations
@@ -48,10 +48,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows whose text holds a benchmark item go. Each text is judged by itself: rows of one key with
+    different texts, or with a null key, are told apart."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, "doc_id", "text", items, "item_id", "text")
-    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    rows = docs.select(*COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("row"))
+    found = decontaminate.contamination(rows, "row", "text", items, "item_id", "text")
+    return rows.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
