@@ -60,7 +60,7 @@ def _hashed(words: str, owner: str, dimensions: int = 256) -> str:
       {words}_v AS (SELECT {owner}, bucket, round(x / norm, 6) AS x FROM {words}_b JOIN {words}_n USING ({owner}))"""
 
 
-_QUERIES = f"q AS (SELECT query_id, asked, qp, {_TOKENS.format('asked')} AS words, list_distinct({_TOKENS.format('asked')}) AS tokens FROM (SELECT doc_id AS query_id, substr(text, 1, 100) AS asked, {_PRODUCT.format('NULL')} AS qp FROM documents WHERE doc_id % 20 = 0))"
+_QUERIES = f"q AS (SELECT query_id, asked, qp, {_TOKENS.format('asked')} AS words, list_distinct({_TOKENS.format('asked')}) AS tokens FROM (SELECT doc_id AS query_id, text AS asked, {_PRODUCT.format('NULL')} AS qp FROM documents WHERE doc_id % 20 = 0))"
 _OVERLAP = "CASE WHEN len(tokens) = 0 THEN 0.0 ELSE len(list_filter(tokens, lambda t: contains({0}, t)))::DOUBLE / sqrt(len(tokens) * greatest(len(tokens), 3)) END"
 _FLAT = "trim(regexp_replace(content, '\\s+', ' ', 'g'))"
 _ORDER = """(SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS st, o_orderpriority AS pr,

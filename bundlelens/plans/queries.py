@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bundlelens.functions import text as T
 from bundlelens.operators import files, findings, kb, rules, search
-from bundlelens.session import written
+from bundlelens.session import spread, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -250,7 +250,7 @@ def kb_chunks_fixed(spark, sf):
 
 
 def _kb_documents(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
     return d.select(F.format_string("kb_%012d", "doc_id").alias("id"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("source_uri"), T.plain_title(F.col("text")).alias("title"), F.when(F.col("lang") == "fr", "harvester").when(F.col("lang") == "de", "longhorn").otherwise("unknown").alias("product_type"), T.collapse_whitespace(F.col("text")).alias("body"))
 
 
@@ -264,7 +264,7 @@ def kb_tokens(spark, sf):
 
 
 def kb_hash_embedding(spark, sf):
-    v = kb.hash_vectors(table(spark, sf, "documents"), "doc_id", "text")
+    v = kb.hash_vectors(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
     return v.select("doc_id", F.posexplode("vector").alias("bucket", "x")).where("x <> 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), "x")
 
 
@@ -278,14 +278,14 @@ def cosine_topk(spark, sf):
 
 
 def _asked(spark, sf):
-    """The beginnings of the documents whose id is divisible by 20, as queries."""
-    q = table(spark, sf, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 100).alias("asked"), F.when(F.col("lang") == "fr", "harvester").when(F.col("lang") == "de", "longhorn").alias("product_type"))
+    """The whole texts of the documents whose id is divisible by 20, as queries."""
+    q = table(spark, sf, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("asked"), F.when(F.col("lang") == "fr", "harvester").when(F.col("lang") == "de", "longhorn").alias("product_type"))
     return q.withColumn("tokens", F.array_distinct(T.tokens(F.col("asked"))))
 
 
 def keyword_overlap(spark, sf):
     """The ten documents that hold most of the words of each query."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("part"), F.lower("text").alias("text"), F.lit("unknown").alias("product"))
+    d = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("part"), F.lower("text").alias("text"), F.lit("unknown").alias("product")))
     found = kb.best_matches(_asked(spark, sf), d, 10, 0.000001, 6, 0.0, 1.0)
     return found.select("query_id", F.col("id").alias("doc_id"), "score", F.col("place").cast("long").alias("place"))
 
