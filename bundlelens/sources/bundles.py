@@ -1,8 +1,8 @@
-"""Support bundles as tables: archives are opened in the workers, one task an archive.
+"""Support bundles as tables: archives are opened in the workers, one task an archive, several for a large zip.
 
-expand() gives a row for each member (directories, symlinks and files, text in batches of lines),
-resources() one for each item of a YAML list. A bad archive, member or document is a row of its
-own with an error, never a failed job.
+expand() gives a row for each member (directories, symlinks and files, text in batches of lines) and the
+archive's checksum, from one pass over its bytes; `sources.reader` reads chosen members only. resources() gives a row for
+each item of a YAML list. A bad archive, member or document is a row of its own with an error, never a failed job.
 """
 
 from __future__ import annotations
@@ -37,11 +37,57 @@ COLUMNS = [c.split()[0] for c in MEMBER.split(", ")]
 PART = 1 << 20
 
 
+#: Bytes of a zip that one task reads.
+PIECE = 256 << 20
+
+
 def archives(spark: SparkSession, folder: str) -> DataFrame:
-    """bundle_id, uri, file_size, mtime, kind of the archives below a folder; no content is read."""
+    """bundle_id, name, uri, file_size, mtime, kind of the archives below a folder; no content is read. The id
+    is the file's name and a hash of its whole path, so that archives of one name stay apart."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")
-    name = F.element_at(F.split("path", "/"), -1)
-    return f.select(F.regexp_replace(name, SUFFIX.pattern.replace(r"\.(", r"(?i)\.(", 1), "").alias("bundle_id"), F.col("path").alias("uri"), F.col("length").alias("file_size"), F.col("modificationTime").alias("mtime"), archive_type(F.col("path")).alias("kind")).where("kind is not null")
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), SUFFIX.pattern.replace(r"\.(", r"(?i)\.(", 1), "").alias("name")
+    f = f.select(name, F.col("path").alias("uri"), F.col("length").alias("file_size"), F.col("modificationTime").alias("mtime"), archive_type(F.col("path")).alias("kind")).where("kind is not null")
+    return f.select(F.concat("name", F.lit("-"), F.substring(F.sha1(F.regexp_replace("uri", "^file:/+", "/").cast("binary")), 1, 12)).alias("bundle_id"), *f.columns)
+
+
+def bundle_of(uri: str) -> str:
+    """The bundle_id that archives() gives a file."""
+    return SUFFIX.sub("", uri.rsplit("/", 1)[-1]) + "-" + hashlib.sha1(re.sub("^file:/+", "/", uri).encode()).hexdigest()[:12]
+
+
+class Hashed(io.RawIOBase):
+    """A file that hashes its bytes as they are first read in order; finish() reads what was left out."""
+
+    def __init__(self, raw):
+        self.raw, self.sum, self.done = raw, hashlib.sha256(), 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        self.raw.seek(offset, whence)
+        return self.raw.tell()
+
+    def tell(self) -> int:
+        return self.raw.tell()
+
+    def readinto(self, buffer) -> int:
+        at, data = self.raw.tell(), self.raw.read(len(buffer))
+        if at <= self.done < at + len(data):
+            self.sum.update(data[self.done - at :])
+            self.done = at + len(data)
+        buffer[: len(data)] = data
+        return len(data)
+
+    def finish(self) -> tuple[int, str]:
+        """The number of bytes and their SHA-256."""
+        self.seek(self.done)
+        while self.read(PART):
+            pass
+        return self.done, self.sum.hexdigest()
 
 
 def unsafe(path: str) -> bool:
@@ -55,12 +101,16 @@ def binary(head: bytes) -> bool:
     return b"\0" in head or odd > 0.08 * len(head)
 
 
-def _open(data: io.BufferedIOBase, name: str):
-    """(path, kind, size, mtime, opener) of each member, in archive order."""
+def _open(data: io.IOBase, name: str, piece: tuple[int, int] | None = None):
+    """(path, kind, size, mtime, opener) of each member, in archive order. Of a zip read in pieces, the
+    opener is None for members that start outside of the bytes of this piece."""
     low = name.lower()
     if low.endswith(".zip"):
         z = zipfile.ZipFile(data)
         for i in z.infolist():
+            if piece and not piece[0] <= i.header_offset < piece[1]:
+                yield i.filename, "directory" if i.is_dir() else "elsewhere", i.file_size, None, None
+                continue
             link = (i.external_attr >> 16) & 0o170000 == 0o120000
             kind = "directory" if i.is_dir() else "symlink" if link else "file"
             yield i.filename, kind, i.file_size, datetime(*i.date_time, tzinfo=UTC), lambda i=i: z.open(i)
@@ -81,11 +131,29 @@ def _open(data: io.BufferedIOBase, name: str):
             yield m.name, kind, m.size, datetime.fromtimestamp(m.mtime, UTC), lambda m=m: t.extractfile(m)
 
 
+class Wanted:
+    """Which members are read: tests (kind, value) of their paths, and whether they are binary."""
+
+    def __init__(self, tests: tuple[tuple[str, object], ...] = (), binary: bool | None = None):
+        self.tests, self.binary = tests, binary
+
+    def path(self, path: str) -> bool:
+        holds = {"eq": lambda v: path == v, "in": lambda v: path in v, "starts": lambda v: path.startswith(v), "ends": lambda v: path.endswith(v), "has": lambda v: v in path}
+        return all(holds[kind](value) for kind, value in self.tests)
+
+    def below(self, folder: str) -> bool:
+        """Whether members of a nested archive, which go to this folder or one named after it, can be wanted."""
+        near = lambda v: v.startswith(folder) or folder.startswith(v)
+        holds = {"eq": near, "in": lambda v: any(map(near, v)), "starts": near}
+        return all(holds[kind](value) for kind, value in self.tests if kind in holds)
+
+
 class Expansion:
     """The rows of one archive, nested archives included, within its budget of bytes and entries."""
 
-    def __init__(self, bundle: str):
+    def __init__(self, bundle: str, wanted: Wanted | None = None, piece: tuple[int, int] | None = None):
         self.bundle, self.left, self.entries, self.taken = bundle, MAX_BYTES, 0, set()
+        self.wanted, self.piece = wanted or Wanted(), piece
 
     def row(self, path: str, kind: str, **more) -> dict:
         return dict.fromkeys(COLUMNS) | {"bundle_id": self.bundle, "path": path, "type": kind} | more
@@ -98,7 +166,7 @@ class Expansion:
 
     def walk(self, data, name: str, prefix: str = "", depth: int = 0) -> Iterator[dict]:
         nested = []
-        for path, kind, size, mtime, opened in _open(data, name):
+        for path, kind, size, mtime, opened in _open(data, name, None if depth else self.piece):
             self.entries += 1
             if self.entries > MAX_ENTRIES:
                 raise ValueError("too many entries")
@@ -110,12 +178,17 @@ class Expansion:
                 continue
             parts = full.split("/")
             self.taken.update("/".join(parts[:k]) for k in range(1, len(parts) + 1))
+            self.left -= 0 if kind in ("directory", "symlink", "other") else size
+            if self.left < 0:
+                raise ValueError("extracted bytes over the quota")
+            if opened is None:
+                continue
             if kind != "file":
                 yield self.row(full, kind, size=0, mtime=mtime)
                 continue
-            self.left -= size
-            if self.left < 0:
-                raise ValueError("extracted bytes over the quota")
+            inside = SUFFIX.search(full) and self.wanted.below(SUFFIX.sub("", full))
+            if not inside and not self.wanted.path(full):
+                continue  # not inflated
             extension = posixpath.splitext(full)[1].lower()
             f = opened()
             if SUFFIX.search(full):
@@ -164,10 +237,14 @@ class Expansion:
 
     def text(self, f, path: str, **more) -> Iterator[dict]:
         """A member's text in parts of whole lines, about a megabyte each."""
-        head, part, line = f.read(PART), 0, 1
-        if binary(head[:PEEK]):
-            yield self.row(path, "file", is_binary=True, part=0, first_line=1, **more)
+        head, part, line = f.read(PEEK), 0, 1
+        if binary(head):
+            if self.wanted.binary is not False:
+                yield self.row(path, "file", is_binary=True, part=0, first_line=1, **more)
             return
+        if self.wanted.binary:
+            return  # no more of it is inflated
+        head += f.read(PART - len(head))
         while True:
             rest = f.read(PART)
             cut = len(head) if not rest else head.rfind(b"\n") + 1
@@ -180,37 +257,58 @@ class Expansion:
             head = head[cut:] + rest
 
 
-def expand(found: DataFrame) -> DataFrame:
-    """Members of archives(bundle_id, uri), with a `checksum` row (SHA-256 in `reason`, bytes in
-    `size`) and, for a bad one, an `error` row. One archive a task; nothing of it is held whole but nested archives."""
+def rows_of_archive(uri: str, bundle: str, piece: int = 0, pieces: int = 1, wanted: Wanted | None = None) -> Iterator[dict]:
+    """The members of an archive, or of one of a zip's pieces; at the end a `checksum` row (SHA-256 in `reason`, bytes
+    in `size`) of the bytes that were read on the way, and an `error` row for a bad one. Of several pieces the
+    one behind the last only takes the checksum."""
+    from pyarrow import fs
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
+    system, path = fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
+    with system.open_input_file(path) as raw:
+        size, data = raw.size(), Hashed(raw)
+        bounds = (piece * size // pieces, size if piece == pieces - 1 else (piece + 1) * size // pieces) if pieces > 1 else None
+        e = Expansion(bundle, wanted, bounds)
+        if piece < pieces:
+            try:
+                yield from e.walk(data if uri.lower().endswith(".zip") else io.BufferedReader(data, PART), uri)
+            except Exception as x:
+                yield e.row("", "error", status="rejected", reason=str(x)[:500])
+        if wanted is None and (pieces == 1 or piece == pieces):
+            n, digest = data.finish()
+            yield e.row("", "checksum", size=n, reason=digest)
+
+
+def in_batches(rows: Iterator[dict]) -> Iterator[list[dict]]:
+    """Rows in lists of about eight megabytes."""
+    out, size = [], 0
+    for r in rows:
+        out.append(r)
+        size += len(r["content"] or "") + 200
+        if size > 8 << 20:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
+def expand(found: DataFrame, piece: int = PIECE) -> DataFrame:
+    """Members of archives(bundle_id, uri, file_size), with their checksums and errors, as rows_of_archive() has
+    them. One archive a task, each byte read once; a zip of more than `piece` bytes is read by several tasks, each with
+    the members that start in its bytes, and by one more for its checksum. Nothing of an archive is held whole but nested
+    archives, and those of a piece share the budget that its own members leave."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for bundle, uri in b[["bundle_id", "uri"]].itertuples(index=False):
-                system, path = fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
-                e, rows, size = Expansion(bundle), [], 0
-                with system.open_input_stream(path, compression=None) as f:
-                    h, n = hashlib.sha256(), 0
-                    while block := f.read(1 << 20):
-                        h.update(block)
-                        n += len(block)
-                rows.append(e.row("", "checksum", size=n, reason=h.hexdigest()))
-                try:
-                    with system.open_input_file(path) as raw:
-                        for r in e.walk(io.BufferedReader(raw, 1 << 20) if not uri.lower().endswith(".zip") else raw, uri):
-                            rows.append(r)
-                            size += len(r["content"] or "") + 200
-                            if size > 8 << 20:
-                                yield pd.DataFrame(rows, columns=COLUMNS)
-                                rows, size = [], 0
-                except Exception as x:
-                    rows.append(e.row("", "error", status="rejected", reason=str(x)[:500]))
-                yield pd.DataFrame(rows, columns=COLUMNS)
+            for bundle, uri, k, n in b[["bundle_id", "uri", "k", "n"]].itertuples(index=False):
+                for rows in in_batches(rows_of_archive(uri, bundle, k, n)):
+                    yield pd.DataFrame(rows, columns=COLUMNS)
 
-    n = max(1, min(found.count(), 10_000))
-    return found.select("bundle_id", "uri").repartition(n, "uri").mapInPandas(run, MEMBER)
+    size = F.col("file_size") if "file_size" in found.columns else F.lit(0)
+    n = F.when(F.lower("uri").endswith(".zip"), F.greatest(F.ceil(size / piece), F.lit(1))).otherwise(1).cast("int")
+    tasks = found.select("bundle_id", "uri", n.alias("n"))
+    tasks = tasks.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > 1, F.col("n")).otherwise(0))).alias("k"))
+    count = max(1, min(tasks.count(), 10_000))
+    return tasks.repartitionByRange(count, "uri", "k").mapInPandas(run, MEMBER)
 
 
 def rejected(members: DataFrame) -> DataFrame:
@@ -254,12 +352,12 @@ def log_lines(members: DataFrame) -> DataFrame:
 
 
 def key_values(members: DataFrame, suffix: str = "metadata.yaml") -> DataFrame:
-    """bundle_id, metadata (map) of the top-level `key: value` lines of the first such file."""
+    """bundle_id, metadata (map) of the top-level `key: value` lines of the first such file; of a repeated key the last."""
     t = text_files(members).where(F.col("path").endswith(suffix))
     first = t.join(t.groupBy("bundle_id").agg(F.min("path").alias("path")), ["bundle_id", "path"])
-    line = first.select("bundle_id", F.explode(F.split("content", "\r?\n")).alias("line")).where(F.col("line").rlike(r"^[A-Za-z][\w.-]*:\s*\S"))
+    line = first.select("bundle_id", "part", F.posexplode(F.split("content", "\r?\n")).alias("k", "line")).where(F.col("line").rlike(r"^[A-Za-z][\w.-]*:\s*\S"))
     value = F.regexp_replace(F.regexp_extract("line", r"^[^:]+:\s*(.*?)\s*$", 1), "^['\"](.*)['\"]$", "$1")
-    kv = line.select("bundle_id", F.lower(F.regexp_extract("line", r"^([^:]+):", 1)).alias("k"), value.alias("v")).where("v <> 'null'").groupBy("bundle_id", "k").agg(F.min("v").alias("v"))
+    kv = line.select("bundle_id", F.struct("part", "k").alias("at"), F.lower(F.regexp_extract("line", r"^([^:]+):", 1)).alias("k"), value.alias("v")).where("v <> 'null'").groupBy("bundle_id", "k").agg(F.max_by("v", "at").alias("v"))
     return kv.groupBy("bundle_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("metadata"))
 
 

@@ -1,13 +1,15 @@
+import hashlib
 import io
 import tarfile
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, StringEndsWith, StringStartsWith
 
 from bundlelens.operators import groups, kb
 from bundlelens.plans import analysis
-from bundlelens.sources import bundles
+from bundlelens.sources import bundles, reader
 from tests.fixtures import MACHINES, STORAGE
 
 
@@ -41,7 +43,8 @@ def members(spark, tmp_path_factory):
     (d / "five.zip").write_bytes(b"not an archive")
     (d / "ignored.txt").write_text("x")
     found = bundles.archives(spark, str(d))
-    assert {(r.bundle_id, r.kind) for r in found.collect()} == {("one", "tar"), ("two", "zip"), ("three", "tar"), ("four", "tar"), ("five", "zip")}
+    found = found.withColumn("bundle_id", F.col("name"))  # ids of our own choice
+    assert {(r.name, r.kind) for r in found.collect()} == {("one", "tar"), ("two", "zip"), ("three", "tar"), ("four", "tar"), ("five", "zip")}
     path = str(tmp_path_factory.mktemp("members"))
     bundles.expand(found).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
@@ -58,6 +61,73 @@ def test_expansion(members):
     assert bundles.resources(members).where("error is not null").select("bundle_id", "path").collect() == [("three", "b/bad.yaml")]
 
 
+def test_archives_of_one_name_are_bundles_of_their_own(spark, tmp_path):
+    for folder, version in (("a", "v0"), ("b", "v1")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "support-bundle.zip").write_bytes(zipped({"x/metadata.yaml": f"kubernetesversion: v9\nkubernetesversion: {version}\n", "x/logs/x.log": f"only {version}\n"}))
+    found = bundles.archives(spark, str(tmp_path))
+    m = bundles.expand(found).cache()
+    ids = {r.bundle_id: r.uri.split("/")[-2] for r in found.collect()}
+    assert len(ids) == 2 and {r.name for r in found.collect()} == {"support-bundle"} and {bundles.bundle_of(r.uri) for r in found.collect()} == set(ids)
+    assert {(ids[r.bundle_id], r["metadata"]["kubernetesversion"]) for r in bundles.key_values(m).collect()} == {("a", "v0"), ("b", "v1")}
+    assert sorted((ids[r.bundle_id], r.line_no, r.line) for r in bundles.log_lines(m).collect() if r.path.endswith("x.log")) == [("a", 1, "only v0"), ("b", 1, "only v1")]
+    registry = found.select("bundle_id", F.lit("longhorn").alias("product_type"))
+    a = analysis.analyse(spark, registry, m, "longhorn")
+    assert {ids[r.bundle_id] for r in analysis.reports(registry, a, bundles.bundle_files(m)).collect()} == {"a", "b"}
+
+
+def content_of(rows):
+    return sorted((r.path, r.type, r.is_binary, r.part, r.first_line, r.content, r.status, r.reason) for r in rows if r.type != "checksum")
+
+
+def test_a_large_zip_is_read_by_several_tasks_and_each_byte_once(spark, tmp_path, monkeypatch):
+    inner = zipped({"deep.log": "deep\n"})
+    data = zipped({f"b/logs/{k}.log": f"line {k}\n" * 300 for k in range(50)} | {"b/in.zip": inner, "b/bin.dat": b"\0" * 9})
+    (tmp_path / "big.zip").write_bytes(data)
+    (tmp_path / "small.tar.gz").write_bytes(tar({"b/x.log": "x\n"}))
+    found = bundles.archives(spark, str(tmp_path))
+    whole = bundles.expand(found).collect()
+    pieces = bundles.expand(found, piece=len(data) // 4)
+    assert pieces.rdd.getNumPartitions() >= 6
+    assert sorted(content_of(whole)) == sorted(content_of(pieces.collect()))
+    sums = lambda rows: {(r.bundle_id, r.reason, r.size) for r in rows if r.type == "checksum"}
+    assert sums(whole) == sums(pieces.collect())
+    assert {h for _, h, n in sums(whole) if n == len(data)} == {hashlib.sha256(data).hexdigest()}
+    read = []
+    real = bundles.Hashed.readinto
+    monkeypatch.setattr(bundles.Hashed, "readinto", lambda self, b: read.append(real(self, b)) or read[-1])
+    list(bundles.rows_of_archive(str(tmp_path / "big.zip"), "b"))
+    assert len(data) <= sum(read) < len(data) + 70_000  # the directory at the end, once more
+
+
+def test_filters_reach_the_reader_and_unwanted_members_are_not_inflated(spark, tmp_path, monkeypatch):
+    inner = zipped({"deep.log": "deep\n", "other.txt": "o"})
+    files = {f"b/logs/{k}.log": f"line {k}\n" for k in range(20)} | {"b/yamls/pods.yaml": "items: []\n", "b/in.zip": inner, "b/bin.dat": b"\0" * 100_000}
+    (tmp_path / "one.zip").write_bytes(zipped(files))
+    (tmp_path / "two.tar").write_bytes(tar(files, "w"))
+    (tmp_path / "bad.zip").write_bytes(b"no zip")
+    full = bundles.expand(bundles.archives(spark, str(tmp_path)))
+    m = reader.read_members(spark, str(tmp_path))
+    assert content_of(m.collect()) == content_of(full.collect())
+    for where in ("path = 'b/logs/3.log'", "path like '%.log'", "path like 'b/in/%'", "path like '%yaml%'", "path in ('b/bin.dat', 'b/in')", "is_binary = false", "is_binary = true", "path like '%.log' and is_binary = false", "type = 'error'"):
+        assert content_of(m.where(where).collect()) == content_of(full.where(where).collect()), where
+    own = bundles.bundle_of(str(tmp_path / "one.zip"))
+    assert {r.bundle_id for r in m.where(F.col("bundle_id") == own).collect()} == {own}
+    opened = []
+    real = zipfile.ZipFile.open
+    monkeypatch.setattr(zipfile.ZipFile, "open", lambda self, member, *a, **k: opened.append(getattr(member, "filename", member)) or real(self, member, *a, **k))
+
+    def read(*filters):
+        opened.clear()
+        r = reader.MemberReader({"path": str(tmp_path / "one.zip")})
+        assert list(r.pushFilters(list(filters))) == list(filters)
+        return [x for p in r.partitions() for b in r.read(p) for x in b.to_pylist()]
+
+    assert len(read(EqualTo(("path",), "b/logs/3.log"))) == 1 and opened == ["b/logs/3.log"]
+    assert len(read(StringEndsWith(("path",), ".yaml"))) == 3 and opened[:2] == ["b/yamls/pods.yaml", "b/in.zip"] and not [x for x in opened if x.startswith("b/logs")]  # a nested archive is checked as a whole
+    assert len([x for x in read(StringStartsWith(("path",), "b/in/")) if x["content"]]) == 2 and "b/logs/1.log" not in opened
+
+
 def test_lines_metadata_alerts(members):
     lines = bundles.log_lines(members).where("bundle_id = 'one' and path like '%manager.log'")
     got = {r.line_no: r.line for r in lines.collect()}
@@ -73,7 +143,7 @@ def test_long_files_and_rejected_bundles(spark, tmp_path):
     alerts = [{"Labels": {"alertname": f"a{k}", "severity": "warning"}, "Annotations": {"summary": "s" * 200}, "State": "firing"} for k in range(9000)]
     (tmp_path / "long.tar.gz").write_bytes(tar({"b/prometheus-alerts.json": json.dumps(alerts, indent=2), "b/metadata.yaml": "".join(f"k{i}: {'v' * 90}\n" for i in range(20_000)) + "kubernetesversion: v9\n"}))
     (tmp_path / "bad.tar").write_bytes(tar({"b/yamls/namespaced/x/v1/events.yaml": "items:\n- kind: Event\n", "b/logs/longhorn-system/longhorn-manager-a/m.log": "panic=1\n", "b/prometheus-alerts.json": "[]x", "../up": "x"}, "w"))
-    m = bundles.expand(bundles.archives(spark, str(tmp_path))).cache()
+    m = bundles.expand(bundles.archives(spark, str(tmp_path)).withColumn("bundle_id", F.col("name"))).cache()
     assert m.where("path like '%alerts.json' and part > 0").count() > 1
     assert bundles.alerts(m).where("valid").count() == 9000 and bundles.alerts(m).where("not valid").count() == 0
     assert bundles.key_values(m).first()["metadata"]["kubernetesversion"] == "v9"
