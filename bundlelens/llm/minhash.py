@@ -6,7 +6,7 @@ XOR of two bitmaps the values that both sets have cancel out, so its population
 differing ones alone, and 1 + m / (4 k) ln(1 - 2 z / m) estimates the similarity, most precisely where it is high. Candidates
 agree in a band and must pass the sketches: they are dropped where z is so large that sets of the asked
 similarity have it with a probability below 10^-6 (the cut-off follows from the distribution of z). What
-passes is confirmed on full sets. Sets as similar as 0.8 agree in no band with a probability of 10^-6.
+passes, and passes the parity of the whole sets as well (a bound without any error, see `setjoin`), is confirmed on full sets. Sets as similar as 0.8 agree in no band with a probability of 10^-6.
 
 How bands are worked through, and what becomes of crowded ones, is said in `setjoin`.
 
@@ -32,6 +32,8 @@ from bundlelens.llm.setjoin import linked_sets
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BANDS, ROWS, BITS = 26, 4, 256
 SAMPLES, LONGS = BANDS * ROWS, BITS // 64
+#: Bits of a whole set's parity: a hash's top bits say which one it flips.
+PARITY_BITS = 512
 MULTIPLIERS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 #: Rows asked for by name are broadcast up to this number (24 bytes each), joined by a shuffle above it.
 BROADCAST_ROWS = 1_000_000
@@ -81,6 +83,11 @@ def bands_and_odd(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bands.view(np.int64), np.packbits(bits, bitorder="little").view(np.int64)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    bits = np.bincount((hashes >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def similarity(z: int, samples: int = SAMPLES, bits: int = BITS) -> float:
     """The similarity of two sets whose odd sketches differ in z bits."""
     return 1 + bits / (4 * samples) * float(np.log(max(1 - 2 * z / bits, 1 / bits)))
@@ -90,30 +97,32 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[text].cast("string")).alias("row"), docs[text].cast("string").alias("text"))
 
 
-SKETCH = "n int, digest binary, odd array<long>, bands array<long>"
+SKETCH = "n int, digest binary, odd array<long>, parity array<long>, bands array<long>"
+NAMES = ["n", "digest", "odd", "parity", "bands"]
 
 
 def sketch_columns(texts: list[bytes | None], width: int, windows: Windows) -> list[pa.Array]:
-    n, digests, odds, bands = [], [], [], []
+    n, digests, odds, parities, bands = [], [], [], [], []
     for t in texts:
         own = shingles(t or b"", width, windows)
         n.append(len(own))
         digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
         band, odd = bands_and_odd(samples(own)) if len(own) else (None, None)
         odds.append(odd)
+        parities.append(parity(own) if len(own) else None)
         bands.append(band)
-    return [pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(odds, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))]
+    return [pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(odds, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))]
 
 
 def sketches(rows: DataFrame, width: int) -> DataFrame:
-    """doc_id, row, n, digest, odd, bands of rows(doc_id, row, text)."""
+    """doc_id, row and the columns of SKETCH of rows(doc_id, row, text)."""
 
     def run(batches):
         windows = Windows(BASES[0])
         for batch in batches:
             for part in rows_of(batch):
                 made = sketch_columns(part.column(2).cast(pa.binary()).to_pylist(), width, windows)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["doc_id", "row", "n", "digest", "odd", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["doc_id", "row", *NAMES])
 
     text_batches(rows.sparkSession)
     return rows.mapInArrow(run, f"doc_id long, row long, {SKETCH}")
@@ -139,10 +148,10 @@ def shingle_sets(rows: DataFrame, asked: DataFrame, width: int) -> DataFrame:
 def similar_sets(drawn: DataFrame, rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The distinct sets of sketches (digest, doc_id and row of one that has it) and links (da, db)
     that connect similar ones."""
-    own = drawn.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row", "n", "odd", "bands")).alias("own"))
+    own = drawn.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row", "n", "odd", "parity", "bands")).alias("own"))
     nodes = cut(own.select("digest", "own.*"), "nodes")
     sets = lambda digests: shingle_sets(rows, nodes.join(digests, "digest").select("doc_id", "row", "digest"), width)
-    return nodes, linked_sets(nodes, sets, percent, odd_cutoff(SAMPLES, BITS, percent, 1e-6), LONGS)
+    return nodes, linked_sets(nodes, sets, percent, odd_cutoff(SAMPLES, BITS, percent, 1e-6), LONGS, PARITY_BITS // 64)
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, width: int = 2, percent: int = 80) -> DataFrame:

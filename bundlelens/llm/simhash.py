@@ -131,7 +131,7 @@ SKETCH = f"doc_id long, row long, fps array<long>, {minhash.SKETCH}"
 
 def sketches(docs: DataFrame, key: str, text: str, width: int, widths: tuple[int, ...] = ()) -> DataFrame:
     """doc_id, row (hash of the text), node, fps (fingerprints by each of `widths`), and the MinHash sketch
-    of the set of shingles of `width` words: n, digest, odd, bands (null without words); one row for equal ones.
+    of the set of shingles of `width` words: the columns of minhash.SKETCH (null without words); one row for equal ones.
 
     node is the number by which links name a row: the key, but of several texts of one key only
     the first has that, the others a number above 2^62 from the hash of key and text.
@@ -144,7 +144,7 @@ def sketches(docs: DataFrame, key: str, text: str, width: int, widths: tuple[int
                 texts = part.column(2).cast(pa.binary()).to_pylist()
                 fps = [np.array([fingerprint(shingle_hashes(t or b"", w)) for w in widths], np.uint64).view(np.int64) for t in texts]
                 made = minhash.sketch_columns(texts, width, windows)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.list_(pa.int64())), *made], names=["doc_id", "row", "fps", "n", "digest", "odd", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.list_(pa.int64())), *made], names=["doc_id", "row", "fps", *minhash.NAMES])
 
     text_batches(docs.sparkSession)
     drawn = cut(minhash.keyed(docs, key, text).mapInArrow(run, SKETCH), "drawn").dropDuplicates(["doc_id", "row"])

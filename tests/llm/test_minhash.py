@@ -119,9 +119,9 @@ def test_crowded_bands_lose_no_link(spark, monkeypatch, part):
     monkeypatch.setattr(setjoin.prefix_pairs, "__defaults__", (part,))
     sets = crowd(3, 130, 60)
     odd = [minhash.bands_and_odd(minhash.samples(np.array(s, np.uint64)))[1].tolist() for s in sets]
-    nodes = spark.createDataFrame([(b"%04d" % i, len(s), o, [1, 2, 3]) for i, (s, o) in enumerate(zip(sets, odd, strict=True))], "digest binary, n int, odd array<long>, bands array<long>")
+    nodes = spark.createDataFrame([(b"%04d" % i, len(s), o, minhash.parity(np.array(s, np.uint64)).tolist(), [1, 2, 3]) for i, (s, o) in enumerate(zip(sets, odd, strict=True))], "digest binary, n int, odd array<long>, parity array<long>, bands array<long>")
     full = spark.createDataFrame([(b"%04d" % i, s) for i, s in enumerate(sets)], "digest binary, hashes array<long>")
-    links = setjoin.linked_sets(nodes, lambda asked: full.join(asked, "digest"), 80, minhash.odd_cutoff(minhash.SAMPLES, minhash.BITS, 80, 1e-6), minhash.LONGS)
+    links = setjoin.linked_sets(nodes, lambda asked: full.join(asked, "digest"), 80, minhash.odd_cutoff(minhash.SAMPLES, minhash.BITS, 80, 1e-6), minhash.LONGS, 8)
     found = {bytes(r.node): bytes(r.component) for r in components(links.toDF("a", "b")).collect()}
     frozen = [frozenset(s) for s in sets]
     want = roots(frozen, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
@@ -134,9 +134,9 @@ def test_prefix_pairs_hold_all_similar_pairs(spark):
     rng = random.Random(6)
     sets = [frozenset(rng.sample(range(60), rng.randrange(1, 30))) for _ in range(60)]
     sets += [frozenset(list(s)[1:]) | {99} for s in sets if len(s) > 9]
-    rows = [(b"%04d" % i, b"%d" % (i % 5), list(s)) for i, s in enumerate(sets)]
+    rows = [(b"%04d" % i, b"%d" % (i % 5), list(s), minhash.parity(np.array([x << 57 for x in s], np.uint64)).tolist()) for i, s in enumerate(sets)]
     for percent in (50, 80, 100):
-        got = {(int(r.da), int(r.db)) for r in setjoin.prefix_pairs(spark.createDataFrame(rows, "digest binary, c binary, hashes array<long>"), percent, 3).collect()}
+        got = {(int(r.da), int(r.db)) for r in setjoin.prefix_pairs(spark.createDataFrame(rows, "digest binary, c binary, hashes array<long>, parity array<long>"), percent, 8, 3).collect()}
         for i, a in enumerate(sets):
             for j in range(i):
                 if 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
