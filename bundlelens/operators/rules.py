@@ -3,7 +3,10 @@ data is scanned once whatever their number."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from re import _constants as re_constants
+from re import _parser as re_parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,14 +63,55 @@ def log_priority(path: Column, priorities: list[dict], default: int = 1000) -> C
     return F.least(*found, F.lit(default)) if found else F.lit(default)
 
 
-def matching_rules(line: Column, rules: list[dict]) -> Column:
-    """Ids of all rules whose regex is in the line: one array column, one pass over the lines."""
-    return F.filter(F.array(*[F.when(line.rlike(rule_regex(r)), F.lit(r["id"])) for r in rules]), lambda x: x.isNotNull())
+def required_literals(regex: str, least: int = 2) -> list[str] | None:
+    """Texts of which every match of a regex contains one, whatever its case; None if there is no such set of texts of
+    `least` characters or more, or the pattern isn't understood."""
+    if re.search(r"\(\?[a-z]*u", regex):
+        return None  # matches letters that lower-casing keeps apart
+    try:
+        return _required(re_parser.parse(regex), least)
+    except (re.error, OverflowError, AttributeError):
+        return None
+
+
+def _required(tokens, least: int) -> list[str] | None:
+    """The best set of a sequence of parsed tokens: the one whose shortest text is longest."""
+    found, run = [], ""
+    for op, value in [*tokens, (None, None)]:
+        if op is re_constants.LITERAL and value < 128:
+            run += chr(value).lower()
+            continue
+        if len(run) >= least:
+            found.append([run])
+        run, inner = "", None
+        if op is re_constants.SUBPATTERN:
+            inner = _required(value[3], least)
+        elif op is re_constants.BRANCH:
+            each = [_required(b, least) for b in value[1]]
+            inner = [x for e in each for x in e] if all(each) else None
+        elif op in (re_constants.MAX_REPEAT, re_constants.MIN_REPEAT) and value[0] > 0:
+            inner = _required(value[2], least)
+        if inner:
+            found.append(inner)
+    return max(found, key=lambda texts: min(map(len, texts)), default=None)
+
+
+def matching_rules(line: Column, rules: list[dict], low: Column | None = None) -> Column:
+    """Ids of all rules whose regex is in the line: one array column, one pass over the lines. low: the line in lower
+    case; a rule's regex then runs on lines only that hold one of the texts it can't match without."""
+
+    def test(r: dict) -> Column:
+        texts = required_literals(r["regex"]) if low is not None and "u" not in r.get("flags", "") else None
+        full = line.rlike(rule_regex(r))
+        return reduce(lambda a, b: a | b, [low.contains(x) for x in texts]) & full if texts else full
+
+    return F.filter(F.array(*[F.when(test(r), F.lit(r["id"])) for r in rules]), lambda x: x.isNotNull())
 
 
 def log_matches(lines: DataFrame, line: str, rules: list[dict]) -> DataFrame:
     """A row for each line and rule that matches it, with the column rule_id."""
-    return lines.withColumn("rule_id", F.explode(matching_rules(F.col(line), rules)))
+    low = lines.withColumn("__low", F.lower(line))
+    return low.withColumn("rule_id", F.explode(matching_rules(F.col(line), rules, F.col("__low")))).drop("__low")
 
 
 def rule_table(spark: SparkSession, rules: list[dict]) -> DataFrame:

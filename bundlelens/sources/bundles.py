@@ -22,7 +22,8 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bundlelens.functions.text import archive_type
@@ -378,12 +379,97 @@ RESOURCE = f"bundle_id string, path string, item_no int, api_version string, kin
 RESOURCE_COLUMNS = ["bundle_id", "path", "item_no", "api_version", "kind", "namespace", "name", "text", "metadata", "spec", "status", "value", "conditions", "error"]
 
 
+#: The first item of a list file, behind `items:` or at the start; group 1 or 2 is the list's indentation.
+FIRST_ITEM = r"(?m)(?:^items:[ \t]*\r?\n(?:[ \t]*(?:#[^\n]*)?\r?\n)*( *)- |\A(?:(?:---)?[ \t]*(?:#[^\n]*)?\r?\n)*( *)- )"
+
+
+def _marks(content: str, indent: int) -> Iterator[tuple[int, bool | None]]:
+    """(place, None) of each line that opens an item of the list if one is open, and (place, whether a list follows)
+    of each line that ends the list."""
+    closing = r"[^\s#-]" if indent == 0 else rf" {{0,{indent - 1}}}[^\s#]"
+    for m in re.finditer(rf"(?m)^(?:({' ' * indent}- )|({closing}|---|\.\.\.)[^\n]*)", content):
+        if m[1]:
+            yield m.start(), None
+        elif m[0].startswith(("---", "...")):
+            yield m.start(), bool(re.compile(rf"\n(?:[ \t]*(?:#[^\n]*)?\r?\n)*{' ' * indent}- ").match(content, m.end()))
+        else:
+            yield m.start(), bool(re.match(r"items:[ \t]*\r?$", m[0]))
+
+
+def item_runs(texts: DataFrame) -> DataFrame:
+    """bundle_id, path, item_no, listed, content: the items of YAML list files in runs of whole items, none longer than
+    a part of a file but for a single long item; other files whole.
+
+    Each part is looked through for lines that open an item or end the list. What a part leaves open
+    and how many items it has is carried to the next ones (a row a part, without its text); then parts are cut at
+    their items, and only an item that lies across parts is put together.
+    """
+    file, whole = ["bundle_id", "path"], Window.partitionBy("bundle_id", "path").orderBy("part")
+    t = texts.select(*file, "part", "content")
+    shape = t.where("part = 0 and content is not null").select(*file, F.regexp_extract("content", FIRST_ITEM, 1).alias("a"), F.regexp_extract("content", FIRST_ITEM, 2).alias("b"), F.col("content").rlike(FIRST_ITEM).alias("listed"), F.col("content").rlike(r"(?m)^items:[ \t]*\r?$").alias("named"))
+    shape = shape.select(*file, "listed", F.greatest(F.length("a"), F.length("b")).alias("indent"), (F.col("listed") & ~F.col("named")).alias("bare"))
+    t = t.join(shape, file)
+
+    def look(batches):
+        for b in batches:
+            rows = []
+            for bundle, path, part, content, indent in zip(*(b.column(c).to_pylist() for c in ("bundle_id", "path", "part", "content", "indent")), strict=True):
+                early = late = 0
+                end = None
+                for _, follows in _marks(content, indent):
+                    if follows is not None:
+                        end = follows
+                    elif end is None:
+                        early += 1
+                    else:
+                        late += end
+                rows.append((bundle, path, part, early, late, end))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["bundle_id", "path", "part", "early", "late", "end"])
+
+    seen = t.where("listed").mapInArrow(look, "bundle_id string, path string, part int, early long, late long, end boolean").join(shape.select(*file, "bare"), file)
+    open_ = F.coalesce(F.last("end", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.col("bare"))
+    seen = seen.withColumn("open", open_).withColumn("n", F.when(F.col("open"), F.col("early")).otherwise(0) + F.col("late"))
+    seen = seen.withColumn("base", F.sum("n").over(whole) - F.col("n")).select(*file, "part", "open", "base")
+
+    def cut(batches):
+        for b in batches:
+            rows = []
+            for bundle, path, part, content, indent, in_list, base in zip(*(b.column(c).to_pylist() for c in ("bundle_id", "path", "part", "content", "indent", "open", "base")), strict=True):
+                no, run, start = base - 1, None, 0 if in_list and base else None  # the open item, where a run of items and where the item began
+                for place, follows in [*_marks(content, indent), (len(content), False)]:
+                    if follows is None and not in_list:
+                        continue
+                    last = place == len(content)
+                    if start is not None:
+                        crosses = last or start == 0 and part > 0 and no < base
+                        if crosses:
+                            if run is not None and start > run[1]:
+                                rows.append((bundle, path, run[0], -1, content[run[1] : start]))
+                            rows.append((bundle, path, no, part, content[start:place]))
+                            run = None
+                        elif follows is not None and run is not None:
+                            rows.append((bundle, path, run[0], -1, content[run[1] : place]))
+                            run = None
+                    if follows is None:
+                        no, start = no + 1, place
+                        run = (no, place) if run is None else run
+                    else:
+                        in_list, start = follows, None
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["bundle_id", "path", "item_no", "part", "content"])
+
+    pieces = t.where("listed").join(seen, [*file, "part"]).mapInArrow(cut, "bundle_id string, path string, item_no long, part int, content string")
+    across = pieces.where("part >= 0").groupBy(*file, "item_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda x: x["content"]), "").alias("content"))
+    runs = pieces.where("part < 0").select(*file, "item_no", "content").unionByName(across).withColumn("listed", F.lit(True))
+    return runs.unionByName(whole_files(t.where("not listed")).select(*file, F.lit(0).cast("long").alias("item_no"), "content", F.lit(False).alias("listed")))
+
+
 def resources(members: DataFrame) -> DataFrame:
     """A row for each item of the YAML lists: metadata, spec and status as JSON, conditions typed.
 
-    Bad YAML is one row with an error.
+    Lists are parsed by runs of items, so neither a task nor a parser has a whole long file. Bad YAML is one row
+    with an error: a bad item of a list by itself, under its own number, another bad file as a whole (-1).
     """
-    t = whole_files(text_files(members).where(F.col("path").rlike(r"(?i)\.ya?ml$")))
+    t = item_runs(text_files(members).where(F.col("path").rlike(r"(?i)\.ya?ml$")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
@@ -392,22 +478,37 @@ def resources(members: DataFrame) -> DataFrame:
 
         base = getattr(yaml, "CBaseLoader", yaml.BaseLoader)  # scalars stay text
         plain = lambda v: None if v in (None, "", "null", "~") or isinstance(v, (dict, list)) else str(v)
+
+        def items_of(content: str) -> list:
+            out = []
+            for doc in yaml.load_all(content, base):
+                out += doc.get("items", [doc]) if isinstance(doc, dict) else doc if isinstance(doc, list) else []
+            return out
+
+        def row(bundle: str, path: str, k: int, i: dict) -> tuple:
+            part = lambda name: i.get(name) if isinstance(i.get(name), dict) else {}
+            meta, status = part("metadata"), part("status")
+            cond = status.get("conditions")
+            cond = [{c: plain(x.get(c)) for c in ("type", "status", "reason", "message")} for x in (cond if isinstance(cond, list) else cond.values() if isinstance(cond, dict) else []) if isinstance(x, dict) and x.get("type")]
+            return (bundle, path, k, plain(i.get("apiVersion")), plain(i.get("kind")), plain(meta.get("namespace")), plain(meta.get("name")), json.dumps(i), json.dumps(meta), json.dumps(part("spec")), json.dumps(status), plain(i.get("value")), cond, None)
+
         for b in batches:
-            for bundle, path, content in b[["bundle_id", "path", "content"]].itertuples(index=False):
+            for bundle, path, first, content, listed in b[["bundle_id", "path", "item_no", "content", "listed"]].itertuples(index=False):
+                bad = lambda k, e, bundle=bundle, path=path: (bundle, path, k, *[None] * 10, str(e)[:500])
                 rows = []
                 try:
-                    items = []
-                    for doc in yaml.load_all(content, base):
-                        got = doc.get("items", [doc]) if isinstance(doc, dict) else doc if isinstance(doc, list) else []
-                        items += [i for i in got if isinstance(i, dict)]
-                    for k, i in enumerate(items):
-                        part = lambda name, i=i: i.get(name) if isinstance(i.get(name), dict) else {}
-                        meta, status = part("metadata"), part("status")
-                        cond = status.get("conditions")
-                        cond = [{c: plain(x.get(c)) for c in ("type", "status", "reason", "message")} for x in (cond if isinstance(cond, list) else cond.values() if isinstance(cond, dict) else []) if isinstance(x, dict) and x.get("type")]
-                        rows.append((bundle, path, k, plain(i.get("apiVersion")), plain(i.get("kind")), plain(meta.get("namespace")), plain(meta.get("name")), json.dumps(i), json.dumps(meta), json.dumps(part("spec")), json.dumps(status), plain(i.get("value")), cond, None))
+                    found = items_of(content)
+                    found = found if listed else [i for i in found if isinstance(i, dict)]
+                    rows = [row(bundle, path, first + k, i) for k, i in enumerate(found) if isinstance(i, dict)]
                 except yaml.YAMLError as e:
-                    rows = [(bundle, path, -1, *[None] * 10, str(e)[:500])]
+                    indent = len(content) - len(content.lstrip(" "))
+                    starts = [m.start() for m in re.finditer(rf"(?m)^{' ' * indent}- ", content)] if listed else []
+                    rows = [] if len(starts) > 1 else [bad(int(first) if listed else -1, e)]
+                    for k, (at, end) in enumerate(zip(starts, [*starts[1:], len(content)], strict=True) if len(starts) > 1 else ()):
+                        try:
+                            rows += [row(bundle, path, first + k, i) for i in items_of(content[at:end]) if isinstance(i, dict)]
+                        except yaml.YAMLError as x:
+                            rows.append(bad(first + k, x))
                 yield pd.DataFrame(rows, columns=RESOURCE_COLUMNS)
 
     return t.mapInPandas(run, RESOURCE)

@@ -28,8 +28,8 @@ def intake(stream: DataFrame, analyse: Callable[[DataFrame, int], DataFrame], ro
     """Run `analyse(new bundles, batch)` on each micro-batch of a stream with bundle_id and a
     checksum. Tables under root, each partitioned by batch so that a repeated batch replaces its
     own part: bundles (accepted), results, ledger. A copy of a bundle of an earlier batch, or of
-    the same one, is refused; a row with an `error` in the results fails its bundle only, an analysis
-    that raises those of its batch.
+    the same one, is refused. A row with an `error` in the results fails its bundle only, and so does an analysis that
+    raises: the batch is then analysed in halves, and halves of those that raise, until the bad bundles are alone.
     """
     order = order or ["bundle_id"]
 
@@ -40,11 +40,17 @@ def intake(stream: DataFrame, analyse: Callable[[DataFrame, int], DataFrame], ro
         return spark.read.schema(f"{schema}, batch long").parquet(f"{root}/bundles").where(F.col("batch") < batch)
 
     def results(fresh: DataFrame, batch: int) -> DataFrame:
-        """A batch whose analysis raises leaves failed bundles, not a stopped stream."""
+        """Bundles whose analysis raises are failed ones, not a stopped stream, and don't take others with them."""
         try:
             return written(analyse(fresh, batch), "results")
         except Exception as e:
-            return fresh.select("bundle_id", F.lit(f"{type(e).__name__}: {e}"[:500]).alias("error"))
+            h = F.hash("bundle_id")  # 32 bits, which the median keeps exactly
+            bounds = fresh.agg(F.min(h).alias("low"), F.percentile_approx(h, 0.5, 10_000).alias("middle"), F.max(h).alias("top")).first()
+            if bounds.low == bounds.top:  # one bundle, or none
+                return fresh.select("bundle_id", F.lit(f"{type(e).__name__}: {e}"[:500]).alias("error"))
+            middle = min(bounds.middle, bounds.top - 1)
+            low, high = (results(written(fresh.where(side), "half"), batch) for side in (h <= middle, h > middle))
+            return low.unionByName(high, allowMissingColumns=True)
 
     def run(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession

@@ -1,9 +1,11 @@
 import hashlib
 import io
+import json
 import tarfile
 import zipfile
 
 import pytest
+import yaml
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, StringEndsWith, StringStartsWith
 
@@ -128,6 +130,60 @@ def test_filters_reach_the_reader_and_unwanted_members_are_not_inflated(spark, t
     assert len([x for x in read(StringStartsWith(("path",), "b/in/")) if x["content"]]) == 2 and "b/logs/1.log" not in opened
 
 
+def in_parts(spark, files, size):
+    """Files as text members whose parts are whole lines of about `size` characters."""
+    rows = []
+    for path, text in files.items():
+        part, line, at = 0, 1, 0
+        while at < len(text) or not at:
+            end = text.rfind("\n", at, at + size) + 1 or (text.find("\n", at) + 1 or len(text))
+            end = len(text) if at + size >= len(text) else end
+            rows.append(("b", path, "file", False, part, line, text[at:end]))
+            part, line, at = part + 1, line + text[at:end].count("\n"), end
+            if at >= len(text):
+                break
+    return spark.createDataFrame(rows, "bundle_id string, path string, type string, is_binary boolean, part int, first_line long, content string").repartition(3)
+
+
+def test_lists_are_parsed_by_runs_of_items(spark):
+    item = lambda k, tab="": f"{tab}- apiVersion: v1\n{tab}  kind: Pod\n{tab}  metadata:\n{tab}    name: p{k}\n{tab}    note: |\n{tab}      - no item\n{tab}      items:\n{tab}  status:\n{tab}    conditions:\n{tab}    - type: Ready\n{tab}      status: \"{k}\"\n"
+    many = "".join(item(k) for k in range(40))
+    files = {
+        "list.yaml": "apiVersion: v1\nitems:\n" + many + "kind: List\nargs:\n- no item\n",
+        "deep.yaml": "apiVersion: v1\nitems:\n# said\n\n" + "".join(item(k, "  ") for k in range(30)) + "kind: List\n",
+        "bare.yaml": "---\n# said\n" + many,
+        "two.yml": "items:\n" + many + "---\nother: x\nitems:\n" + item(40) + item(41),
+        "crlf.yaml": ("items:\n" + many).replace("\n", "\r\n"),
+        "one.yaml": "kind: Settings\nmetadata:\n  name: s\nvalue: '3'\n", "docs.yaml": "kind: A\n---\nkind: B\n", "empty.yaml": "items: []\n", "none.yaml": "", "bad.yaml": "a: [1\n",
+        "long.yaml": "items:\n" + item(0) + "- kind: Long\n  text: |\n" + "    words and words\n" * 500 + item(2),
+    }
+    whole = {}
+    for path, text in files.items():
+        try:
+            whole[path] = [i for d in yaml.load_all(text, yaml.BaseLoader) for i in (d.get("items", [d]) if isinstance(d, dict) else d or []) if isinstance(i, dict)]
+        except yaml.YAMLError:
+            whole[path] = None
+    for size in (60, 700, 10_000_000):
+        parts = in_parts(spark, files, size)
+        got = {}
+        for r in bundles.resources(parts).collect():
+            got.setdefault(r.path, []).append((r.item_no, None if r.error else json.loads(r.text)))
+        for path, items in whole.items():
+            if items is None:
+                assert got[path] == [(-1, None)]
+            else:
+                assert sorted(got.get(path, []), key=lambda x: x[0]) == list(enumerate(items)), (path, size)
+    runs = bundles.item_runs(bundles.text_files(in_parts(spark, {"l.yaml": "items:\n" + many * 20}, 2000))).collect()
+    assert sum(len(r.content) for r in runs) == 20 * len(many) and max(len(r.content) for r in runs) < 2000
+
+
+def test_a_bad_item_is_one_row(spark):
+    text = "items:\n- kind: A\n- kind: [B\n- kind: C\n  a: 1\n- kind: D\n"
+    for size in (10, 10_000):
+        got = {r.item_no: r.kind for r in bundles.resources(in_parts(spark, {"x.yaml": text}, size)).collect()}
+        assert got == {0: "A", 1: None, 2: "C", 3: "D"}
+
+
 def test_lines_metadata_alerts(members):
     lines = bundles.log_lines(members).where("bundle_id = 'one' and path like '%manager.log'")
     got = {r.line_no: r.line for r in lines.collect()}
@@ -138,8 +194,6 @@ def test_lines_metadata_alerts(members):
 
 
 def test_long_files_and_rejected_bundles(spark, tmp_path):
-    import json
-
     alerts = [{"Labels": {"alertname": f"a{k}", "severity": "warning"}, "Annotations": {"summary": "s" * 200}, "State": "firing"} for k in range(9000)]
     (tmp_path / "long.tar.gz").write_bytes(tar({"b/prometheus-alerts.json": json.dumps(alerts, indent=2), "b/metadata.yaml": "".join(f"k{i}: {'v' * 90}\n" for i in range(20_000)) + "kubernetesversion: v9\n"}))
     (tmp_path / "bad.tar").write_bytes(tar({"b/yamls/namespaced/x/v1/events.yaml": "items:\n- kind: Event\n", "b/logs/longhorn-system/longhorn-manager-a/m.log": "panic=1\n", "b/prometheus-alerts.json": "[]x", "../up": "x"}, "w"))
