@@ -101,6 +101,7 @@ def retention(created: Column, days: int = 30) -> Column:
     return created + F.expr(f"INTERVAL {days} DAYS")
 
 
+# The patterns of white space, HTML and titles from here on define what bodies and titles are.
 def collapse_whitespace(text: Column) -> Column:
     for pattern, by in (("\r", ""), ("[ \t\f\x0b]+", " "), ("\n[ \t]+", "\n"), ("[ \t]+\n", "\n"), ("\n{3,}", "\n\n")):
         text = F.regexp_replace(text, pattern, by)
@@ -171,8 +172,12 @@ def plain_title(text: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(heading, r"^#{1,6}\s+", "")), F.lit(""))
 
 
-def clean_title(title: Column) -> Column:
-    t = F.regexp_replace(collapse_whitespace(title), r"(?i)\s+\|\s+The Longhorn Knowledge Base$", "")
+#: Fixed value: the site whose name is cut off titles.
+SITE = "The Longhorn Knowledge Base"
+
+
+def clean_title(title: Column, site: str = SITE) -> Column:
+    t = F.regexp_replace(collapse_whitespace(title), rf"(?i)\s+\|\s+\Q{site}\E$", "")
     return F.trim(F.regexp_replace(t, r"^#{1,6}\s+", ""))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bundlelens.functions import text as T
 from bundlelens.operators import checks, correlate, defaults, files, findings, groups, kb, rules
+from bundlelens.operators.groups import GROUPS as group_defaults
 from bundlelens.session import written
 from bundlelens.sources import bundles as source
 
@@ -117,10 +118,11 @@ def without_bundles(gone: DataFrame, *tables: DataFrame) -> list[DataFrame]:
     return [t.join(gone.select("bundle_id"), "bundle_id", "left_anti") for t in tables]
 
 
-def kb_queries(spark: SparkSession, groups: DataFrame, found: DataFrame, registry: DataFrame, metadata: DataFrame | None = None, most: int = 6000) -> DataFrame:
-    """query_id (bundle/group), product_type and text of each finding group: hint, product, version
-    and issue, the group, up to four of its evidence, and its findings with two of theirs."""
-    hints = F.broadcast(spark.createDataFrame(list(defaults.HINTS.items()), "group_id string, hint string"))
+def kb_queries(spark: SparkSession, groups: DataFrame, found: DataFrame, registry: DataFrame, metadata: DataFrame | None = None, most: int = 6000, hints: dict[str, str] | None = None) -> DataFrame:
+    """query_id (bundle/group), product_type and text of each finding group: hint (by group; by default what the group is
+    and does, in its own words), product, version and issue, the group, up to four of its evidence, and its findings with two of theirs."""
+    said = hints if hints is not None else {g.id: f"{g.product}: {g.title}. {g.impact}" for g in group_defaults}
+    hints = F.broadcast(spark.createDataFrame(list(said.items()), "group_id string, hint string"))
     g = groups.join(registry.select("bundle_id", "product_type"), "bundle_id").join(hints, "group_id", "left")
     if metadata is not None:
         g = g.join(metadata, "bundle_id", "left").withColumns({"k8s": F.try_element_at("metadata", F.lit("kubernetesversion")), "issue": F.try_element_at("metadata", F.lit("issuedescription"))})
