@@ -190,7 +190,10 @@ def read_warc(path: str, wanted=lambda headers: True, payloads: bool = True) ->
             n = int(headers["content-length"])
             take = wanted(headers)
             if not take or not payloads:
-                f.seek(n, io.SEEK_CUR)
+                end = f.tell() + n
+                f.seek(end)  # a plain file can be sought beyond its end, a zipped one stops there
+                if f.tell() < end or not zipped and end > raw.size():
+                    raise ValueError(f"{path}: a record ends early")
                 if take:
                     yield headers, None
                 continue

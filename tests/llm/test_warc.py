@@ -4,6 +4,8 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from bundlelens.llm import warc
 
 PAGES = [(1, "http://a/1", "<p>é</p>"), (2, "http://a/2", "<p>é</p>"), (3, None, None), (4, "http://b/ x\r\nEvil: 1", ""), (5, "http://c", "WARC/1.1\r\n\r\n\r\n\r\nWARC-Type: response\r\n"), (None, "http://n", "<p>é</p>"), (None, "http://n", "only null keys"), (7, "u", "twice"), (7, "u", "twice"), (8, "u", "x\n" * 400_000)]
@@ -66,3 +68,26 @@ def test_an_archive_of_others(tmp_path):
 def test_no_rows(spark, tmp_path):
     warc.write_warc(frame(spark).limit(0), str(tmp_path / "a"), "page_id", "url", "html")
     assert warc.read(spark, str(tmp_path / "a")).count() == 0
+
+
+def test_a_cut_archive_raises_with_and_without_payloads(tmp_path):
+    record = lambda x: b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(x), x)
+    whole = record(b"first") + record(b"second " * 1000)
+    for cut in (0, 1, 3, 4, 5, 3000):
+        data = whole[: len(whole) - cut]
+        (tmp_path / "x.warc").write_bytes(data)
+        (tmp_path / "x.warc.gz").write_bytes(gzip.compress(data))
+        for path in ("x.warc", "x.warc.gz"):
+            for payloads in (True, False):
+                if cut > 4:  # into the block itself
+                    with pytest.raises(ValueError, match="ends early"):
+                        list(warc.read_warc(str(tmp_path / path), payloads=payloads))
+                else:
+                    assert len(list(warc.read_warc(str(tmp_path / path), payloads=payloads))) == 2
+
+
+def test_a_very_long_payload(spark, tmp_path):
+    html = "<p>é and more</p>" * 300_000
+    warc.write_warc(spark.createDataFrame([(1, "u", html), (2, "v", html), (3, "w", "x")], "page_id long, url string, html string"), str(tmp_path / "a"), "page_id", "url", "html")
+    rows = warc.read(spark, str(tmp_path / "a")).where("payload is not null").collect()
+    assert max(len(r.payload) for r in rows) == len(html.encode()) and bytes(max((r.payload for r in rows), key=len)) == html.encode()
