@@ -160,3 +160,23 @@ def test_stream(spark, tmp_path):
     q = intake.binary_stream(spark, str(tmp_path / "zips"), "*.zip").writeStream.format("memory").queryName("zips").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("zips").columns == ["path", "modificationTime", "length"] and spark.table("zips").count() == 1
+
+
+def test_chunks_leave_a_few_documents_at_a_time():
+    import pyarrow as pa
+
+    from bundlelens.operators import kb
+
+    class Docs:  # takes the function that tasks run
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    n = 1000
+    texts = {"id": [f"d{k}" for k in range(n)], "body": ["word " * 700] * n} | {c: ["x"] * n for c in ("source_uri", "title", "product_type")}
+    got = [b.to_pydict() for b in kb.chunks(Docs())(iter([pa.RecordBatch.from_pydict(texts)]))]
+    assert max(len(set(b["document_id"])) for b in got) <= 64
+    assert [d for b in got for d in b["id"]] == [f"d{k}:{i}" for k in range(n) for i in (1, 2, 3)][: sum(len(b["id"]) for b in got)]
+    assert {d for b in got for d in b["document_id"]} == set(texts["id"])
