@@ -81,7 +81,7 @@ def _aliases(w: DataFrame) -> DataFrame:
 def event_matches(w: DataFrame, events: DataFrame, whole_words: bool = False) -> DataFrame:
     """(workload, event) of the same namespace: the event is about one of its names, or says it."""
     names = written(_aliases(w).withColumn("low", F.lower("called")), "aliases")
-    e = events.select("bundle_id", "ns", "involved", F.struct("path", "item_no", "reason", "message").alias("event"))
+    e = written(events.select("bundle_id", "ns", "involved", F.struct("path", "item_no", "reason", "message").alias("event")), "events")
     about = e.join(names, [e.bundle_id == names.bundle_id, e.ns == names.ns, e.involved == names.called]).select(*[names[c] for c in KEY], "event")
     text = F.lower(F.concat_ws(" ", "event.reason", "event.message"))
     said = search.naming(e, text, names, "low").withColumnRenamed("named", "low").join(names, ["bundle_id", "ns", "low"])
@@ -99,7 +99,8 @@ def log_matches(w: DataFrame, lines: DataFrame, whole_words: bool = False) -> Da
 
 
 def _few(rows: DataFrame, value: str, most: int | None = 3) -> DataFrame:
-    """Per workload the first `most` values in order, and how many there are."""
+    """Per workload the first `most` values in order, and how many there are. Rows are found once for both."""
+    rows = written(rows, value)
     k = F.row_number().over(Window.partitionBy(*KEY).orderBy(value))
     n = rows.groupBy(*KEY).agg(F.count("*").alias(f"{value}_total"))
     r = rows if most is None else rows.withColumn("k", k).where(F.col("k") <= most)

@@ -4,8 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from bundlelens.operators import kb, rules, search
+from bundlelens.operators import correlate, kb, rules, search
 from bundlelens.streaming import intake
 
 
@@ -111,3 +112,20 @@ def test_a_bundle_that_raises_fails_alone(spark, tmp_path):
     ledger = spark.read.schema(intake.LEDGER).parquet(f"{root}/ledger")
     states = {r.bundle_id: (r.status, r.error) for r in intake.job_states(ledger).collect()}
     assert states == {f"b{k:02d}": ("failed", "RuntimeError: cannot read it") if k in (3, 7) else ("failed", "duplicate checksum") if k > 8 else ("completed", None) for k in range(12)}
+
+
+def test_events_and_matches_are_found_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(k):
+        seen.add(1)
+        return f"vm-{k % 3} failed"
+
+    tell = F.udf(told, "string").asNondeterministic()
+    events = spark.range(30).select(F.lit("b").alias("bundle_id"), F.lit("default").alias("ns"), F.lit("VirtualMachine").alias("kind"), F.lit("vm-0").alias("involved"), F.lit("r").alias("reason"), tell("id").alias("message"), F.lit("p").alias("path"), F.col("id").cast("int").alias("item_no"))
+    w = spark.createDataFrame([("b", "default", f"vm-{k}", [("p", f"m-{k}")]) for k in range(3)], "bundle_id string, ns string, name string, migrations array<struct<path:string,name:string>>")
+    few = correlate._few(correlate.event_matches(w, events), "event").collect()
+    assert seen.value == 30
+    assert {r["name"]: (len(r.events), r.event_total) for r in few} == {"vm-0": (3, 30), "vm-1": (3, 10), "vm-2": (3, 10)}
+    rows = events.select("bundle_id", "ns", F.lit("vm-0").alias("name"), F.struct("message").alias("event"))
+    assert correlate._few(rows, "event").first().event_total == 30 and seen.value == 60
