@@ -57,3 +57,29 @@ def test_a_state_is_parsed_once_a_row(resources):
         assert parsed and len(set(parsed)) == len(parsed)
 
 
+def test_versions_take_one_scan(resources):
+    label = lambda **x: {"metadata": {"labels": {"app.kubernetes.io/name": "longhorn", **x}}}
+    image = lambda *x: {"metadata": {"name": "d"}, "spec": {"containers": [{"image": i} for i in x]}}
+    r = resources(
+        ("one", LONGHORN + "longhorn.io/v1beta2/settings.yaml", {"metadata": {"name": "current-longhorn-version"}, "value": "v1.8.1"}),
+        ("one", LONGHORN + "longhorn.io/v1beta2/settings.yaml", {"metadata": {"name": "other"}, "value": "v9.9.9"}),
+        ("one", LONGHORN + "v1/configmaps.yaml", label(**{"app.kubernetes.io/version": "1.8.2", "helm.sh/chart": "longhorn-1.8.3"})),
+        ("one", LONGHORN + "apps/v1/deployments.yaml", {"metadata": {"labels": {"app.kubernetes.io/name": "no", "app.kubernetes.io/version": "7.7.7"}, "annotations": {"driver.longhorn.io/version": "v1.8.4"}}}),
+        ("one", LONGHORN + "longhorn.io/v1beta2/engineimages.yaml", {"status": {"version": "v1.8.5"}}),
+        ("one", LONGHORN + "v1/pods.yaml", image("longhornio/longhorn-manager:v1.8.6", "longhornio/longhorn-manager:v1.8.6", "rancher/mirrored-longhornio-longhorn-ui:1.8.7", "longhornio/other:v1.0.0", "x/longhorn-manager:v1.0.1")),
+        ("two", LONGHORN + "v1/services.yaml", image("longhornio/longhorn-manager:v1.8.6")),
+        ("two", "z" + LONGHORN + "apps/v1/deployments.yaml", image("longhornio/longhorn-engine:v1.0.2")),
+        ("two", LONGHORN + "apps/v1/deployments.yaml", image("longhornio/longhorn-engine:v1.8.8-rc1")),
+    )
+    found = checks.versions(r, "longhorn")
+    assert sorted((x.bundle_id, x.priority, x.version, x.component, x.source) for x in found.collect()) == [
+        ("one", 0, "v1.8.1", "longhorn", "Longhorn setting"),
+        ("one", 1, "v1.8.2", "longhorn", "Kubernetes app label"),
+        ("one", 2, "v1.8.3", "longhorn-chart", "Helm chart label"),
+        ("one", 3, "v1.8.4", "longhorn-driver", "Longhorn driver annotation"),
+        ("one", 4, "v1.8.6", "longhorn-manager", "longhorn-manager image"),
+        ("one", 6, "v1.8.5", "longhorn-engine", "EngineImage status"),
+        ("one", 8, "v1.8.7", "longhorn-ui", "longhorn-ui image"),
+        ("two", 7, "v1.8.8-rc1", "longhorn-engine", "longhorn-engine image"),
+    ]
+    assert plan(found).count("FileScan") == 2  # the rows, and each bundle's first files
