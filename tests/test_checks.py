@@ -57,6 +57,24 @@ def test_a_state_is_parsed_once_a_row(resources):
         assert parsed and len(set(parsed)) == len(parsed)
 
 
+def test_restarts_of_a_pod_stay_in_its_row(resources):
+    pods = LONGHORN + "v1/pods.yaml"
+    r = resources(
+        ("one", pods, {"metadata": {"name": "p"}, "status": {"phase": "Running", "initContainerStatuses": [{"name": "i", "restartCount": "2"}], "containerStatuses": [{"restartCount": "11"}, {"name": "c", "restartCount": "x"}, None, {"name": "d", "restartCount": "0"}, {"name": "d", "restartCount": "1"}]}}),
+        ("one", pods, {"metadata": {"name": "q"}, "status": {"phase": "Pending", "containerStatuses": []}}),
+        ("one", pods, {"metadata": {"name": "s"}, "status": {"containerStatuses": [{"name": "c", "restartCount": "1"}]}}),
+        ("two", pods, {"status": {"phase": "Succeeded", "containerStatuses": [{"name": "c", "restartCount": "4"}]}}),
+    )
+    found, inv = checks.pods(r, checks.LH, "longhorn", "Longhorn Pod", 6)
+    assert {(x.bundle_id, x.id, x.severity, x["count"], tuple(x.evidence)) for x in found.collect()} == {
+        ("one", "longhorn-pod-q-pending", "warning", 1, ("Phase: Pending",)),
+        ("one", "longhorn-pods-with-container-restarts", "warning", 2, ("p: i=2, container=11, d=1", "s: c=1")),
+        ("two", "longhorn-pods-with-container-restarts", "info", 1, ("unknown pod: c=4",)),
+    }
+    assert {(x.bundle_id, x.metric, x.value) for x in inv.collect()} == {("one", "total", 3), ("one", "notRunning", 1), ("one", "withRestarts", 2), ("two", "total", 1), ("two", "notRunning", 0), ("two", "withRestarts", 1)}
+    assert "posexplode" not in plan(found)
+
+
 def test_versions_take_one_scan(resources):
     label = lambda **x: {"metadata": {"labels": {"app.kubernetes.io/name": "longhorn", **x}}}
     image = lambda *x: {"metadata": {"name": "d"}, "spec": {"containers": [{"image": i} for i in x]}}
