@@ -61,9 +61,10 @@ def network_matches(w: DataFrame, vlans: DataFrame) -> DataFrame:
 
 def warning_events(resources: DataFrame) -> DataFrame:
     """bundle_id, ns, kind, involved, reason, message, path, item_no of warning events."""
-    e = resources.where(F.col("path").rlike(r"/(v1|events\.k8s\.io/v1)/events\.yaml$") & F.col("error").isNull() & (checks.field("text", "type") == "Warning"))
+    e = resources.where(F.col("path").rlike(r"/(v1|events\.k8s\.io/v1)/events\.yaml$") & F.col("error").isNull())
+    e = checks.computed(e, type=checks.scalar("text", "type")).where("type = 'Warning'")
     refs = [F.when(F.get_json_object("text", f"$.{r}.name").isNotNull(), F.struct(F.get_json_object("text", f"$.{r}.kind").alias("kind"), F.get_json_object("text", f"$.{r}.name").alias("name"), F.get_json_object("text", f"$.{r}.namespace").alias("ns"))) for r in ("involvedObject", "regarding", "related")]
-    e = e.withColumn("ref", F.coalesce(*refs)).where("ref is not null")
+    e = checks.computed(e, ref=F.coalesce(*refs)).where("ref is not null")
     return e.select("bundle_id", F.coalesce(T.blank_to_null(F.col("ref.ns")), T.namespace_of(F.col("namespace"), F.col("path"))).alias("ns"), "ref.kind", F.col("ref.name").alias("involved"), F.coalesce(checks.field("text", "reason"), F.lit("Warning")).alias("reason"), F.coalesce(checks.field("text", "message"), checks.field("text", "note"), F.lit("Warning event")).alias("message"), "path", "item_no")
 
 

@@ -75,6 +75,20 @@ def test_restarts_of_a_pod_stay_in_its_row(resources):
     assert "posexplode" not in plan(found)
 
 
+def test_types_of_events_are_parsed_once_a_scan(resources):
+    events = "b/yamls/namespaced/x/v1/events.yaml"
+    r = resources(
+        ("one", events, {"type": "Warning", "reason": "r", "message": "null", "note": "n"}),
+        ("one", events, {"type": "Normal", "reason": "r"}),
+        ("one", events, {"type": "Warning"}),
+        ("two", events, {"reason": "r"}),
+    )
+    found, inv = checks.events(r, "", "harvester", False)
+    assert [(x.bundle_id, x["count"], x.evidence) for x in found.collect()] == [("one", 2, ["r: n", "Warning: Warning event"])]
+    assert {(x.bundle_id, x.metric, x.value) for x in inv.collect()} == {("one", "total", 3), ("one", "warnings", 2), ("two", "total", 1), ("two", "warnings", 0)}
+    assert plan(found).count("$.type") == plan(found).count("FileScan")
+
+
 def test_versions_take_one_scan(resources):
     label = lambda **x: {"metadata": {"labels": {"app.kubernetes.io/name": "longhorn", **x}}}
     image = lambda *x: {"metadata": {"name": "d"}, "spec": {"containers": [{"image": i} for i in x]}}
