@@ -1,3 +1,8 @@
+import math
+import random
+from types import SimpleNamespace
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +185,46 @@ def test_chunks_leave_a_few_documents_at_a_time():
     assert max(len(set(b["document_id"])) for b in got) <= 64
     assert [d for b in got for d in b["id"]] == [f"d{k}:{i}" for k in range(n) for i in (1, 2, 3)][: sum(len(b["id"]) for b in got)]
     assert {d for b in got for d in b["document_id"]} == set(texts["id"])
+
+
+def _found(block, limit, least, digits, rows):
+    """What one task finds of rows(id, part, product, text, vector)."""
+    names = ["id", "part", "product", "text", "vector"]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64())]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    out = list(kb._best_of_task(SimpleNamespace(value=block), limit, least, digits)(iter([batch])))
+    return sorted(tuple(x.values()) for b in out for x in b.to_pylist())
+
+
+def test_a_row_below_the_places_of_an_earlier_task_is_left_out():
+    block = kb.Block([SimpleNamespace(query_id=1, tokens=["ab", "cd"], product_type=None)], 0.0, 1.0)
+    task = lambda i, text: [x[1] for x in _found(block, 1, 1e-6, 6, [(i, 0, "unknown", text, None)])]
+    assert task(5, "ab cd") == [5]
+    assert task(6, "ab") == [] and task(3, "cd ab") == [3] and task(5, "ab cd") == [5]
+
+
+def test_best_matches_of_a_task_are_those_of_all_pairs():
+    r = random.Random(1)
+    word = lambda: f"{r.choice('abcdef')}{r.choice(['', 'x', '.y', str(int(r.expovariate(0.01)))])}"
+    text = lambda n: " ".join(word() for _ in range(n))
+    vector = lambda: [r.choice([0.0, 1.0, r.random()]) for _ in range(4)]
+    queries = [SimpleNamespace(query_id=i, tokens=list({word() for _ in range(r.choice([0, 2, 40]))}), vector=[0.0] * 4 if i == 3 else vector(), product_type=r.choice([None, "p", "q"])) for i in range(60)]
+    rows = [(r.randrange(400), i, r.choice(["unknown", "p", "q", None]), None if i % 50 == 7 else text(r.choice([0, 3, 60])), [0.0] * 4 if i % 40 == 9 else vector()) for i in range(900)]
+    for by_vector, by_words, digits in ((0.72, 0.28, 3), (0.0, 1.0, 6), (1.0, 0.0, 4)):
+        expected = []
+        for q in queries:
+            best = {}
+            for key, part, product, said, v in rows:
+                if q.product_type and (product or "unknown") not in ("unknown", q.product_type):
+                    continue
+                norm = math.hypot(*v) * math.hypot(*q.vector)
+                n = len(q.tokens)
+                s = by_vector * (sum(a * b for a, b in zip(v, q.vector, strict=True)) / norm if norm else 0.0) + (by_words * sum(t in (said or "") for t in q.tokens) / math.sqrt(n * max(n, 3)) if n else 0.0)
+                if s >= 0.07:
+                    best[key] = min(best.get(key, (1, 0, 0)), (-math.floor(s * 10**digits + 0.5) / 10**digits, part, key))
+            expected += [(q.query_id, key, part, -s) for s, part, key in sorted(best.values())[:5]]
+        block = kb.Block(queries, by_vector, by_words)
+        got = _found(block, 5, 0.07, digits, rows)
+        assert [x[:3] for x in got] == [x[:3] for x in sorted(expected)]
+        assert [x[3] for x in got] == pytest.approx([x[3] for x in sorted(expected)])
+        assert not by_words or 0 < len(block.scorer().asked) < len(block.words)  # both ways of counting are taken
