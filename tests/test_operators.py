@@ -187,6 +187,13 @@ def test_chunks_leave_a_few_documents_at_a_time():
     assert {d for b in got for d in b["document_id"]} == set(texts["id"])
 
 
+def test_an_excerpt_flattens_its_text_once(spark):
+    out = spark.createDataFrame([("x " * 200 + "Disk  full " + "y " * 200, ["zz", "full", "disk"])], "c string, t array<string>").select(T.excerpt(F.col("c"), F.col("t")).alias("e"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    e = out.first().e
+    assert e.startswith("... x ") and e.endswith("y...") and len(e) == 266 and e.index("full") == 93
+
+
 def _found(block, limit, least, digits, rows):
     """What one task finds of rows(id, part, product, text, vector)."""
     names = ["id", "part", "product", "text", "vector"]
