@@ -146,9 +146,10 @@ def manifest(leaves: DataFrame) -> DataFrame:
     runs = (lower[0] if lower else placed.where("false").select("tree", "i", "n", F.col("leaf").alias("kids"))).select("tree", F.col("i").alias("run"), "kids", _top("tree", 1, "i").alias("id"))
     runs = runs.unionByName(placed.where("n = 1").select("tree", F.lit(0).cast("long").alias("run"), F.lit(None).cast("string").alias("kids"), _top("tree", 0, "i").alias("id")))
     none = F.array().cast("array<struct<at int, sibs string>>")
-    runs = runs.join(steps, "id", "left").withColumn("steps", F.coalesce("steps", none)) if steps is not None else runs.withColumn("steps", none)
-    runs = dealt_join(runs.drop("id"), subroots, "tree", ["run"])
-    rows = placed.withColumn("run", F.expr(f"i div {FANOUT}")).join(runs, ["tree", "run"])
+    # a proof is thousands of bytes that compress to a hundred, so neither join may go by the size of a file
+    runs = dealt_join(runs, subroots, "tree", ["run"])
+    runs = runs.join(steps.hint("merge"), "id", "left").withColumn("steps", F.coalesce("steps", none)) if steps is not None else runs.withColumn("steps", none)
+    rows = placed.withColumn("run", F.expr(f"i div {FANOUT}")).join(runs.drop("id").hint("merge"), ["tree", "run"])
     at = F.expr(f"cast(i % {FANOUT} as int)")
     own = F.when(F.col("kids").isNull(), F.col("steps")).otherwise(F.concat(F.array(F.struct(at.alias("at"), siblings("kids", at).alias("sibs"))), "steps"))
     return rows.withColumn("steps", own).withColumn("root", F.lit(root)).drop("tree", "run", "i", "n", "kids")
