@@ -122,8 +122,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, width: int, paired: in
     a = nodes.select(F.col("fp").alias("fa"), F.col("node").alias("a"))
     b = nodes.select(F.col("fp").alias("fb"), F.col("node").alias("b"))
     linked = components(links.join(a, "fa").join(b, "fb").where("a is not null and b is not null").select("a", "b"))
-    label = nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return found.join(label, "fp").select("doc_id", "fp", "component_id")
+    label = nodes.join(linked.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return found.join(label.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 SKETCH = f"doc_id long, row long, fps array<long>, {minhash.SKETCH}"
@@ -181,7 +181,7 @@ def near_duplicate_groups(docs: DataFrame, key: str, text: str, widths: tuple[in
         own = found.join(nodes, "fp").select(F.col("first").alias("a"), F.col("node").alias("b")).where("a <> b")
         links = links.unionByName(cut(near.join(a, "fa").join(b, "fb").select("a", "b").unionByName(own), "links"))
     linked = components(links).where("component <> node")
-    return drawn.select("node", "doc_id", "row").join(linked, "node").select("doc_id", "row", F.col("component").alias("component_id"))
+    return drawn.select("node", "doc_id", "row").join(linked.hint("merge"), "node").select("doc_id", "row", F.col("component").alias("component_id"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
